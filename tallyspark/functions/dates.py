@@ -96,7 +96,7 @@ def parse_by_format_column(text: Column, fmt: Column) -> Column:
 
 def period_start(date: Column, granularity: str) -> Column:
     """First day of the month, quarter or year holding a date."""
-    unit = {"month": "MM", "quarter": "Q", "year": "YYYY"}[granularity]
+    unit = {"month": "MM", "quarter": "QUARTER", "year": "YEAR"}[granularity]
     return F.trunc(date, unit)
 
 

@@ -205,6 +205,7 @@ class TableProfile:
             "column_name",
             originals.alias("original_dtype"),
             self._logical_type().alias("inferred_best_dtype"),
+            "non_null_count",
             F.when(self._logical_type() != "categorical", F.round(ratio(readable, F.col("non_null_count")), 4)).alias(
                 "parse_rate"
             ),
