@@ -65,9 +65,20 @@ def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator == 0, F.lit(0.0)).otherwise(ratio(numerator, denominator))
 
 
-def money(value: Column) -> Column:
+def rounded(value: Column | str, digits: int) -> Column:
+    """Round the scaled binary value half away from zero, as SQL engines on doubles commonly do.
+
+    Spark's own ``round`` goes through the shortest decimal text instead and so moves values such as
+    1.005, which lie just below a half, up.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    scale = float(10**digits)
+    return F.round(value.cast("double") * scale) / scale
+
+
+def money(value: Column | str) -> Column:
     """Round to currency precision."""
-    return F.round(value, 2)
+    return rounded(value, 2)
 
 
 def guarded_sum(value: Column) -> Column:

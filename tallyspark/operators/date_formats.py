@@ -19,7 +19,7 @@ from tallyspark.functions.dates import (
     parse_timestamp,
     strip,
 )
-from tallyspark.functions.safe import as_date, column
+from tallyspark.functions.safe import as_date, column, rounded
 from tallyspark.operators.profile import TableProfile, long_format
 
 # How many distinct values are tested and how many of them must parse.
@@ -120,7 +120,7 @@ def format_report(df: DataFrame, columns: list[str]) -> DataFrame:
     return totals.join(F.broadcast(shown), "column_name", "left").select(
         "column_name",
         "date_format",
-        F.round(F.try_divide("successful_parse_count", "total_count"), 6).alias("success_rate"),
+        rounded(F.try_divide("successful_parse_count", "total_count"), 6).alias("success_rate"),
         "successful_parse_count",
         "total_count",
         "min_date",
@@ -152,5 +152,5 @@ def profile_date_formats(profile: TableProfile) -> DataFrame:
         F.lit("to_timestamp(`"), "column_name", F.lit("`, '"), F.element_at(patterns, F.col("date_format")), F.lit("')")
     )
     return kinds.join(F.broadcast(found), "column_name", "left").select(
-        "column_name", "date_format", F.round("success_rate", 6).alias("success_rate"), cast.alias("recommended_cast")
+        "column_name", "date_format", rounded("success_rate", 6).alias("success_rate"), cast.alias("recommended_cast")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyspark.functions.safe import rounded
 from tallyspark.sources.versioned import VersionedDataset
 
 # Size classes by tokens, and tokens per JSON character.
@@ -195,7 +196,7 @@ class EntityStore:
         label = F.when(F.col("entities") == 0, "empty")
         for name, limit in SIZE_LIMITS:
             label = label.when(tokens <= limit, name)
-        return sized.select("json_chars", F.round(tokens, 1).alias("tokens"), label.otherwise("large").alias("size_class"))
+        return sized.select("json_chars", rounded(tokens, 1).alias("tokens"), label.otherwise("large").alias("size_class"))
 
     # -- export ----------------------------------------------------------------------------
 

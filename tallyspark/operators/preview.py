@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tallyspark.functions.dates import DATE_FORMATS, parse_timestamp
-from tallyspark.functions.safe import DATE_TYPES, as_date, as_number, as_text, ratio
+from tallyspark.functions.safe import DATE_TYPES, as_date, as_number, as_text, ratio, rounded
 from tallyspark.operators.profile import TableProfile, long_format
 from tallyspark.operators.quantiles import column_percentiles
 
@@ -130,13 +130,13 @@ class TablePreview:
         quartiles = column_percentiles(long, "column_name", "v", [0.25, 0.5, 0.75])
         return moments.join(F.broadcast(quartiles), "column_name").select(
             "column_name",
-            F.round("avg", 3).alias("mean"),
-            F.round("sd", 3).alias("std_dev"),
-            F.round("low", 3).alias("min"),
-            F.round("p0", 3).alias("percentile_25"),
-            F.round("p1", 3).alias("median"),
-            F.round("p2", 3).alias("percentile_75"),
-            F.round("high", 3).alias("max"),
+            rounded("avg", 3).alias("mean"),
+            rounded("sd", 3).alias("std_dev"),
+            rounded("low", 3).alias("min"),
+            rounded("p0", 3).alias("percentile_25"),
+            rounded("p1", 3).alias("median"),
+            rounded("p2", 3).alias("percentile_75"),
+            rounded("high", 3).alias("max"),
         )
 
     def datetime(self) -> DataFrame:

@@ -24,6 +24,7 @@ from tallyspark.functions.safe import (
     column,
     ratio,
     ratio_or_zero,
+    rounded,
 )
 from tallyspark.operators.quantiles import column_percentiles
 
@@ -162,7 +163,7 @@ class TableProfile:
         return per_column.agg(
             total.alias("total_cells"),
             (total - present).alias("missing_cells"),
-            F.round(ratio_or_zero(present * 100, total), 2).alias("overall_completeness"),
+            rounded(ratio_or_zero(present * 100, total), 2).alias("overall_completeness"),
             columns_of("numeric"),
             columns_of("categorical"),
             columns_of("datetime"),
@@ -181,11 +182,11 @@ class TableProfile:
             total,
             present,
             (total - present).alias("missing_count"),
-            F.round(ratio_or_zero((total - present) * 100, total), 2).alias("missing_percentage"),
-            F.round(ratio_or_zero(present * 100, total), 2).alias("completeness_percentage"),
+            rounded(ratio_or_zero((total - present) * 100, total), 2).alias("missing_percentage"),
+            rounded(ratio_or_zero(present * 100, total), 2).alias("completeness_percentage"),
             unique.alias("unique_count"),
-            F.round(ratio_or_zero(unique * 100, present), 2).alias("uniqueness_percentage"),
-            F.round(ratio_or_zero(unique, present), 4).alias("cardinality_ratio"),
+            rounded(ratio_or_zero(unique * 100, present), 2).alias("uniqueness_percentage"),
+            rounded(ratio_or_zero(unique, present), 4).alias("cardinality_ratio"),
         )
 
     def types(self) -> DataFrame:
@@ -206,7 +207,7 @@ class TableProfile:
             originals.alias("original_dtype"),
             self._logical_type().alias("inferred_best_dtype"),
             "non_null_count",
-            F.when(self._logical_type() != "categorical", F.round(ratio(readable, F.col("non_null_count")), 4)).alias(
+            F.when(self._logical_type() != "categorical", rounded(ratio(readable, F.col("non_null_count")), 4)).alias(
                 "parse_rate"
             ),
         )
@@ -232,7 +233,7 @@ class TableProfile:
             "column_name",
             F.col("low").cast("long").alias("min_length"),
             F.col("high").cast("long").alias("max_length"),
-            F.round("mean", 1).alias("avg_length"),
+            rounded("mean", 1).alias("avg_length"),
         )
 
     def numeric_stats(self) -> DataFrame:
@@ -254,7 +255,7 @@ class TableProfile:
         rows = moments.join(F.broadcast(percentiles), "column_name")
 
         def r3(value: Column) -> Column:
-            return F.round(value, 3)
+            return rounded(value, 3)
 
         return rows.select(
             "column_name",
@@ -342,7 +343,7 @@ class TableProfile:
             "column_name",
             "value",
             F.col("n").alias("count"),
-            F.round(ratio(F.col("n") * 100, F.col("non_null_count")), 2).alias("percentage"),
+            rounded(ratio(F.col("n") * 100, F.col("non_null_count")), 2).alias("percentage"),
             F.col("rank").cast("long").alias("rank"),
         )
 
@@ -409,7 +410,7 @@ class TableProfile:
             .select(
                 "column1",
                 "column2",
-                F.round("r", 3).alias("correlation"),
+                rounded("r", 3).alias("correlation"),
                 F.when(r > CORRELATION_STRONG, "strong")
                 .when(r > CORRELATION_MODERATE, "moderate")
                 .otherwise("weak")
@@ -488,8 +489,8 @@ def fallback_profile(text_table: DataFrame, name: str = "table") -> DataFrame:
         .when((present > 0) & (F.col("dates") == present), "datetime")
         .otherwise("categorical")
         .alias("inferred_best_dtype"),
-        F.when(numeric, F.round("low", 3)).alias("min"),
-        F.when(numeric, F.round("high", 3)).alias("max"),
-        F.when(numeric, F.round("avg", 3)).alias("mean"),
-        F.when(numeric, F.round("sd", 3)).alias("std_dev"),
+        F.when(numeric, rounded("low", 3)).alias("min"),
+        F.when(numeric, rounded("high", 3)).alias("max"),
+        F.when(numeric, rounded("avg", 3)).alias("mean"),
+        F.when(numeric, rounded("sd", 3)).alias("std_dev"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.functions.safe import guarded_mean, guarded_sum, money
+from tallyspark.functions.safe import guarded_mean, guarded_sum, money, rounded
 from tallyspark.operators import commerce, records, series
 from tallyspark.operators.profile import fallback_profile
 from tallyspark.plans import roles
@@ -250,7 +250,7 @@ def status_active_flag(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {TRANSACTIONS} SELECT customer_id, ROUND(SUM(amount), 2) AS total_revenue FROM transactions GROUP BY customer_id")
 def revenue_by_customer(spark: SparkSession, folder: str) -> DataFrame:
     return ledger(spark, folder).revenue_by_customer().select(
-        F.col("customer").alias("customer_id"), money(F.col("revenue")).alias("total_revenue")
+        F.col("customer").alias("customer_id"), money("revenue").alias("total_revenue")
     )
 
 
@@ -297,7 +297,7 @@ def guarded_sum_by_month(spark: SparkSession, folder: str) -> DataFrame:
 @query(_guarded("AVG", "mean", 4), name="guarded_mean")
 def guarded_mean_by_month(spark: SparkSession, folder: str) -> DataFrame:
     monthly = transactions(spark, folder).groupBy("customer_id", F.trunc("txn_date", "MM").alias("month"))
-    return monthly.agg(F.round(guarded_mean(F.col("amount")), 4).alias("mean"))
+    return monthly.agg(rounded(guarded_mean(F.col("amount")), 4).alias("mean"))
 
 
 _MONTHLY = f"""{TRANSACTIONS}, monthly AS (
@@ -318,7 +318,7 @@ filled AS (
 def pair_difference(spark: SparkSession, folder: str) -> DataFrame:
     monthly = series.revenue_series(ledger(spark, folder), "month")
     return series.period_difference(monthly, "revenue").select(
-        F.col("period_start").alias("month"), money(F.col("signed")).alias("signed"), money(F.col("absolute")).alias("absolute")
+        F.col("period_start").alias("month"), money("signed").alias("signed"), money("absolute").alias("absolute")
     )
 
 
@@ -365,7 +365,7 @@ def _series_sql(unit: str) -> str:
 
 
 def _revenue_series(spark: SparkSession, folder: str, unit: str) -> DataFrame:
-    return series.revenue_series(ledger(spark, folder), unit).withColumn("revenue", money(F.col("revenue")))
+    return series.revenue_series(ledger(spark, folder), unit).withColumn("revenue", money("revenue"))
 
 
 @query(_series_sql("month"))
@@ -388,8 +388,8 @@ def trailing_window_revenue(spark: SparkSession, folder: str) -> DataFrame:
     monthly = series.revenue_series(ledger(spark, folder), "month")
     return series.trailing_sum(monthly, "revenue", 3).select(
         F.col("period_start").alias("month"),
-        money(F.col("revenue")).alias("revenue"),
-        money(F.col("trailing")).alias("trailing_3m"),
+        money("revenue").alias("revenue"),
+        money("trailing").alias("trailing_3m"),
     )
 
 
@@ -404,8 +404,8 @@ def _growth(spark: SparkSession, folder: str, lag: int) -> DataFrame:
     monthly = series.revenue_series(ledger(spark, folder), "month")
     return series.growth(monthly, "revenue", lag).select(
         F.col("period_start").alias("month"),
-        money(F.col("revenue")).alias("revenue"),
-        F.round("growth", 6).alias("growth"),
+        money("revenue").alias("revenue"),
+        rounded("growth", 6).alias("growth"),
     )
 
 
@@ -425,9 +425,9 @@ def revenue_growth_yoy(spark: SparkSession, folder: str) -> DataFrame:
 )
 def headline_facts(spark: SparkSession, folder: str) -> DataFrame:
     return commerce.headline_facts(ledger(spark, folder)).select(
-        money(F.col("total_revenue")).alias("total_revenue"),
+        money("total_revenue").alias("total_revenue"),
         "customer_count",
-        F.round("avg_amount", 6).alias("avg_amount"),
+        rounded("avg_amount", 6).alias("avg_amount"),
     )
 
 
@@ -450,7 +450,7 @@ def crosscheck_revenue(spark: SparkSession, folder: str) -> DataFrame:
     return checked.crossJoin(F.broadcast(share)).select(
         "route_a",
         "route_b",
-        money(F.col("abs_diff")).alias("abs_diff"),
+        money("abs_diff").alias("abs_diff"),
         "ok",
         series.within_range(F.col("share"), 0.0, 1.0).alias("share_in_range"),
     )
