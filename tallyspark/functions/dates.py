@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,6 +64,23 @@ _SPARK_PATTERN = dict(DATE_FORMATS)
 _COMPACT = r"^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12]\d|0[1-9]|[1-9])$"
 
 
+# What each part of a format may look like; numbers need no leading zero.
+_PART_SHAPES = {"Y": r"\d{4}", "y": r"\d{2}", "B": r"[A-Za-z]+", "b": r"[A-Za-z]+"}
+
+
+def _shape(fmt: str) -> str:
+    """Pattern of the texts a format can read."""
+    if fmt == "%Y%m%d":
+        return _COMPACT
+    return "^" + re.sub(r"%(.)|(\W)", _part, fmt) + "$"
+
+
+def _part(match: re.Match) -> str:
+    if match[1]:
+        return _PART_SHAPES.get(match[1], r"\d{1,2}")
+    return re.escape(match[2])
+
+
 def strip(text: Column) -> Column:
     """Trim all leading and trailing whitespace, not only blanks."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -71,10 +89,11 @@ def strip(text: Column) -> Column:
 def parse_timestamp(text: Column, fmt: str) -> Column:
     """Read text with one of the known formats; NULL when it does not match."""
     tidy = F.regexp_replace(strip(text), r"\s+", " ")
+    shaped = tidy.rlike(_shape(fmt))  # a failing parse is far dearer than a failing match
     if fmt == "%Y%m%d":
         spaced = F.regexp_replace(tidy, _COMPACT, "$1-$2-$3")
-        return F.when(tidy.rlike(_COMPACT), F.try_to_timestamp(spaced, F.lit("yyyy-M-d")))
-    parsed = F.try_to_timestamp(tidy, F.lit(_SPARK_PATTERN[fmt]))
+        return F.when(shaped, F.try_to_timestamp(spaced, F.lit("yyyy-M-d")))
+    parsed = F.when(shaped, F.try_to_timestamp(tidy, F.lit(_SPARK_PATTERN[fmt])))
     if "%y" in fmt:
         # Two-digit years 69-99 belong to the last century.
         return F.when(F.year(parsed) > 2068, parsed - F.expr("INTERVAL 100 YEARS")).otherwise(parsed)

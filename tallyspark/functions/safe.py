@@ -21,6 +21,16 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def sql_text(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_double(number: float) -> str:
+    """A SQL double literal, infinities included."""
+    return f"double('{float(number)!r}')"
+
+
 def as_number(value: Column, dtype: T.DataType) -> Column:
     """The value as a double, NULL when it is not a number."""
     if isinstance(dtype, T.BooleanType):
@@ -28,7 +38,10 @@ def as_number(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.NumericType):
         return value.cast("double")
     if isinstance(dtype, T.StringType):
-        return F.when(value.rlike(NUMBER_TEXT), F.trim(value).try_cast("double"))
+        # The first character rules most texts out before a long one is looked at.
+        first = F.ascii(value)
+        likely = (first <= ord("9")) | first.isin(*[ord(c) for c in "INin"])
+        return F.when(likely & value.rlike(NUMBER_TEXT), F.trim(value).try_cast("double"))
     return F.lit(None).cast("double")
 
 
@@ -39,8 +52,9 @@ def as_date(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, DATE_TYPES):
         return value.cast("date")
     if isinstance(dtype, T.StringType):
+        likely = F.ascii(value) <= ord("9")
         iso = F.regexp_replace(value, DATE_TEXT, "$1-$3-$4")
-        return F.when(value.rlike(DATE_TEXT), iso.try_cast("date"))
+        return F.when(likely & value.rlike(DATE_TEXT), iso.try_cast("date"))
     return F.lit(None).cast("date")
 
 

@@ -83,10 +83,16 @@ def detect_formats_strict(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def detect_formats_with_fallback(df: DataFrame, columns: list[str]) -> DataFrame:
     """Sampled detection, then the strict pass for columns it could not decide."""
-    sampled = detect_formats(df, columns)
-    strict = detect_formats_strict(df, columns)
-    # One row per column at most on either side.
-    return sampled.unionByName(strict.join(F.broadcast(sampled), "column_name", "left_anti"))
+    return _with_fallback(_text_values(df, columns))
+
+
+def _with_fallback(values: DataFrame) -> DataFrame:
+    names = [f for f, _ in DATE_FORMATS]
+    sampled = _best(_score(_sample(values), names, F.lit(1)), F.col("parsed") >= MIN_SUCCESS * F.col("tested"))
+    # At most one row per column is broadcast; only undecided columns are parsed in full.
+    undecided = values.join(F.broadcast(sampled.select("column_name")), "column_name", "left_anti")
+    strict = _best(_score(undecided, STRICT_FORMATS, F.col("n")), F.col("parsed") == F.col("tested"))
+    return sampled.unionByName(strict)
 
 
 def format_report(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,7 +102,7 @@ def format_report(df: DataFrame, columns: list[str]) -> DataFrame:
     shows five sampled values. Undecided columns carry an error text.
     """
     values = _text_values(df, columns)
-    chosen = detect_formats_with_fallback(df, columns)
+    chosen = _with_fallback(values)
     stamped = values.join(F.broadcast(chosen.select("column_name", "date_format")), "column_name", "left")
     stamped = stamped.withColumn("_t", parse_by_format_column(F.col("value"), F.col("date_format")))
     parsed = F.when(F.col("_t").isNotNull(), F.col("n")).otherwise(0)

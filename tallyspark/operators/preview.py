@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tallyspark.functions.dates import DATE_FORMATS, parse_timestamp
-from tallyspark.functions.safe import DATE_TYPES, as_date, as_number, as_text, ratio, rounded
-from tallyspark.operators.profile import TableProfile, long_format
-from tallyspark.operators.quantiles import column_percentiles
+from tallyspark.functions.safe import DATE_TYPES, as_date, as_number, as_text, column, ratio, rounded
+from tallyspark.operators.profile import COUNTS, MOMENTS, TableProfile, long_format
+from tallyspark.operators.quantiles import exact_percentiles
 
 # Preview limits.
 TOP_VALUES = 5
@@ -116,22 +116,20 @@ class TablePreview:
     def _of_kind(self, kind: str) -> DataFrame:
         return self.types().filter(F.col("inferred_best_dtype").startswith(kind)).select("column_name")
 
+    def _fields_of_kind(self, kind: str) -> list[T.StructField]:
+        """Columns inferred to be of a kind; typed columns need no look at the data."""
+        names = {r["column_name"] for r in self._of_kind(kind).collect()}
+        return [f for f in self.df.schema.fields if f.name in names]
+
     def numeric(self) -> DataFrame:
         """Mean, deviation, extremes and quartiles of numeric columns; unreadable values are left out."""
-        fields = [
-            f for f in self.df.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType))
-        ]
-        long = long_format(self.df, fields, as_number, "v").join(
-            F.broadcast(self._of_kind("numeric")), "column_name", "left_semi"
-        )
-        moments = long.groupBy("column_name").agg(
-            F.avg("v").alias("avg"), F.stddev_samp("v").alias("sd"), F.min("v").alias("low"), F.max("v").alias("high")
-        )
-        quartiles = column_percentiles(long, "column_name", "v", [0.25, 0.5, 0.75])
-        return moments.join(F.broadcast(quartiles), "column_name").select(
+        fields = self._fields_of_kind("numeric")
+        values = {f.name: as_number(column(f.name), f.dataType) for f in fields}
+        stats = exact_percentiles(self.df, values, [0.25, 0.5, 0.75], MOMENTS).filter(F.col("n") > 0)
+        return stats.select(
             "column_name",
             rounded("avg", 3).alias("mean"),
-            rounded("sd", 3).alias("std_dev"),
+            rounded(F.sqrt("var"), 3).alias("std_dev"),
             rounded("low", 3).alias("min"),
             rounded("p0", 3).alias("percentile_25"),
             rounded("p1", 3).alias("median"),
@@ -188,8 +186,8 @@ class TablePreview:
             F.lit("High cardinality or mostly unique string values. Not showing top N.").alias("note"),
         )
         empty = (
-            self._profile._per_column(lambda v, _: {"rows": F.count(F.lit(1)), "present": F.count(v)})
-            .filter((F.col("present") == 0) & (F.col("rows") > 0))
+            self._profile.per_column(COUNTS)
+            .filter("non_null_count = 0 AND total_count > 0")
             .select("column_name", F.lit("Column is entirely empty (all NaN).").alias("note"))
         )
         return unique_texts.unionByName(empty)

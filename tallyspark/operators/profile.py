@@ -1,19 +1,19 @@
 """Full table profile: quality, types, statistics, distributions, top values, correlations.
 
-The statistics come from column-pruned global aggregates; everything that depends on distinct
-values comes from one (column, value) frequency table, which pre-aggregates before its shuffle so
-that a value holding a third of all rows costs one row per map task.
+Statistics come from column-pruned global aggregates, which shuffle one row per task. Only what
+depends on distinct values shuffles values, pre-aggregated so that a value holding a third of all
+rows costs one row per task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from tallyspark.functions.safe import (
     DATE_TYPES,
@@ -25,8 +25,10 @@ from tallyspark.functions.safe import (
     ratio,
     ratio_or_zero,
     rounded,
+    sql_double,
+    sql_text,
 )
-from tallyspark.operators.quantiles import column_percentiles
+from tallyspark.operators.quantiles import exact_percentiles
 
 # Thresholds of the profile.
 TOP_VALUES = 50
@@ -37,27 +39,72 @@ HISTOGRAM_MIN_ROWS = 100
 YEARLY_MIN_ROWS = 10
 CORRELATION_MIN, CORRELATION_MODERATE, CORRELATION_STRONG = 0.1, 0.3, 0.7
 
-COLUMNS_PER_AGGREGATE = 24
+# Columns handled by one aggregate. Small blocks keep the generated code small enough to be compiled to
+# machine code; each block scans only its own columns, so no more bytes are read.
+COLUMNS_PER_AGGREGATE = 4
 CORRELATION_TILE = 8
 
+Fields = list[T.StructField]
+Read = Callable[[Column, T.DataType], Column]
+
+# SQL aggregates of one column: {raw} is the column itself, {num}, {day} and {text} its readings.
+COUNTS = {"total_count": "count(1)", "non_null_count": "count({raw})"}
+READABLE = COUNTS | {"numbers": "count({num})", "dates": "count({day})"}
+MOMENTS = {"low": "min({v})", "high": "max({v})", "avg": "avg({v})", "var": "var_samp({v})"}
+READINGS: dict[str, Read] = {
+    "raw": lambda value, _: value,
+    "num": as_number,
+    "day": as_date,
+    "text": as_text,
+}
+LOGICAL_TYPE = "CASE WHEN numbers > 0 THEN 'numeric' WHEN dates > 0 THEN 'datetime' ELSE 'categorical' END"
+
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def long_format(df: DataFrame, fields: list[T.StructField], read, value: str) -> DataFrame:
+def _blocks(fields: Fields) -> list[Fields]:
+    return [fields[i : i + COLUMNS_PER_AGGREGATE] for i in range(0, len(fields), COLUMNS_PER_AGGREGATE)]
+
+
+def _struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+
+
+def _as_rows(one_row: DataFrame, structs: list[str]) -> DataFrame:
+    """A one-row aggregate spread over several rows."""
+    return one_row.selectExpr(f"inline(array({', '.join(structs)}))")
+
+
+def long_format(df: DataFrame, fields: Fields, read: Read, value: str) -> DataFrame:
     """(column_name, value) for every non-null value ``read(column, dtype)`` of the given columns."""
     if not fields:
-        nothing = df.limit(0).select(F.lit("").alias("column_name"), F.lit(None).alias(value))
-        return nothing.withColumn(value, read(F.lit(None).cast("string"), T.StringType()))
+        nothing = read(F.lit(None).cast("string"), T.StringType())
+        return df.limit(0).select(F.lit("").alias("column_name"), nothing.alias(value))
     wide = df.select(*[read(column(f.name), f.dataType).alias(f.name) for f in fields])
     names = [column(f.name) for f in fields]
     return wide.unpivot([], names, "column_name", value).filter(F.col(value).isNotNull())
 
 
-@dataclass(frozen=True)
+def _family(dtype: T.DataType) -> str:
+    """The type in which distinct values of a column are counted."""
+    if isinstance(dtype, T.IntegralType):
+        return "bigint"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double"
+    if isinstance(dtype, (T.BooleanType, T.DecimalType, *DATE_TYPES)):
+        return dtype.simpleString()
+    return "string"
+
+
+@dataclass(eq=False)
 class TableProfile:
-    """Profile of any DataFrame. Every method returns a lazy DataFrame."""
+    """Profile of any DataFrame; every method returns a DataFrame.
+
+    Which text columns hold numbers, and the range of each numeric column, are looked up once and
+    kept (one row per column), so that later passes read only the columns they concern.
+    """
 
     df: DataFrame
     name: str = "table"
@@ -66,115 +113,129 @@ class TableProfile:
     # -- columns ---------------------------------------------------------------------------
 
     @property
-    def fields(self) -> list[T.StructField]:
+    def fields(self) -> Fields:
         return list(self.df.schema.fields)
 
-    def _may_be_numeric(self, field: T.StructField) -> bool:
-        return isinstance(field.dataType, (*NUMERIC_TYPES, T.StringType))
+    @property
+    def text_fields(self) -> Fields:
+        return [f for f in self.fields if isinstance(f.dataType, T.StringType)]
 
-    def _may_be_date(self, field: T.StructField) -> bool:
-        return isinstance(field.dataType, (*DATE_TYPES, T.StringType))
+    @property
+    def untyped_fields(self) -> Fields:
+        """Columns that are neither numbers nor dates by declaration."""
+        return [f for f in self.fields if not isinstance(f.dataType, (*NUMERIC_TYPES, *DATE_TYPES))]
+
+    @cached_property
+    def _text_types(self) -> dict[str, str]:
+        """Logical type of every text column."""
+        if not self.text_fields:
+            return {}
+        rows = self.per_column(READABLE, self.text_fields).selectExpr("column_name", f"{LOGICAL_TYPE} AS kind")
+        return {r["column_name"]: r["kind"] for r in rows.collect()}
+
+    def fields_of(self, kind: str) -> Fields:
+        """Columns of a logical type. Only text columns have to be looked at."""
+
+        def logical(field: T.StructField) -> str:
+            if isinstance(field.dataType, NUMERIC_TYPES):
+                return "numeric"
+            if isinstance(field.dataType, DATE_TYPES):
+                return "datetime"
+            return self._text_types.get(field.name, "categorical")
+
+        return [f for f in self.fields if logical(f) == kind]
+
+    @cached_property
+    def _ranges(self) -> dict[str, Row]:
+        """Counts, minimum, maximum and mean of every numeric column with a value."""
+        fields = self.fields_of("numeric")
+        if not fields:
+            return {}
+        measures = COUNTS | {"n": "count({num})", "low": "min({num})", "high": "max({num})", "mean": "avg({num})"}
+        return {r["column_name"]: r for r in self.per_column(measures, fields).collect() if r["n"] > 0}
 
     # -- shared aggregates -----------------------------------------------------------------
 
-    def _per_column(self, measures, fields: list[T.StructField] | None = None) -> DataFrame:
+    def per_column(self, measures: dict[str, str], fields: Fields | None = None) -> DataFrame:
         """Global aggregates turned into one row per column.
 
-        ``measures(value, dtype)`` gives named aggregate columns. Wide tables are handled in
-        blocks of columns: each block scans only its own columns, so the bytes read stay those
-        of a single scan and the generated code stays small.
+        ``measures`` maps labels to SQL aggregates of {raw}, {num}, {day} or {text}. Wide tables are
+        handled in blocks of columns: each block scans only its own columns.
         """
-        fields = self.fields if fields is None else fields
+        used = [r for r in READINGS if any("{" + r + "}" in m for m in measures.values())]
         frames = []
-        for at in range(0, len(fields), COLUMNS_PER_AGGREGATE):
-            block = fields[at : at + COLUMNS_PER_AGGREGATE]
+        for block in _blocks(self.fields if fields is None else fields):
+            readings = [
+                READINGS[r](column(f.name), f.dataType).alias(f"{r}{i}") for i, f in enumerate(block) for r in used
+            ]
             aggs, rows = [], []
             for i, field in enumerate(block):
-                named = measures(column(field.name), field.dataType)
-                aggs += [agg.alias(f"_{i}_{label}") for label, agg in named.items()]
-                rows.append(
-                    F.struct(
-                        F.lit(at + i).alias("position"),
-                        F.lit(field.name).alias("column_name"),
-                        *[F.col(f"_{i}_{label}").alias(label) for label in named],
-                    )
-                )
-            frames.append(self.df.agg(*aggs).select(F.inline(F.array(*rows))))
+                names = {r: f"{r}{i}" for r in READINGS}
+                aggs += [f"{agg.format(**names)} AS {label}_{i}" for label, agg in measures.items()]
+                rows.append(_struct(column_name=sql_text(field.name), **{label: f"{label}_{i}" for label in measures}))
+            frames.append(_as_rows(self.df.select(*readings).selectExpr(*aggs), rows))
         return _union(frames)
 
-    def _counts(self, value: Column) -> dict[str, Column]:
-        return {"total_count": F.count(F.lit(1)), "non_null_count": F.count(value)}
-
-    def _type_measures(self, value: Column, dtype: T.DataType) -> dict[str, Column]:
-        """Counts plus how many values read as a number or as a date."""
-        measures = self._counts(value)
-        if isinstance(dtype, NUMERIC_TYPES):
-            return measures | {"numbers": F.count(value), "dates": F.lit(0).cast("long")}
-        if isinstance(dtype, DATE_TYPES):
-            return measures | {"numbers": F.lit(0).cast("long"), "dates": F.count(value)}
-        return measures | {"numbers": F.count(as_number(value, dtype)), "dates": F.count(as_date(value, dtype))}
-
-    @staticmethod
-    def _logical_type() -> Column:
-        return (
-            F.when(F.col("numbers") > 0, "numeric").when(F.col("dates") > 0, "datetime").otherwise("categorical")
-        )
-
-    def value_frequencies(self, fields: list[T.StructField] | None = None) -> DataFrame:
-        """(column_name, value, n) for every distinct non-null value of every column."""
-        fields = self.fields if fields is None else fields
-        long = long_format(self.df, fields, as_text, "value")
+    def value_frequencies(self, fields: Fields | None = None) -> DataFrame:
+        """(column_name, value, n) for every distinct non-null value of every column, as text."""
+        long = long_format(self.df, self.fields if fields is None else fields, as_text, "value")
         return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
-    def unique_counts(self, fields: list[T.StructField] | None = None) -> DataFrame:
-        """(column_name, unique_count): exact, or within sketch error when asked for."""
+    def unique_counts(self, fields: Fields | None = None) -> DataFrame:
+        """(column_name, unique_count): exact, or within sketch error when asked for.
+
+        Columns of one type are counted together in that type, which keeps the rows that move small.
+        """
         fields = self.fields if fields is None else fields
         if self.approximate_distinct:
-            return self._per_column(
-                lambda v, t: {"unique_count": F.approx_count_distinct(as_text(v, t))}, fields
-            ).drop("position")
-        return self.value_frequencies(fields).groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
+            return self.per_column({"unique_count": "approx_count_distinct({text})"}, fields)
+        families: dict[str, Fields] = {}
+        for field in fields:
+            families.setdefault(_family(field.dataType), []).append(field)
+        counts = []
+        for family, members in families.items():
+
+            def read(value: Column, dtype: T.DataType, family: str = family) -> Column:
+                return as_text(value, dtype) if family == "string" else value.cast(family)
+
+            distinct = long_format(self.df, members, read, "value").distinct()
+            counts.append(distinct.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count")))
+        return _union(counts)
 
-    def _numeric_long(self) -> DataFrame:
-        """(column_name, v) for every value that reads as a number."""
-        return long_format(self.df, [f for f in self.fields if self._may_be_numeric(f)], as_number, "v")
+    def _nothing(self, schema: str) -> DataFrame:
+        return self.df.sparkSession.createDataFrame([], schema)
 
     # -- table level -----------------------------------------------------------------------
 
     def summary(self) -> DataFrame:
         """Rows, columns and whether there was anything to analyse."""
-        rows = F.count(F.lit(1))
-        width = F.lit(len(self.fields)).cast("long")
-        return self.df.agg(
-            F.lit(self.name).alias("table_name"),
-            rows.alias("total_rows"),
-            F.when(rows > 0, width).otherwise(F.lit(0).cast("long")).alias("total_columns"),
-            F.when(rows > 0, "analyzed").otherwise("empty_file").alias("status"),
+        return self.df.selectExpr(
+            f"{sql_text(self.name)} AS table_name",
+            "count(1) AS total_rows",
+            f"CASE WHEN count(1) > 0 THEN {len(self.fields)}L ELSE 0L END AS total_columns",
+            "CASE WHEN count(1) > 0 THEN 'analyzed' ELSE 'empty_file' END AS status",
         )
 
     def overall(self) -> DataFrame:
         """Cell completeness and how many columns there are of each logical type."""
-        per_column = self._per_column(self._type_measures).withColumn("kind", self._logical_type())
+        per_column = self.per_column(READABLE).selectExpr("*", f"{LOGICAL_TYPE} AS kind")
         total, present = F.sum("total_count"), F.sum("non_null_count")
-
-        def columns_of(kind: str) -> Column:
-            return F.count_if(F.col("kind") == kind).alias(f"{kind}_columns")
-
+        kinds = [
+            F.count_if(F.col("kind") == kind).alias(f"{kind}_columns") for kind in ("numeric", "categorical", "datetime")
+        ]
         return per_column.agg(
             total.alias("total_cells"),
             (total - present).alias("missing_cells"),
             rounded(ratio_or_zero(present * 100, total), 2).alias("overall_completeness"),
-            columns_of("numeric"),
-            columns_of("categorical"),
-            columns_of("datetime"),
+            *kinds,
         )
 
     # -- column level ----------------------------------------------------------------------
 
     def quality(self) -> DataFrame:
         """Missing and distinct counts of each column with their percentages."""
-        base = self._per_column(lambda v, t: self._counts(v))
-        rows = base.join(F.broadcast(self.unique_counts()), "column_name", "left")
+        # One row per column on either side.
+        rows = self.per_column(COUNTS).join(F.broadcast(self.unique_counts()), "column_name", "left")
         total, present = F.col("total_count"), F.col("non_null_count")
         unique = F.coalesce("unique_count", F.lit(0).cast("long"))
         return rows.select(
@@ -195,41 +256,24 @@ class TableProfile:
         One readable value makes the column numeric (or datetime); the parse rate says how much
         of the column really is.
         """
-        rows = self._per_column(self._type_measures)
-        readable = F.when(F.col("numbers") > 0, F.col("numbers")).otherwise(F.col("dates"))
-        originals = F.element_at(
-            F.create_map(*[x for f in self.fields for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))]),
-            F.col("column_name"),
-        )
-        return rows.select(
+        declared = F.create_map(*[F.lit(x) for f in self.fields for x in (f.name, f.dataType.simpleString())])
+        readable = F.when(F.col("numbers") > 0, F.col("numbers")).when(F.col("dates") > 0, F.col("dates"))
+        return self.per_column(READABLE).select(
             F.lit(self.name).alias("table_name"),
             "column_name",
-            originals.alias("original_dtype"),
-            self._logical_type().alias("inferred_best_dtype"),
+            F.element_at(declared, F.col("column_name")).alias("original_dtype"),
+            F.expr(LOGICAL_TYPE).alias("inferred_best_dtype"),
             "non_null_count",
-            F.when(self._logical_type() != "categorical", rounded(ratio(readable, F.col("non_null_count")), 4)).alias(
-                "parse_rate"
-            ),
+            rounded(ratio(readable, F.col("non_null_count")), 4).alias("parse_rate"),
         )
 
-    def _categorical(self, rows: DataFrame) -> DataFrame:
-        return rows.filter((F.col("numbers") == 0) & (F.col("dates") == 0))
-
     def string_stats(self) -> DataFrame:
         """Shortest, longest and average text length of categorical columns."""
-
-        def measures(value: Column, dtype: T.DataType) -> dict[str, Column]:
-            size = F.length(as_text(value, dtype))
-            lengths = {"low": F.min(size), "high": F.max(size), "mean": F.avg(size)}
-            return self._type_measures(value, dtype) | lengths
-
-        fields = [f for f in self.fields if not isinstance(f.dataType, (*NUMERIC_TYPES, *DATE_TYPES))]
-        if not fields:
-            return self.df.sparkSession.createDataFrame(
-                [], "column_name string, min_length long, max_length long, avg_length double"
-            )
-        rows = self._categorical(self._per_column(measures, fields)).filter(F.col("low").isNotNull())
-        return rows.select(
+        lengths = {"low": "min(length({text}))", "high": "max(length({text}))", "mean": "avg(length({text}))"}
+        if not self.untyped_fields:
+            return self._nothing("column_name string, min_length long, max_length long, avg_length double")
+        rows = self.per_column(READABLE | lengths, self.untyped_fields)
+        return rows.filter("numbers = 0 AND dates = 0 AND low IS NOT NULL").select(
             "column_name",
             F.col("low").cast("long").alias("min_length"),
             F.col("high").cast("long").alias("max_length"),
@@ -238,113 +282,99 @@ class TableProfile:
 
     def numeric_stats(self) -> DataFrame:
         """Moments and exact percentiles of every column with at least one number."""
-        fields = [f for f in self.fields if self._may_be_numeric(f)]
-
-        def measures(value: Column, dtype: T.DataType) -> dict[str, Column]:
-            v = as_number(value, dtype)
-            return {
-                "low": F.min(v),
-                "high": F.max(v),
-                "avg": F.avg(v),
-                "sd": F.stddev_samp(v),
-                "var": F.variance(v),
-            }
-
-        moments = self._per_column(measures, fields).filter(F.col("low").isNotNull())
-        percentiles = column_percentiles(self._numeric_long(), "column_name", "v", [0.05, 0.25, 0.5, 0.75, 0.95])
-        rows = moments.join(F.broadcast(percentiles), "column_name")
-
-        def r3(value: Column) -> Column:
-            return rounded(value, 3)
-
-        return rows.select(
-            "column_name",
-            r3(F.col("low")).alias("min"),
-            r3(F.col("high")).alias("max"),
-            r3(F.col("avg")).alias("mean"),
-            r3(F.col("p2")).alias("median"),
-            r3(F.col("sd")).alias("std_dev"),
-            r3(F.col("var")).alias("variance"),
-            r3(F.col("high") - F.col("low")).alias("range"),
-            r3(F.col("p0")).alias("p5"),
-            r3(F.col("p1")).alias("q1"),
-            r3(F.col("p3")).alias("q3"),
-            r3(F.col("p4")).alias("p95"),
-            r3(F.col("p3") - F.col("p1")).alias("iqr"),
-            r3(ratio(F.col("sd"), F.col("avg"))).alias("coefficient_of_variation"),
-        )
+        stats = {
+            "min": "low",
+            "max": "high",
+            "mean": "avg",
+            "median": "p2",
+            "std_dev": "sqrt(var)",
+            "variance": "var",
+            "range": "high - low",
+            "p5": "p0",
+            "q1": "p1",
+            "q3": "p3",
+            "p95": "p4",
+            "iqr": "p3 - p1",
+            "coefficient_of_variation": "try_divide(sqrt(var), avg)",
+        }
+        fields = self.fields_of("numeric")
+        if not fields:
+            return self._nothing("column_name string, " + ", ".join(f"{label} double" for label in stats))
+        values = {f.name: as_number(column(f.name), f.dataType) for f in fields}
+        found = exact_percentiles(self.df, values, [0.05, 0.25, 0.5, 0.75, 0.95], MOMENTS).filter("n > 0")
+        return found.select("column_name", *[rounded(F.expr(value), 3).alias(label) for label, value in stats.items()])
 
     def histogram(self) -> DataFrame:
-        """Ten equal-width buckets per numeric column; the maximum sits in bucket eleven."""
-        fields = [f for f in self.fields if self._may_be_numeric(f)]
-
-        def measures(value: Column, dtype: T.DataType) -> dict[str, Column]:
-            v = as_number(value, dtype)
-            return {"low": F.min(v), "high": F.max(v), "present": F.count(value)}
+        """Ten equal-width buckets per numeric column; the maximum sits in bucket eleven.
 
-        bounds = self._per_column(measures, fields).filter(F.col("present") > HISTOGRAM_MIN_ROWS)
-        # One row per column of the table, so the broadcast is bounded by its width.
-        rows = self._numeric_long().join(F.broadcast(bounds.select("column_name", "low", "high")), "column_name")
-        bucket = F.width_bucket("v", "low", "high", F.lit(HISTOGRAM_BUCKETS))
-        return (
-            rows.select("column_name", F.coalesce(bucket, F.lit(1)).alias("bucket"))
-            .groupBy("column_name", "bucket")
-            .agg(F.count(F.lit(1)).alias("frequency"))
-        )
+        The ranges are known, so each bucket is one conditional count and nothing is shuffled but the
+        counts. A column with a single value has one bucket.
+        """
+        known = self._ranges
+        fields = [f for f in self.fields_of("numeric") if f.name in known]
+        fields = [f for f in fields if known[f.name]["non_null_count"] > HISTOGRAM_MIN_ROWS]
+        frames = []
+        for block in _blocks(fields):
+            placed = self.df.select(*[as_number(column(f.name), f.dataType).alias(f"v{i}") for i, f in enumerate(block)])
+            buckets = [self._bucket(f"v{i}", f.name) + f" AS b{i}" for i, f in enumerate(block)]
+            cells = [(i, f, k) for i, f in enumerate(block) for k in range(1, HISTOGRAM_BUCKETS + 2)]
+            counts = placed.selectExpr(*buckets).selectExpr(*[f"count_if(b{i} = {k}) AS n{i}_{k}" for i, _, k in cells])
+            rows = [_struct(column_name=sql_text(f.name), bucket=f"{k}L", frequency=f"n{i}_{k}") for i, f, k in cells]
+            frames.append(_as_rows(counts, rows).filter("frequency > 0"))
+        if not frames:
+            return self._nothing("column_name string, bucket long, frequency long")
+        return _union(frames)
 
-    def _date_measures(self, value: Column, dtype: T.DataType) -> dict[str, Column]:
-        day = as_date(value, dtype)
-        return self._type_measures(value, dtype) | {"min_date": F.min(day), "max_date": F.max(day)}
+    def _bucket(self, value: str, name: str) -> str:
+        low, high = self._ranges[name]["low"], self._ranges[name]["high"]
+        if not low < high:
+            return f"CASE WHEN {value} IS NOT NULL THEN 1 END"
+        return f"width_bucket({value}, {sql_double(low)}, {sql_double(high)}, {HISTOGRAM_BUCKETS})"
 
     def datetime_stats(self) -> DataFrame:
         """First and last day of each datetime column and the days between them."""
-        fields = [f for f in self.fields if self._may_be_date(f)]
-        rows = self._per_column(self._date_measures, fields).filter(
-            (F.col("numbers") == 0) & (F.col("dates") > 0)
-        )
-        return rows.select(
-            "column_name",
-            "min_date",
-            "max_date",
-            F.datediff("max_date", "min_date").cast("long").alias("date_range_days"),
-        )
+        fields = self.fields_of("datetime")
+        if not fields:
+            return self._nothing("column_name string, min_date date, max_date date, date_range_days long")
+        rows = self.per_column({"min_date": "min({day})", "max_date": "max({day})"}, fields)
+        return rows.selectExpr("*", "bigint(datediff(max_date, min_date)) AS date_range_days")
 
     def yearly(self) -> DataFrame:
         """Rows per year of each datetime column with more than ten values."""
-        fields = [f for f in self.fields if self._may_be_date(f)]
-        kinds = self._per_column(self._type_measures, fields).filter(
-            (F.col("numbers") == 0) & (F.col("dates") > 0) & (F.col("non_null_count") > YEARLY_MIN_ROWS)
-        )
-        years = long_format(self.df, fields, lambda v, t: F.year(as_date(v, t)), "year")
-        per_year = years.groupBy("column_name", "year").agg(F.count(F.lit(1)).alias("count"))
-        return per_year.join(F.broadcast(kinds.select("column_name")), "column_name", "left_semi").select(
-            "column_name", F.col("year").cast("long").alias("year"), "count"
-        )
+        fields = self.fields_of("datetime")
+        if not fields:
+            return self._nothing("column_name string, year long, count long")
+        years = long_format(self.df, fields, lambda v, t: F.year(as_date(v, t)).cast("long"), "year")
+        per_year = years.groupBy("column_name", "year").count()
+        enough = self.per_column(COUNTS, fields).filter(F.col("non_null_count") > YEARLY_MIN_ROWS)
+        return per_year.join(F.broadcast(enough.select("column_name")), "column_name", "left_semi")
 
     def _categorical_counts(self) -> tuple[DataFrame, DataFrame]:
-        """Value frequencies of the text-like columns, and their counts per categorical column."""
-        fields = [f for f in self.fields if not isinstance(f.dataType, (*NUMERIC_TYPES, *DATE_TYPES))]
+        """Value frequencies of the categorical columns, and counts per such column."""
+        fields = self.fields_of("categorical")
         frequencies = self.value_frequencies(fields)
-        kinds = self._categorical(self._per_column(self._type_measures, fields))
+        if not fields:
+            return frequencies, self._nothing("column_name string, non_null_count long, unique_count long")
         uniques = frequencies.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
-        counts = kinds.join(F.broadcast(uniques), "column_name", "left").select(
-            "column_name", "non_null_count", F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count")
+        present = self.per_column(COUNTS, fields)
+        return frequencies, present.join(F.broadcast(uniques), "column_name", "left").selectExpr(
+            "column_name", "non_null_count", "coalesce(unique_count, 0L) AS unique_count"
         )
-        return frequencies, counts
 
     def top_values(self) -> DataFrame:
         """Up to fifty most frequent values of categorical columns with at most 100 distinct ones."""
         frequencies, counts = self._categorical_counts()
         few = counts.filter(F.col("unique_count").between(1, TOP_VALUES_MAX_UNIQUE))
-        ranked = frequencies.join(F.broadcast(few), "column_name").withColumn(
-            "rank", F.row_number().over(W.partitionBy("column_name").orderBy(F.desc("n"), "value"))
+        # Only columns of at most 100 values reach the window.
+        ranked = frequencies.join(F.broadcast(few), "column_name").selectExpr(
+            "*", "bigint(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value)) AS rank"
         )
         return ranked.filter(F.col("rank") <= TOP_VALUES).select(
             "column_name",
             "value",
             F.col("n").alias("count"),
             rounded(ratio(F.col("n") * 100, F.col("non_null_count")), 2).alias("percentage"),
-            F.col("rank").cast("long").alias("rank"),
+            "rank",
         )
 
     def top_values_json(self) -> DataFrame:
@@ -388,9 +418,10 @@ class TableProfile:
         """Pearson correlation of numeric column pairs above the reporting threshold.
 
         Pairs are computed in tiles of columns, so one aggregate reads at most two tiles of
-        columns whatever the width of the table.
+        columns whatever the width of the table. Constant columns correlate with nothing.
         """
-        fields = [f for f in self.fields if self._may_be_numeric(f)]
+        known = self._ranges
+        fields = [f for f in self.fields_of("numeric") if f.name in known and known[f.name]["low"] != known[f.name]["high"]]
         tiles = [fields[i : i + CORRELATION_TILE] for i in range(0, len(fields), CORRELATION_TILE)]
         order = {f.name: i for i, f in enumerate(fields)}
         frames = []
@@ -400,39 +431,38 @@ class TableProfile:
                 if pairs:
                     frames.append(self._tile_correlations(pairs))
         if not frames:
-            return self.df.sparkSession.createDataFrame(
-                [], "column1 string, column2 string, correlation double, strength string"
-            )
+            return self._nothing("column1 string, column2 string, correlation double, strength string")
         r = F.abs("r")
-        return (
-            _union(frames)
-            .filter(r > CORRELATION_MIN)
-            .select(
-                "column1",
-                "column2",
-                rounded("r", 3).alias("correlation"),
-                F.when(r > CORRELATION_STRONG, "strong")
-                .when(r > CORRELATION_MODERATE, "moderate")
-                .otherwise("weak")
-                .alias("strength"),
-            )
-        )
+        strength = F.when(r > CORRELATION_STRONG, "strong").when(r > CORRELATION_MODERATE, "moderate").otherwise("weak")
+        shown = _union(frames).filter((r > CORRELATION_MIN) & ~F.isnan("r"))
+        return shown.select("column1", "column2", rounded("r", 3).alias("correlation"), strength.alias("strength"))
 
     def _tile_correlations(self, pairs: list[tuple[T.StructField, T.StructField]]) -> DataFrame:
-        aggs, rows = [], []
-        for i, (x, y) in enumerate(pairs):
-            vx, vy = as_number(column(x.name), x.dataType), as_number(column(y.name), y.dataType)
-            vx, vy = F.when(vy.isNotNull(), vx), F.when(vx.isNotNull(), vy)
-            aggs += [
-                F.covar_pop(vx, vy).alias(f"_c{i}"),
-                F.stddev_pop(vx).alias(f"_x{i}"),
-                F.stddev_pop(vy).alias(f"_y{i}"),
-            ]
-            r = F.try_divide(F.col(f"_c{i}"), F.col(f"_x{i}") * F.col(f"_y{i}"))
-            rows.append(
-                F.struct(F.lit(x.name).alias("column1"), F.lit(y.name).alias("column2"), r.alias("r"))
-            )
-        return self.df.agg(*aggs).select(F.inline(F.array(*rows)))
+        """r of each pair in one aggregate.
+
+        Two columns without missing numbers need only the products of their deviations from the known
+        means. A pair with missing numbers is reduced to the rows that have both.
+        """
+        members = {f.name: f for pair in pairs for f in pair}
+        place = {name: i for i, name in enumerate(members)}
+        full = {name for name in members if self._ranges[name]["n"] == self._ranges[name]["total_count"]}
+        deviations = [
+            (as_number(column(n), f.dataType) - F.lit(self._ranges[n]["mean"])).alias(f"d{i}")
+            for i, (n, f) in enumerate(members.items())
+        ]
+        aggs = [f"sum(d{i} * d{i}) AS q{i}" for i in place.values()]
+        rows = []
+        for k, (x, y) in enumerate(pairs):
+            a, b = place[x.name], place[y.name]
+            if x.name in full and y.name in full:
+                aggs.append(f"sum(d{a} * d{b}) AS c{k}")
+                r = f"try_divide(c{k}, sqrt(q{a}) * sqrt(q{b}))"
+            else:
+                da, db = f"CASE WHEN d{b} IS NOT NULL THEN d{a} END", f"CASE WHEN d{a} IS NOT NULL THEN d{b} END"
+                aggs += [f"covar_pop({da}, {db}) AS c{k}", f"stddev_pop({da}) AS x{k}", f"stddev_pop({db}) AS y{k}"]
+                r = f"try_divide(c{k}, x{k} * y{k})"
+            rows.append(_struct(column1=sql_text(x.name), column2=sql_text(y.name), r=r))
+        return _as_rows(self.df.select(*deviations).selectExpr(*aggs), rows)
 
     # -- whole profile ---------------------------------------------------------------------
 
@@ -461,36 +491,21 @@ def fallback_profile(text_table: DataFrame, name: str = "table") -> DataFrame:
 
     Basic type and moments need every value of a column to read as a number.
     """
-
-    def measures(value: Column, dtype: T.DataType) -> dict[str, Column]:
-        v = as_number(value, dtype)
-        return {
-            "total_count": F.count(F.lit(1)),
-            "non_null_count": F.count(value),
-            "numbers": F.count(v),
-            "dates": F.count(as_date(value, dtype)),
-            "low": F.min(v),
-            "high": F.max(v),
-            "avg": F.avg(v),
-            "sd": F.stddev_samp(v),
-        }
-
     profile = TableProfile(text_table, name)
-    rows = profile._per_column(measures).join(F.broadcast(profile.unique_counts()), "column_name", "left")
+    stats = {"low": "min({num})", "high": "max({num})", "avg": "avg({num})", "sd": "stddev_samp({num})"}
+    rows = profile.per_column(READABLE | stats).join(F.broadcast(profile.unique_counts()), "column_name", "left")
     present = F.col("non_null_count")
     numeric = (present > 0) & (F.col("numbers") == present)
+    dated = (present > 0) & (F.col("dates") == present)
     return rows.select(
         "column_name",
         "total_count",
         present,
         (F.col("total_count") - present).alias("missing_count"),
         F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count"),
-        F.when(numeric, "numeric")
-        .when((present > 0) & (F.col("dates") == present), "datetime")
-        .otherwise("categorical")
-        .alias("inferred_best_dtype"),
-        F.when(numeric, rounded("low", 3)).alias("min"),
-        F.when(numeric, rounded("high", 3)).alias("max"),
-        F.when(numeric, rounded("avg", 3)).alias("mean"),
-        F.when(numeric, rounded("sd", 3)).alias("std_dev"),
+        F.when(numeric, "numeric").when(dated, "datetime").otherwise("categorical").alias("inferred_best_dtype"),
+        *[
+            F.when(numeric, rounded(value, 3)).alias(label)
+            for value, label in (("low", "min"), ("high", "max"), ("avg", "mean"), ("sd", "std_dev"))
+        ],
     )

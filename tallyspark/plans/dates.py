@@ -163,7 +163,7 @@ _REFERENCES_SQL = " UNION ALL ".join(
         FROM ({_REFERENCES_SQL}) GROUP BY ALL"""
 )
 def date_reference_ranges(spark: SparkSession, folder: str) -> DataFrame:
-    """Every order's date in ten ways of referring to a period, resolved row by row."""
+    """Every order's date in ten ways of referring to a period, counted and resolved."""
     d = F.col("o_orderdate")
 
     def written(pattern: str):
@@ -183,7 +183,4 @@ def date_reference_ranges(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("week "), written("MM 'of' yyyy")),
     )
     texts = table(spark, folder, "orders").select(F.explode(refs).alias("ref"))
-    resolved = resolve_date_references(texts, "ref")
-    return resolved.groupBy("ref", "start_date", "end_date", "interpretation_type", "warning").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return resolve_date_references(texts.groupBy("ref").agg(F.count(F.lit(1)).alias("n")), "ref")
