@@ -86,28 +86,37 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def parse_timestamp(text: Column, fmt: str) -> Column:
-    """Read text with one of the known formats; NULL when it does not match."""
-    tidy = F.regexp_replace(strip(text), r"\s+", " ")
-    shaped = tidy.rlike(_shape(fmt))  # a failing parse is far dearer than a failing match
+def tidy(text: Column) -> Column:
+    """Text as the formats expect it: trimmed, with single blanks inside."""
+    return F.regexp_replace(strip(text), r"\s+", " ")
+
+
+def parse_tidy(text: Column, fmt: str) -> Column:
+    """Read tidy text with one of the known formats; NULL when it does not match."""
+    pattern = _SPARK_PATTERN[fmt]
+    shaped = text.rlike(_shape(fmt))  # a failing parse is far dearer than a failing match
     if fmt == "%Y%m%d":
-        spaced = F.regexp_replace(tidy, _COMPACT, "$1-$2-$3")
-        return F.when(shaped, F.try_to_timestamp(spaced, F.lit("yyyy-M-d")))
-    parsed = F.when(shaped, F.try_to_timestamp(tidy, F.lit(_SPARK_PATTERN[fmt])))
+        text, pattern = F.regexp_replace(text, _COMPACT, "$1-$2-$3"), "yyyy-M-d"
+    parsed = F.when(shaped, F.try_to_timestamp(text, F.lit(pattern)))
     if "%y" in fmt:
         # Two-digit years 69-99 belong to the last century.
         return F.when(F.year(parsed) > 2068, parsed - F.expr("INTERVAL 100 YEARS")).otherwise(parsed)
     return parsed
 
 
+def parse_timestamp(text: Column, fmt: str) -> Column:
+    """Read text with one of the known formats; NULL when it does not match."""
+    return parse_tidy(tidy(text), fmt)
+
+
 def parse_date(text: Column, fmt: str) -> Column:
     return parse_timestamp(text, fmt).cast("date")
 
 
 def parse_by_format_column(text: Column, fmt: Column) -> Column:
-    """Read each row with the format named in another column of that row."""
+    """Read each row's tidy text with the format named in another column of that row."""
     return reduce(
-        lambda rest, name: F.when(fmt == name, parse_timestamp(text, name)).otherwise(rest),
+        lambda rest, name: F.when(fmt == name, parse_tidy(text, name)).otherwise(rest),
         [name for name, _ in reversed(DATE_FORMATS)],
         F.lit(None).cast("timestamp"),
     )

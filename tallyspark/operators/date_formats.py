@@ -16,8 +16,8 @@ from tallyspark.functions.dates import (
     STRICT_FORMATS,
     parse_by_format_column,
     parse_date,
-    parse_timestamp,
-    strip,
+    parse_tidy,
+    tidy,
 )
 from tallyspark.functions.safe import as_date, column, rounded
 from tallyspark.operators.profile import TableProfile, long_format
@@ -28,23 +28,24 @@ MIN_SUCCESS = 0.8
 
 
 def _text_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct non-null texts per column with their row counts."""
+    """Distinct non-null texts per column with their row counts, and the tidy form they are read in."""
     fields = [T.StructField(name, T.StringType()) for name in columns]
     long = long_format(df, fields, lambda value, _: value.cast("string"), "value")
-    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("tidy", tidy(F.col("value")))
 
 
 def _sample(values: DataFrame) -> DataFrame:
     """A repeatable sample of distinct non-blank values per column."""
     order = W.partitionBy("column_name").orderBy(F.md5(F.col("value").cast("binary")), "value")
-    filled = values.filter(strip(F.col("value")) != "")
+    filled = values.filter(F.col("tidy") != "")
     return filled.withColumn("_pick", F.row_number().over(order)).filter(F.col("_pick") <= SAMPLE_SIZE)
 
 
 def _score(values: DataFrame, formats: list[str], weight: Column) -> DataFrame:
     """(column_name, tested, position, date_format, parsed) for every format."""
     parsed = [
-        F.sum(F.when(parse_timestamp(F.col("value"), f).isNotNull(), weight).otherwise(0)).alias(f"_f{i}")
+        F.sum(F.when(parse_tidy(F.col("tidy"), f).isNotNull(), weight).otherwise(0)).alias(f"_f{i}")
         for i, f in enumerate(formats)
     ]
     scored = values.groupBy("column_name").agg(F.sum(weight).alias("tested"), *parsed)
@@ -104,7 +105,7 @@ def format_report(df: DataFrame, columns: list[str]) -> DataFrame:
     values = _text_values(df, columns)
     chosen = _with_fallback(values)
     stamped = values.join(F.broadcast(chosen.select("column_name", "date_format")), "column_name", "left")
-    stamped = stamped.withColumn("_t", parse_by_format_column(F.col("value"), F.col("date_format")))
+    stamped = stamped.withColumn("_t", parse_by_format_column(F.col("tidy"), F.col("date_format")))
     parsed = F.when(F.col("_t").isNotNull(), F.col("n")).otherwise(0)
     totals = stamped.groupBy("column_name", "date_format").agg(
         F.min("_t").cast("date").alias("min_date"),
@@ -119,7 +120,7 @@ def format_report(df: DataFrame, columns: list[str]) -> DataFrame:
         .groupBy("column_name")
         .agg(
             F.sort_array(
-                F.collect_list(parse_by_format_column(F.col("value"), F.col("date_format")).cast("string"))
+                F.collect_list(parse_by_format_column(F.col("tidy"), F.col("date_format")).cast("string"))
             ).alias("sample_parsed_dates")
         )
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tallyspark.functions.dates import DATE_FORMATS, parse_timestamp
+from tallyspark.functions.dates import DATE_FORMATS, parse_tidy, tidy
 from tallyspark.functions.safe import DATE_TYPES, as_date, as_number, as_text, column, ratio, rounded
 from tallyspark.operators.profile import COUNTS, MOMENTS, TableProfile, long_format
 from tallyspark.operators.quantiles import exact_percentiles
@@ -73,10 +73,10 @@ class TablePreview:
         declared = self._declared()
         if not self._text_fields:
             return declared
-        value = F.col("value")
+        value, text = F.col("value"), F.col("tidy")
         tested = F.count(F.lit(1))
         dates = [
-            F.count(parse_timestamp(value, f)) == F.count(F.lit(1)) for f, _ in DATE_FORMATS
+            F.count(parse_tidy(text, f)) == F.count(F.lit(1)) for f, _ in DATE_FORMATS
         ] + [F.count(as_date(value, T.StringType())) == F.count(F.lit(1))]
         one_format = dates[0]
         for other in dates[1:]:
@@ -86,7 +86,8 @@ class TablePreview:
             .when(one_format, "datetime (inferred from object)")
             .otherwise("categorical/string (inferred from object)")
         )
-        sampled = sample_values(self.df, self._text_fields).groupBy("column_name").agg(verdict.alias("verdict"))
+        sampled = sample_values(self.df, self._text_fields).withColumn("tidy", tidy(value))
+        sampled = sampled.groupBy("column_name").agg(verdict.alias("verdict"))
         return declared.join(F.broadcast(sampled), "column_name", "left").select(
             "column_name", "original_dtype", F.coalesce("verdict", "inferred_best_dtype").alias("inferred_best_dtype")
         )
