@@ -140,9 +140,8 @@ def profitability(work: DataFrame, by: str, revenue: Column, cost: Column) -> Da
 
 def utilization(activity: DataFrame, worker: str, date: str) -> DataFrame:
     """Days with activity over the days the whole table spans, per worker."""
-    span = activity.agg((F.datediff(F.max(date), F.min(date)) + 1).cast("long").alias("calendar_days"))
+    span = activity.agg((F.datediff(F.max(date), F.min(date)) + 1).cast("long"))
     active = activity.groupBy(worker).agg(F.count_distinct(date).alias("active_days"))
-    # The span is a one-row aggregate.
-    return active.crossJoin(F.broadcast(span)).withColumn(
+    return active.withColumn("calendar_days", span.scalar()).withColumn(
         "utilization", ratio(F.col("active_days"), F.col("calendar_days"))
     )

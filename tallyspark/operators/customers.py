@@ -208,9 +208,10 @@ def acquisition_cost(
     spent = spend.filter(period.holds(F.col(spend_date))).agg(F.sum(spend_amount).alias("spend"))
     # A customer with an event before the period cannot be new in it; later events do not matter.
     seen = firsts.filter(F.col(first_date) <= period.last).groupBy(customer).agg(F.min(first_date).alias("_first"))
-    new = seen.agg(F.count_if(F.col("_first") >= period.first).alias("new_customers"))
-    # Both sides are one-row aggregates.
-    return spent.crossJoin(F.broadcast(new)).withColumn("cac", ratio(F.col("spend"), F.col("new_customers")))
+    new = seen.agg(F.count_if(F.col("_first") >= period.first))
+    return spent.withColumn("new_customers", new.scalar()).withColumn(
+        "cac", ratio(F.col("spend"), F.col("new_customers"))
+    )
 
 
 def predicted_lifetime_value(statuses: Statuses, ledger: Ledger, period: Period, segment: str) -> DataFrame:

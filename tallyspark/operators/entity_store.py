@@ -59,26 +59,32 @@ class EntityStore:
     def _drop_observations(self, names: DataFrame) -> DataFrame:
         return self.observations.join(names, self.observations["entity"] == names["name"], "left_anti")
 
+    def _unknown(self, names: DataFrame) -> DataFrame:
+        """Distinct names that are no entity. A name used by very many rows is one row from here on."""
+        return names.distinct().join(self.entities.select("name"), "name", "left_anti")
+
+    def _unknown_endpoints(self, batch: DataFrame) -> DataFrame:
+        return self._unknown(batch.select(F.explode(F.array("src", "dst")).alias("name")))
+
     def dangling_relations(self, batch: DataFrame) -> DataFrame:
         """(src, dst, relation_type, missing_endpoint) for every endpoint that is no entity."""
-        ends = batch.select(*TRIPLE).distinct()
-        sides = ends.select(*TRIPLE, F.explode(F.array_distinct(F.array("src", "dst"))).alias("missing_endpoint"))
-        known = self.entities.select(F.col("name").alias("missing_endpoint"))
-        return sides.join(known, "missing_endpoint", "left_anti").select(*TRIPLE, "missing_endpoint")
+        ends = F.explode(F.array_distinct(F.array("src", "dst"))).alias("missing_endpoint")
+        sides = batch.select(*TRIPLE).distinct().select(*TRIPLE, ends)
+        missing = self._unknown_endpoints(batch).withColumnRenamed("name", "missing_endpoint")
+        return sides.join(missing, "missing_endpoint", "left_semi").select(*TRIPLE, "missing_endpoint")
 
     def add_relations(self, batch: DataFrame) -> EntityStore:
         """Add relations, each triple once; a missing endpoint rejects the whole batch."""
-        missing = self.dangling_relations(batch).head(1)
+        missing = self._unknown_endpoints(batch).head(1)
         if missing:
-            raise ValueError(f"Entity '{missing[0]['missing_endpoint']}' not found in graph")
+            raise ValueError(f"Entity '{missing[0]['name']}' not found in graph")
         return replace(self, relations=self.relations.unionByName(batch.select(*TRIPLE)).distinct())
 
     def add_observations(self, batch: DataFrame) -> EntityStore:
         """Union (entity, observation) rows into the store; an unknown entity rejects the batch."""
-        known = self.entities.select(F.col("name").alias("entity"))
-        unknown = batch.select("entity").distinct().join(known, "entity", "left_anti").head(1)
+        unknown = self._unknown(batch.select(F.col("entity").alias("name"))).head(1)
         if unknown:
-            raise ValueError(f"Entity {unknown[0]['entity']} not found in graph")
+            raise ValueError(f"Entity {unknown[0]['name']} not found in graph")
         return replace(
             self, observations=self.observations.unionByName(batch.select("entity", "observation")).distinct()
         )

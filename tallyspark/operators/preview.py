@@ -156,9 +156,9 @@ class TablePreview:
         frequencies = self._profile.value_frequencies(self._text_fields)
         uniques = frequencies.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
         kinds = self._of_kind("categorical")
-        # One-row total next to at most one row per column.
-        total = self.df.agg(F.count(F.lit(1)).alias("total_rows"))
-        return frequencies, uniques.join(F.broadcast(kinds), "column_name", "left_semi").crossJoin(F.broadcast(total))
+        total = self.df.agg(F.count(F.lit(1))).scalar()
+        counts = uniques.join(F.broadcast(kinds), "column_name", "left_semi")  # one row per column
+        return frequencies, counts.withColumn("total_rows", total)
 
     def top_values(self) -> DataFrame:
         """Five most frequent values of categorical columns that are not mostly unique."""

@@ -43,6 +43,7 @@ CORRELATION_MIN, CORRELATION_MODERATE, CORRELATION_STRONG = 0.1, 0.3, 0.7
 # machine code; each block scans only its own columns, so no more bytes are read.
 COLUMNS_PER_AGGREGATE = 4
 CORRELATION_TILE = 8
+SHORT_TEXT = 64
 
 Fields = list[T.StructField]
 Read = Callable[[Column, T.DataType], Column]
@@ -98,6 +99,12 @@ def _family(dtype: T.DataType) -> str:
     return "string"
 
 
+def _short(text: Column) -> Column:
+    """A text of bounded size that identifies a text of any size."""
+    digest = F.concat_ws(":", F.length(text).cast("string"), F.sha2(text.cast("binary"), 256))
+    return F.when(F.length(text) > SHORT_TEXT, digest).otherwise(F.concat(F.lit("="), text))
+
+
 @dataclass(eq=False)
 class TableProfile:
     """Profile of any DataFrame; every method returns a DataFrame.
@@ -184,7 +191,8 @@ class TableProfile:
     def unique_counts(self, fields: Fields | None = None) -> DataFrame:
         """(column_name, unique_count): exact, or within sketch error when asked for.
 
-        Columns of one type are counted together in that type, which keeps the rows that move small.
+        Columns of one type are counted together in that type, which keeps the rows that move small;
+        long texts stand in by length and SHA-256 digest.
         """
         fields = self.fields if fields is None else fields
         if self.approximate_distinct:
@@ -196,7 +204,7 @@ class TableProfile:
         for family, members in families.items():
 
             def read(value: Column, dtype: T.DataType, family: str = family) -> Column:
-                return as_text(value, dtype) if family == "string" else value.cast(family)
+                return _short(as_text(value, dtype)) if family == "string" else value.cast(family)
 
             distinct = long_format(self.df, members, read, "value").distinct()
             counts.append(distinct.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count")))
@@ -349,31 +357,41 @@ class TableProfile:
         enough = self.per_column(COUNTS, fields).filter(F.col("non_null_count") > YEARLY_MIN_ROWS)
         return per_year.join(F.broadcast(enough.select("column_name")), "column_name", "left_semi")
 
-    def _categorical_counts(self) -> tuple[DataFrame, DataFrame]:
-        """Value frequencies of the categorical columns, and counts per such column."""
+    def _categorical_counts(self) -> DataFrame:
+        """(column_name, non_null_count, unique_count) per categorical column."""
         fields = self.fields_of("categorical")
-        frequencies = self.value_frequencies(fields)
         if not fields:
-            return frequencies, self._nothing("column_name string, non_null_count long, unique_count long")
-        uniques = frequencies.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
+            return self._nothing("column_name string, non_null_count long, unique_count long")
         present = self.per_column(COUNTS, fields)
-        return frequencies, present.join(F.broadcast(uniques), "column_name", "left").selectExpr(
+        # One row per column on either side.
+        return present.join(F.broadcast(self.unique_counts(fields)), "column_name", "left").selectExpr(
             "column_name", "non_null_count", "coalesce(unique_count, 0L) AS unique_count"
         )
 
+    @cached_property
+    def _few_valued(self) -> dict[str, int]:
+        """Non-null counts of the categorical columns with few enough distinct values to list."""
+        few = self._categorical_counts().filter(F.col("unique_count").between(1, TOP_VALUES_MAX_UNIQUE))
+        return {r["column_name"]: r["non_null_count"] for r in few.collect()}
+
     def top_values(self) -> DataFrame:
-        """Up to fifty most frequent values of categorical columns with at most 100 distinct ones."""
-        frequencies, counts = self._categorical_counts()
-        few = counts.filter(F.col("unique_count").between(1, TOP_VALUES_MAX_UNIQUE))
-        # Only columns of at most 100 values reach the window.
-        ranked = frequencies.join(F.broadcast(few), "column_name").selectExpr(
+        """Up to fifty most frequent values of categorical columns with at most 100 distinct ones.
+
+        Only those columns are grouped by value, so at most 100 rows per column and task move.
+        """
+        few = self._few_valued
+        if not few:
+            return self._nothing("column_name string, value string, count long, percentage double, rank long")
+        frequencies = self.value_frequencies([f for f in self.fields if f.name in few])
+        present = F.element_at(F.create_map(*[F.lit(x) for pair in few.items() for x in pair]), F.col("column_name"))
+        ranked = frequencies.selectExpr(
             "*", "bigint(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value)) AS rank"
         )
         return ranked.filter(F.col("rank") <= TOP_VALUES).select(
             "column_name",
             "value",
             F.col("n").alias("count"),
-            rounded(ratio(F.col("n") * 100, F.col("non_null_count")), 2).alias("percentage"),
+            rounded(ratio(F.col("n") * 100, present), 2).alias("percentage"),
             "rank",
         )
 
@@ -389,7 +407,7 @@ class TableProfile:
 
     def categorical_notes(self) -> DataFrame:
         """Cardinality verdict per categorical column."""
-        _, counts = self._categorical_counts()
+        counts = self._categorical_counts()
         unique = F.col("unique_count")
         skipped = (unique > TOP_VALUES_MAX_UNIQUE) | (unique == 0)
         note = F.concat(F.lit("High cardinality ("), unique.cast("string"), F.lit(" unique values) - analysis skipped"))

@@ -42,9 +42,8 @@ def with_lag(series: DataFrame, value: str, months: int) -> DataFrame:
         F.sum(F.when(F.col("_shift") == 0, F.col("_v"))).alias(value),
         F.sum(F.when(F.col("_shift") == months, F.col("_v"))).alias("_prev"),
     )
-    first = series.agg(F.min("period_start").alias("_first"))
-    filled = _calendar(series).join(moved, "period_start", "left").crossJoin(F.broadcast(first))
-    has_previous = F.add_months("period_start", -months) >= F.col("_first")
+    filled = _calendar(series).join(moved, "period_start", "left")
+    has_previous = F.add_months("period_start", -months) >= series.agg(F.min("period_start")).scalar()
     return filled.select(
         "period_start",
         F.coalesce(value, F.lit(0.0)).alias(value),
@@ -85,16 +84,14 @@ def seasonality(ledger: Ledger) -> DataFrame:
     months = ledger.df.groupBy(F.month(ledger.date).cast("long").alias("month_of_year")).agg(
         F.sum(ledger.amount).alias("revenue")
     )
-    total = months.agg(F.sum("revenue").alias("_total"))  # twelve rows at most
-    return months.crossJoin(F.broadcast(total)).select(
-        "month_of_year", "revenue", ratio(F.col("revenue"), F.col("_total")).alias("share")
-    )
+    total = months.agg(F.sum("revenue")).scalar()
+    return months.select("month_of_year", "revenue", ratio(F.col("revenue"), total).alias("share"))
 
 
 def crosscheck(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
     """Compare one total computed by two routes (each a one-row, one-column frame)."""
     a, b = F.col("route_a"), F.col("route_b")
-    both = left.toDF("route_a").crossJoin(F.broadcast(right.toDF("route_b")))
+    both = left.toDF("route_a").withColumn("route_b", right.scalar())
     relative = ratio(F.abs(a - b), F.abs(a))
     return both.withColumn("abs_diff", F.abs(a - b)).withColumn("ok", F.coalesce(relative <= tolerance, a == b))
 
