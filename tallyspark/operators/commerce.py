@@ -72,13 +72,15 @@ def horizon_value(ledger: Ledger, years: int) -> DataFrame:
 
     The multiplier always matches the granularity of the base value: years, quarters or months.
     """
-    frames = []
-    for granularity in ("year", "quarter", "month"):
-        base = revenue_series(ledger, granularity).agg(F.avg("revenue").alias("base_value"))
-        frames.append(base.select(F.lit(granularity).alias("granularity"), "base_value"))
-    periods = horizon_periods(F.col("granularity"), years)
-    rows = frames[0].unionByName(frames[1]).unionByName(frames[2])
-    return rows.withColumn("periods", periods.cast("long")).withColumn("value", F.col("base_value") * F.col("periods"))
+    monthly = revenue_series(ledger, "month")
+    spread = [
+        F.struct(F.lit(g).alias("granularity"), period_start(F.col("period_start"), g).alias("period"))
+        for g in ("year", "quarter", "month")
+    ]
+    sums = monthly.select("revenue", F.inline(F.array(*spread))).groupBy("granularity", "period")
+    base = sums.agg(F.sum("revenue").alias("revenue")).groupBy("granularity").agg(F.avg("revenue").alias("base_value"))
+    periods = horizon_periods(F.col("granularity"), years).cast("long")
+    return base.withColumn("periods", periods).withColumn("value", F.col("base_value") * F.col("periods"))
 
 
 def marketplace_metrics(sales: DataFrame, party: str, order: str, gmv: Column, commission: Column) -> DataFrame:

@@ -149,13 +149,11 @@ class EntityStore:
 
     def induced(self, names: DataFrame) -> EntityStore:
         """Entities among ``names`` with their observations, and relations with both ends among them."""
-        entities = self.entities.join(names, "name", "left_semi")
-        chosen = entities.select("name")
-        left = self.relations.join(chosen, self.relations["src"] == chosen["name"], "left_semi")
+        left = self.relations.join(names, self.relations["src"] == names["name"], "left_semi")
         return EntityStore(
-            entities,
-            self.observations.join(chosen, self.observations["entity"] == chosen["name"], "left_semi"),
-            left.join(chosen, left["dst"] == chosen["name"], "left_semi"),
+            self.entities.join(names, "name", "left_semi"),
+            self.observations.join(names, self.observations["entity"] == names["name"], "left_semi"),
+            left.join(names, left["dst"] == names["name"], "left_semi"),
         )
 
     def stats(self) -> DataFrame:

@@ -188,15 +188,16 @@ class TableProfile:
         long = long_format(self.df, self.fields if fields is None else fields, as_text, "value")
         return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
-    def unique_counts(self, fields: Fields | None = None) -> DataFrame:
-        """(column_name, unique_count): exact, or within sketch error when asked for.
+    def cardinalities(self, fields: Fields | None = None) -> DataFrame:
+        """(column_name, non_null_count, unique_count): exact, or within sketch error when asked for.
 
         Columns of one type are counted together in that type, which keeps the rows that move small;
-        long texts stand in by length and SHA-256 digest.
+        long texts stand in by length and SHA-256 digest. Both counts come from the same pass.
         """
         fields = self.fields if fields is None else fields
         if self.approximate_distinct:
-            return self.per_column({"unique_count": "approx_count_distinct({text})"}, fields)
+            measures = {"non_null_count": "count({raw})", "unique_count": "approx_count_distinct({text})"}
+            return self.per_column(measures, fields)
         families: dict[str, Fields] = {}
         for field in fields:
             families.setdefault(_family(field.dataType), []).append(field)
@@ -206,9 +207,13 @@ class TableProfile:
             def read(value: Column, dtype: T.DataType, family: str = family) -> Column:
                 return _short(as_text(value, dtype)) if family == "string" else value.cast(family)
 
-            distinct = long_format(self.df, members, read, "value").distinct()
-            counts.append(distinct.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count")))
-        return _union(counts)
+            values = long_format(self.df, members, read, "value").groupBy("column_name", "value").count()
+            counts.append(values.groupBy("column_name").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("u")))
+        # Columns without any value have no counts; the list of names brings them back.
+        names = self.df.sparkSession.sql(f"SELECT inline(array({', '.join(_struct(column_name=sql_text(f.name)) for f in fields)}))")
+        return names.join(F.broadcast(_union(counts)), "column_name", "left").selectExpr(
+            "column_name", "coalesce(n, 0L) AS non_null_count", "coalesce(u, 0L) AS unique_count"
+        )
 
     def _nothing(self, schema: str) -> DataFrame:
         return self.df.sparkSession.createDataFrame([], schema)
@@ -242,10 +247,8 @@ class TableProfile:
 
     def quality(self) -> DataFrame:
         """Missing and distinct counts of each column with their percentages."""
-        # One row per column on either side.
-        rows = self.per_column(COUNTS).join(F.broadcast(self.unique_counts()), "column_name", "left")
-        total, present = F.col("total_count"), F.col("non_null_count")
-        unique = F.coalesce("unique_count", F.lit(0).cast("long"))
+        rows = self.cardinalities().withColumn("total_count", self.df.agg(F.count(F.lit(1))).scalar())
+        total, present, unique = F.col("total_count"), F.col("non_null_count"), F.col("unique_count")
         return rows.select(
             "column_name",
             total,
@@ -253,7 +256,7 @@ class TableProfile:
             (total - present).alias("missing_count"),
             rounded(ratio_or_zero((total - present) * 100, total), 2).alias("missing_percentage"),
             rounded(ratio_or_zero(present * 100, total), 2).alias("completeness_percentage"),
-            unique.alias("unique_count"),
+            unique,
             rounded(ratio_or_zero(unique * 100, present), 2).alias("uniqueness_percentage"),
             rounded(ratio_or_zero(unique, present), 4).alias("cardinality_ratio"),
         )
@@ -362,11 +365,7 @@ class TableProfile:
         fields = self.fields_of("categorical")
         if not fields:
             return self._nothing("column_name string, non_null_count long, unique_count long")
-        present = self.per_column(COUNTS, fields)
-        # One row per column on either side.
-        return present.join(F.broadcast(self.unique_counts(fields)), "column_name", "left").selectExpr(
-            "column_name", "non_null_count", "coalesce(unique_count, 0L) AS unique_count"
-        )
+        return self.cardinalities(fields)
 
     @cached_property
     def _few_valued(self) -> dict[str, int]:
@@ -511,7 +510,9 @@ def fallback_profile(text_table: DataFrame, name: str = "table") -> DataFrame:
     """
     profile = TableProfile(text_table, name)
     stats = {"low": "min({num})", "high": "max({num})", "avg": "avg({num})", "sd": "stddev_samp({num})"}
-    rows = profile.per_column(READABLE | stats).join(F.broadcast(profile.unique_counts()), "column_name", "left")
+    # One row per column on either side.
+    uniques = profile.cardinalities().select("column_name", "unique_count")
+    rows = profile.per_column(READABLE | stats).join(F.broadcast(uniques), "column_name")
     present = F.col("non_null_count")
     numeric = (present > 0) & (F.col("numbers") == present)
     dated = (present > 0) & (F.col("dates") == present)
@@ -520,7 +521,7 @@ def fallback_profile(text_table: DataFrame, name: str = "table") -> DataFrame:
         "total_count",
         present,
         (F.col("total_count") - present).alias("missing_count"),
-        F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count"),
+        "unique_count",
         F.when(numeric, "numeric").when(dated, "datetime").otherwise("categorical").alias("inferred_best_dtype"),
         *[
             F.when(numeric, rounded(value, 3)).alias(label)

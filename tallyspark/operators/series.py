@@ -1,8 +1,8 @@
 """Period series: revenue per period, growth, trailing windows, differences.
 
-A series has one row per calendar period. Lags and trailing windows are taken by shifting each row
-to the periods it contributes to and summing once more, which stays distributed and needs no
-window over the whole series.
+A series has one row per calendar period, so a monthly series of any table is small. Lags and
+trailing windows are read from the series held as one calendar map: the transactions behind it are
+scanned and shuffled once, and gaps in the calendar are filled on the way.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.dates import period_calendar, period_start
+from tallyspark.functions.dates import period_start
 from tallyspark.functions.safe import absolute_difference, ratio, signed_difference
 from tallyspark.operators.roles import Ledger
 
@@ -22,32 +22,32 @@ def revenue_series(ledger: Ledger, granularity: str) -> DataFrame:
     )
 
 
-def _calendar(series: DataFrame) -> DataFrame:
-    """Every month from the first to the last of a monthly series."""
-    bounds = series.agg(F.min("period_start").alias("_from"), F.max("period_start").alias("_to"))
-    return period_calendar(bounds, "_from", "_to", "month").select("period_start")
+def _calendar(series: DataFrame, value: str) -> DataFrame:
+    """Every month from the first to the last of a monthly series, each with the whole series as a map.
 
-
-def _shifted(series: DataFrame, value: str, months: list[int]) -> DataFrame:
-    """Each value copied to the periods ``months`` later, with the shift it came by."""
-    copies = F.explode(F.array(*[F.lit(m) for m in months]))
-    return series.select("period_start", F.col(value).alias("_v"), copies.alias("_shift")).select(
-        F.add_months("period_start", F.col("_shift")).alias("period_start"), "_v", "_shift"
+    The map has twelve entries per year whatever the size of the table behind the series.
+    """
+    bounds = series.agg(
+        F.map_from_entries(F.collect_list(F.struct("period_start", value))).alias("_series"),
+        F.min("period_start").alias("_first"),
+        F.max("period_start").alias("_last"),
+    )
+    months = F.sequence("_first", "_last", F.expr("INTERVAL 1 MONTH"))
+    return bounds.filter(F.col("_first").isNotNull()).select(
+        F.explode(months).alias("period_start"), "_series", "_first"
     )
 
 
+def _earlier(months: int) -> Column:
+    """The value some months before the row's period; a gap counts as zero."""
+    return F.coalesce(F.try_element_at("_series", F.add_months("period_start", -months)), F.lit(0.0))
+
+
 def with_lag(series: DataFrame, value: str, months: int) -> DataFrame:
     """(period_start, value, previous) over a gap-filled monthly calendar; gaps count as zero."""
-    moved = _shifted(series, value, [0, months]).groupBy("period_start").agg(
-        F.sum(F.when(F.col("_shift") == 0, F.col("_v"))).alias(value),
-        F.sum(F.when(F.col("_shift") == months, F.col("_v"))).alias("_prev"),
-    )
-    filled = _calendar(series).join(moved, "period_start", "left")
-    has_previous = F.add_months("period_start", -months) >= series.agg(F.min("period_start")).scalar()
-    return filled.select(
-        "period_start",
-        F.coalesce(value, F.lit(0.0)).alias(value),
-        F.when(has_previous, F.coalesce("_prev", F.lit(0.0))).alias("previous"),
+    in_range = F.add_months("period_start", -months) >= F.col("_first")
+    return _calendar(series, value).select(
+        "period_start", _earlier(0).alias(value), F.when(in_range, _earlier(months)).alias("previous")
     )
 
 
@@ -59,14 +59,8 @@ def growth(series: DataFrame, value: str, months: int) -> DataFrame:
 
 def trailing_sum(series: DataFrame, value: str, months: int) -> DataFrame:
     """(period_start, value, trailing): each month with the sum over it and the months before."""
-    moved = _shifted(series, value, list(range(months))).groupBy("period_start").agg(
-        F.sum(F.when(F.col("_shift") == 0, F.col("_v"))).alias(value), F.sum("_v").alias("trailing")
-    )
-    return _calendar(series).join(moved, "period_start", "left").select(
-        "period_start",
-        F.coalesce(value, F.lit(0.0)).alias(value),
-        F.coalesce("trailing", F.lit(0.0)).alias("trailing"),
-    )
+    trailing = sum((_earlier(m) for m in range(1, months)), _earlier(0))
+    return _calendar(series, value).select("period_start", _earlier(0).alias(value), trailing.alias("trailing"))
 
 
 def period_difference(series: DataFrame, value: str, months: int = 1) -> DataFrame:

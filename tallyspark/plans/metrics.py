@@ -294,15 +294,16 @@ def ltv_predicted(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"WITH {TRANSACTIONS} "
     + " UNION ALL ".join(
-        f"""SELECT '{unit}' AS granularity, ROUND(AVG(r), 4) AS base_value, {periods} AS periods,
-            ROUND(AVG(r) * {periods}, 2) AS value
+        f"""SELECT '{unit}' AS granularity, ROUND(AVG(r), 6) AS base_value, {periods} AS periods,
+            ROUND(AVG(r) * {periods}, 4) AS value
             FROM (SELECT SUM(amount) AS r FROM transactions GROUP BY DATE_TRUNC('{unit}', txn_date))"""
         for unit, periods in [("year", 5), ("quarter", 20), ("month", 60)]
     )
 )
 def horizon_value(spark: SparkSession, folder: str) -> DataFrame:
     found = commerce.horizon_value(ledger(spark, folder), 5)
-    return found.withColumn("base_value", rounded("base_value", 4)).withColumn("value", money("value"))
+    # Averages of cents can lie exactly between two cents, where any rounding is a coin toss; keep more digits.
+    return found.withColumn("base_value", rounded("base_value", 6)).withColumn("value", rounded("value", 4))
 
 
 # -- cohorts -----------------------------------------------------------------------------------

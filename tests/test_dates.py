@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.functions.dates import DATE_FORMATS, parse_timestamp, resolve_date_references
+from tallyspark.functions.dates import DATE_FORMATS, parse_timestamp, period_calendar, resolve_date_references
 from tallyspark.operators import date_formats
 from tallyspark.operators.profile import TableProfile
 
@@ -142,3 +142,17 @@ def test_date_references(spark, ref, start, end, kind):
     found = resolve_date_references(df, "ref").first()
     assert (found["start_date"], found["end_date"], found["interpretation_type"]) == (start, end, kind)
     assert (found["warning"] is not None) == (kind == "unparsed")
+
+
+@pytest.mark.parametrize(
+    "granularity, expected",
+    [
+        ("month", [(D(2023, 11, 1), D(2023, 11, 30)), (D(2023, 12, 1), D(2023, 12, 31)), (D(2024, 1, 1), D(2024, 1, 31))]),
+        ("quarter", [(D(2023, 10, 1), D(2023, 12, 31)), (D(2024, 1, 1), D(2024, 3, 31))]),
+        ("year", [(D(2023, 1, 1), D(2023, 12, 31)), (D(2024, 1, 1), D(2024, 12, 31))]),
+    ],
+)
+def test_calendar(spark, granularity, expected):
+    bounds = spark.createDataFrame([(D(2023, 11, 15), D(2024, 1, 2))], "a date, b date")
+    found = period_calendar(bounds, "a", "b", granularity).orderBy("period_start").collect()
+    assert [tuple(r) for r in found] == expected

@@ -178,15 +178,15 @@ def test_types_that_are_not_scalar(spark):
 
 def test_approximate_distinct(spark):
     df = spark.range(50_000)
-    exact = TableProfile(df).unique_counts().first()["unique_count"]
-    near = TableProfile(df, approximate_distinct=True).unique_counts().first()["unique_count"]
+    exact = TableProfile(df).cardinalities().first()["unique_count"]
+    near = TableProfile(df, approximate_distinct=True).cardinalities().first()["unique_count"]
     assert exact == 50_000 and abs(near - exact) < 0.1 * exact
 
 
 def test_hot_value_counts(spark):
     """A third of the rows hold one value."""
     df = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('v', id) END AS t")
-    assert TableProfile(df).unique_counts().first()["unique_count"] == 20_001
+    assert TableProfile(df).cardinalities().first()["unique_count"] == 20_001
 
 
 def test_fallback(spark):
