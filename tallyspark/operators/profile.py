@@ -227,6 +227,7 @@ class TableProfile:
             "count(1) AS total_rows",
             f"CASE WHEN count(1) > 0 THEN {len(self.fields)}L ELSE 0L END AS total_columns",
             "CASE WHEN count(1) > 0 THEN 'analyzed' ELSE 'empty_file' END AS status",
+            "current_timestamp() AS analysis_timestamp",
         )
 
     def overall(self) -> DataFrame:

@@ -66,6 +66,29 @@ def catalog_overview(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_STAR = {
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) - COUNT({c}) AS missing_count,
+            COUNT(DISTINCT {c}) AS unique_count,
+            CASE WHEN COUNT(TRY_CAST({c} AS DOUBLE)) > 0 THEN 'numeric'
+                 WHEN COUNT(TRY_CAST({c} AS DATE)) > 0 THEN 'datetime' ELSE 'categorical' END AS inferred_best_dtype FROM {t}"""
+        for t, columns in _STAR.items()
+        for c in columns
+    )
+)
+def catalog_columns(spark: SparkSession, folder: str) -> DataFrame:
+    found = tables.column_catalogue({name: table(spark, folder, name) for name in _STAR})
+    return found.select("table_name", "column_name", "missing_count", "unique_count", "inferred_best_dtype")
+
+
 _LINEITEM_TYPES = {
     "l_orderkey": "numeric",
     "l_partkey": "numeric",

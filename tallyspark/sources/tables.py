@@ -79,6 +79,17 @@ def catalogue(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [TableProfile(df, name).summary() for name, df in tables.items()])
 
 
+def column_catalogue(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per table and column: type, missing and distinct values."""
+    frames = []
+    for name, df in tables.items():
+        profile = TableProfile(df, name)
+        # One row per column on either side.
+        types = profile.types().select("table_name", "column_name", "original_dtype", "inferred_best_dtype")
+        frames.append(types.join(profile.quality().hint("broadcast"), "column_name"))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def describe(df: DataFrame, name: str = "table") -> DataFrame:
     """Column names with declared and logical types."""
     return TableProfile(df, name).types()

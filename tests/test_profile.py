@@ -153,7 +153,7 @@ def test_correlations(spark):
 
 def test_empty_and_single_row_tables(spark):
     empty = TableProfile(spark.createDataFrame([], "a int, t string"), "none")
-    assert rows(empty.summary()) == [("none", 0, 0, "empty_file")]
+    assert rows(empty.summary().drop("analysis_timestamp")) == [("none", 0, 0, "empty_file")]
     assert {r["unique_count"] for r in empty.quality().collect()} == {0}
     for part in ("numeric_stats", "histogram", "top_values", "correlations", "flags", "yearly", "datetime_stats"):
         assert getattr(empty, part)().count() == 0, part
