@@ -113,11 +113,11 @@ def parse_date(text: Column, fmt: str) -> Column:
     return parse_timestamp(text, fmt).cast("date")
 
 
-def parse_by_format_column(text: Column, fmt: Column) -> Column:
+def parse_by_format_column(text: Column, fmt: Column, formats: list[str]) -> Column:
     """Read each row's tidy text with the format named in another column of that row."""
     return reduce(
         lambda rest, name: F.when(fmt == name, parse_tidy(text, name)).otherwise(rest),
-        [name for name, _ in reversed(DATE_FORMATS)],
+        reversed(formats),
         F.lit(None).cast("timestamp"),
     )
 

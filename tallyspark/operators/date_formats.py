@@ -6,7 +6,7 @@ a third of all rows is parsed once per task rather than once per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -22,8 +22,9 @@ from tallyspark.functions.dates import (
 from tallyspark.functions.safe import as_date, column, rounded
 from tallyspark.operators.profile import TableProfile, long_format
 
-# How many distinct values are tested and how many of them must parse.
+# How many distinct values are tested and shown, and how many of them must parse.
 SAMPLE_SIZE = 20
+SHOWN = 5
 MIN_SUCCESS = 0.8
 
 
@@ -42,20 +43,21 @@ def _sample(values: DataFrame) -> DataFrame:
     return filled.withColumn("_pick", F.row_number().over(order)).filter(F.col("_pick") <= SAMPLE_SIZE)
 
 
-def _score(values: DataFrame, formats: list[str], weight: Column) -> DataFrame:
-    """(column_name, tested, position, date_format, parsed) for every format."""
+def _score(values: DataFrame, formats: list[str], weight: Column, *more: Column) -> DataFrame:
+    """(column_name, tested, position, date_format, parsed) for every format, and further aggregates."""
     parsed = [
         F.sum(F.when(parse_tidy(F.col("tidy"), f).isNotNull(), weight).otherwise(0)).alias(f"_f{i}")
         for i, f in enumerate(formats)
     ]
-    scored = values.groupBy("column_name").agg(F.sum(weight).alias("tested"), *parsed)
+    scored = values.groupBy("column_name").agg(F.sum(weight).alias("tested"), *parsed, *more)
     rows = F.array(
         *[
             F.struct(F.lit(i).alias("position"), F.lit(f).alias("date_format"), F.col(f"_f{i}").alias("parsed"))
             for i, f in enumerate(formats)
         ]
     )
-    return scored.select("column_name", "tested", F.inline(rows))
+    kept = [c for c in scored.columns if not c.startswith("_f")]
+    return scored.select(*kept, F.inline(rows))
 
 
 def _best(scores: DataFrame, enough: Column) -> DataFrame:
@@ -63,7 +65,15 @@ def _best(scores: DataFrame, enough: Column) -> DataFrame:
     # At most one row per known format and column reaches this window.
     order = W.partitionBy("column_name").orderBy(F.desc("parsed"), "position")
     best = scores.filter(enough).withColumn("_r", F.row_number().over(order)).filter("_r = 1")
-    return best.select("column_name", "date_format", (F.col("parsed") / F.col("tested")).alias("success_rate"))
+    return best.withColumn("success_rate", F.col("parsed") / F.col("tested")).drop("parsed", "tested", "position", "_r")
+
+
+def _detect(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Sampled detection with a few of the sampled texts beside it."""
+    shown = F.slice(F.array_sort(F.collect_list(F.struct("_pick", "tidy"))), 1, SHOWN)["tidy"]  # of 20 texts
+    names = [f for f, _ in DATE_FORMATS]
+    scores = _score(_sample(_text_values(df, columns)), names, F.lit(1), shown.alias("shown"))
+    return _best(scores, F.col("parsed") >= MIN_SUCCESS * F.col("tested"))
 
 
 def detect_formats(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -71,9 +81,7 @@ def detect_formats(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Columns whose best format reads less than 80 % of the sample get no row.
     """
-    names = [f for f, _ in DATE_FORMATS]
-    scores = _score(_sample(_text_values(df, columns)), names, F.lit(1))
-    return _best(scores, F.col("parsed") >= MIN_SUCCESS * F.col("tested"))
+    return _detect(df, columns).select("column_name", "date_format", "success_rate")
 
 
 def detect_formats_strict(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -82,49 +90,45 @@ def detect_formats_strict(df: DataFrame, columns: list[str]) -> DataFrame:
     return _best(scores, F.col("parsed") == F.col("tested"))
 
 
-def detect_formats_with_fallback(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Sampled detection, then the strict pass for columns it could not decide."""
-    return _with_fallback(_text_values(df, columns))
+def chosen_formats(df: DataFrame, columns: list[str]) -> dict[str, Row]:
+    """Column to its format (one row each): sampled detection, then the strict pass where that is undecided.
 
+    The strict pass reads only the undecided columns, usually none.
+    """
+    chosen = {r["column_name"]: r for r in _detect(df, columns).collect()}
+    undecided = [c for c in columns if c not in chosen]
+    if undecided:
+        strict = detect_formats_strict(df, undecided).withColumn("shown", F.array().cast("array<string>"))
+        chosen |= {r["column_name"]: r for r in strict.collect()}
+    return chosen
 
-def _with_fallback(values: DataFrame) -> DataFrame:
-    names = [f for f, _ in DATE_FORMATS]
-    sampled = _best(_score(_sample(values), names, F.lit(1)), F.col("parsed") >= MIN_SUCCESS * F.col("tested"))
-    # At most one row per column is broadcast; only undecided columns are parsed in full.
-    undecided = values.join(F.broadcast(sampled.select("column_name")), "column_name", "left_anti")
-    strict = _best(_score(undecided, STRICT_FORMATS, F.col("n")), F.col("parsed") == F.col("tested"))
-    return sampled.unionByName(strict)
+
+def _literal_map(values: dict[str, str]) -> Column:
+    if not values:
+        return F.lit(None).cast("string")
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("column_name"))
 
 
 def format_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """Detected format per column with what it reads over all rows.
 
     The range and the counts cover the whole column, not only the sample; ``sample_parsed_dates``
-    shows five sampled values. Undecided columns carry an error text.
+    shows up to five sampled values. Undecided columns carry an error text.
     """
-    values = _text_values(df, columns)
-    chosen = _with_fallback(values)
-    stamped = values.join(F.broadcast(chosen.select("column_name", "date_format")), "column_name", "left")
-    stamped = stamped.withColumn("_t", parse_by_format_column(F.col("tidy"), F.col("date_format")))
-    parsed = F.when(F.col("_t").isNotNull(), F.col("n")).otherwise(0)
+    chosen = chosen_formats(df, columns)
+    formats = sorted({r["date_format"] for r in chosen.values()})
+    used = _literal_map({c: r["date_format"] for c, r in chosen.items()})
+    stamped = _text_values(df, columns).withColumn("date_format", used)
+    stamped = stamped.withColumn("_t", parse_by_format_column(F.col("tidy"), F.col("date_format"), formats))
     totals = stamped.groupBy("column_name", "date_format").agg(
         F.min("_t").cast("date").alias("min_date"),
         F.max("_t").cast("date").alias("max_date"),
-        F.sum(parsed).alias("successful_parse_count"),
+        F.sum(F.when(F.col("_t").isNotNull(), F.col("n")).otherwise(0)).alias("successful_parse_count"),
         F.sum("n").alias("total_count"),
     )
-    shown = (
-        _sample(values)
-        .filter("_pick <= 5")
-        .join(F.broadcast(chosen.select("column_name", "date_format")), "column_name")
-        .groupBy("column_name")
-        .agg(
-            F.sort_array(
-                F.collect_list(parse_by_format_column(F.col("tidy"), F.col("date_format")).cast("string"))
-            ).alias("sample_parsed_dates")
-        )
-    )
-    return totals.join(F.broadcast(shown), "column_name", "left").select(
+    shown = F.split(_literal_map({c: "\n".join(r["shown"]) for c, r in chosen.items()}), "\n")
+    dates = F.transform(shown, lambda t: parse_by_format_column(t, F.col("date_format"), formats).cast("string"))
+    return totals.select(
         "column_name",
         "date_format",
         rounded(F.try_divide("successful_parse_count", "total_count"), 6).alias("success_rate"),
@@ -132,7 +136,7 @@ def format_report(df: DataFrame, columns: list[str]) -> DataFrame:
         "total_count",
         "min_date",
         "max_date",
-        "sample_parsed_dates",
+        F.array_compact(dates).alias("sample_parsed_dates"),
         F.when(F.col("date_format").isNull(), "No suitable date format found").alias("error"),
     )
 
@@ -145,19 +149,21 @@ def date_cast(df: DataFrame, name: str) -> Column:
     dtype = df.schema[name].dataType
     if not isinstance(dtype, T.StringType):
         return as_date(column(name), dtype)
-    found = detect_formats_with_fallback(df.select(column(name)), [name]).select("date_format").head()
+    found = chosen_formats(df.select(column(name)), [name]).get(name)
     return parse_date(column(name), found["date_format"]) if found else as_date(column(name), dtype)
 
 
 def profile_date_formats(profile: TableProfile) -> DataFrame:
     """Detected format for every text column the profile calls datetime, with a suggested cast."""
-    fields = [f for f in profile.fields if isinstance(f.dataType, T.StringType)]
-    kinds = profile.types().filter(F.col("inferred_best_dtype") == "datetime").select("column_name")
-    found = detect_formats_with_fallback(profile.df, [f.name for f in fields])
-    patterns = F.create_map(*[F.lit(x) for pair in DATE_FORMATS for x in pair])
-    cast = F.concat(
-        F.lit("to_timestamp(`"), "column_name", F.lit("`, '"), F.element_at(patterns, F.col("date_format")), F.lit("')")
-    )
-    return kinds.join(F.broadcast(found), "column_name", "left").select(
-        "column_name", "date_format", rounded("success_rate", 6).alias("success_rate"), cast.alias("recommended_cast")
+    names = [f.name for f in profile.fields_of("datetime") if isinstance(f.dataType, T.StringType)]
+    chosen = chosen_formats(profile.df, names) if names else {}
+    patterns = dict(DATE_FORMATS)
+    rows = [
+        (c, r["date_format"], r["success_rate"], f"to_timestamp(`{c}`, '{patterns[r['date_format']]}')")
+        for c, r in ((c, chosen.get(c)) for c in names)
+        if r
+    ] + [(c, None, None, None) for c in names if c not in chosen]
+    found = profile.df.sparkSession.createDataFrame(
+        rows, "column_name string, date_format string, success_rate double, recommended_cast string"
     )
+    return found.withColumn("success_rate", rounded("success_rate", 6))
