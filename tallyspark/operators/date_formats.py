@@ -20,7 +20,9 @@ from tallyspark.functions.dates import (
     tidy,
 )
 from tallyspark.functions.safe import as_date, column, rounded
-from tallyspark.operators.profile import TableProfile, long_format
+from tallyspark.operators.long_format import long_format
+from tallyspark.operators.profile import TableProfile
+from tallyspark.operators.sampling import sample_distinct
 
 # How many distinct values are tested and shown, and how many of them must parse.
 SAMPLE_SIZE = 20
@@ -28,19 +30,19 @@ SHOWN = 5
 MIN_SUCCESS = 0.8
 
 
+def _text_fields(columns: list[str]) -> list[T.StructField]:
+    return [T.StructField(name, T.StringType()) for name in columns]
+
+
 def _text_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct non-null texts per column with their row counts, and the tidy form they are read in."""
-    fields = [T.StructField(name, T.StringType()) for name in columns]
-    long = long_format(df, fields, lambda value, _: value.cast("string"), "value")
-    counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("tidy", tidy(F.col("value")))
+    long = long_format(df, _text_fields(columns), lambda value, _: value.cast("string"), "value")
+    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("tidy", tidy(F.col("value")))
 
 
-def _sample(values: DataFrame) -> DataFrame:
-    """A repeatable sample of distinct non-blank values per column."""
-    order = W.partitionBy("column_name").orderBy(F.md5(F.col("value").cast("binary")), "value")
-    filled = values.filter(F.col("tidy") != "")
-    return filled.withColumn("_pick", F.row_number().over(order)).filter(F.col("_pick") <= SAMPLE_SIZE)
+def _filled(value: Column, _: T.DataType) -> Column:
+    text = value.cast("string")
+    return F.when(F.trim(text) != "", text)
 
 
 def _score(values: DataFrame, formats: list[str], weight: Column, *more: Column) -> DataFrame:
@@ -70,9 +72,9 @@ def _best(scores: DataFrame, enough: Column) -> DataFrame:
 
 def _detect(df: DataFrame, columns: list[str]) -> DataFrame:
     """Sampled detection with a few of the sampled texts beside it."""
-    shown = F.slice(F.array_sort(F.collect_list(F.struct("_pick", "tidy"))), 1, SHOWN)["tidy"]  # of 20 texts
-    names = [f for f, _ in DATE_FORMATS]
-    scores = _score(_sample(_text_values(df, columns)), names, F.lit(1), shown.alias("shown"))
+    sampled = sample_distinct(df, _text_fields(columns), _filled, SAMPLE_SIZE).withColumn("tidy", tidy(F.col("value")))
+    shown = F.slice(F.array_sort(F.collect_list(F.struct("pick", "tidy"))), 1, SHOWN)["tidy"]  # of 20 texts
+    scores = _score(sampled, [f for f, _ in DATE_FORMATS], F.lit(1), shown.alias("shown"))
     return _best(scores, F.col("parsed") >= MIN_SUCCESS * F.col("tested"))
 
 

@@ -15,8 +15,10 @@ from pyspark.sql import Window as W
 
 from tallyspark.functions.dates import DATE_FORMATS, parse_tidy, tidy
 from tallyspark.functions.safe import DATE_TYPES, as_date, as_number, as_text, column, ratio, rounded
-from tallyspark.operators.profile import COUNTS, MOMENTS, TableProfile, long_format
+from tallyspark.operators.long_format import long_format
+from tallyspark.operators.profile import COUNTS, MOMENTS, TableProfile
 from tallyspark.operators.quantiles import exact_percentiles
+from tallyspark.operators.sampling import sample_distinct
 
 # Preview limits.
 TOP_VALUES = 5
@@ -26,15 +28,8 @@ HIGH_CARDINALITY, HIGH_CARDINALITY_SHARE = 50, 0.1
 
 
 def sample_values(df: DataFrame, fields: list[T.StructField], size: int = TYPE_SAMPLE) -> DataFrame:
-    """Up to ``size`` distinct non-null values per column, chosen by the hash of the value.
-
-    Sampling distinct values keeps one very frequent value from filling the sample. Each task
-    passes on only its own ``size`` best values.
-    """
-    long = long_format(df, fields, as_text, "value").distinct()
-    order = W.partitionBy("column_name").orderBy(F.md5(F.col("value").cast("binary")), "value")
-    picked = long.withColumn("_pick", F.row_number().over(order)).filter(F.col("_pick") <= size)
-    return picked.select("column_name", "value")
+    """(column_name, value): up to ``size`` distinct non-null values per column."""
+    return sample_distinct(df, fields, as_text, size).select("column_name", "value")
 
 
 @dataclass(frozen=True)
@@ -125,6 +120,12 @@ class TablePreview:
     def numeric(self) -> DataFrame:
         """Mean, deviation, extremes and quartiles of numeric columns; unreadable values are left out."""
         fields = self._fields_of_kind("numeric")
+        if not fields:
+            return self.df.sparkSession.createDataFrame(
+                [],
+                "column_name string, mean double, std_dev double, min double, percentile_25 double, median double, "
+                "percentile_75 double, max double",
+            )
         values = {f.name: as_number(column(f.name), f.dataType) for f in fields}
         stats = exact_percentiles(self.df, values, [0.25, 0.5, 0.75], MOMENTS).filter(F.col("n") > 0)
         return stats.select(

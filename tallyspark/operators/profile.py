@@ -7,7 +7,6 @@ rows costs one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -28,6 +27,7 @@ from tallyspark.functions.safe import (
     sql_double,
     sql_text,
 )
+from tallyspark.operators.long_format import Fields, Read, long_format
 from tallyspark.operators.quantiles import exact_percentiles
 
 # Thresholds of the profile.
@@ -45,9 +45,6 @@ COLUMNS_PER_AGGREGATE = 4
 CORRELATION_TILE = 8
 SHORT_TEXT = 64
 
-Fields = list[T.StructField]
-Read = Callable[[Column, T.DataType], Column]
-
 # SQL aggregates of one column: {raw} is the column itself, {num}, {day} and {text} its readings.
 COUNTS = {"total_count": "count(1)", "non_null_count": "count({raw})"}
 READABLE = COUNTS | {"numbers": "count({num})", "dates": "count({day})"}
@@ -78,16 +75,6 @@ def _as_rows(one_row: DataFrame, structs: list[str]) -> DataFrame:
     return one_row.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
-def long_format(df: DataFrame, fields: Fields, read: Read, value: str) -> DataFrame:
-    """(column_name, value) for every non-null value ``read(column, dtype)`` of the given columns."""
-    if not fields:
-        nothing = read(F.lit(None).cast("string"), T.StringType())
-        return df.limit(0).select(F.lit("").alias("column_name"), nothing.alias(value))
-    wide = df.select(*[read(column(f.name), f.dataType).alias(f.name) for f in fields])
-    names = [column(f.name) for f in fields]
-    return wide.unpivot([], names, "column_name", value).filter(F.col(value).isNotNull())
-
-
 def _family(dtype: T.DataType) -> str:
     """The type in which distinct values of a column are counted."""
     if isinstance(dtype, T.IntegralType):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,15 +10,15 @@ from tallyspark.operators.entity_store import EntityStore
 from tallyspark.operators.roles import Ledger, Period, Statuses
 
 
-@cache
-def _schema(path: str) -> T.StructType:
-    return SparkSession.getActiveSession().read.parquet(path).schema
+_SCHEMAS: dict[str, T.StructType] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table. Its schema is looked up once per path, not once per query."""
     path = f"{folder}/{name}.parquet"
-    return spark.read.schema(_schema(path)).parquet(path)
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 # -- contracts and transactions ----------------------------------------------------------------

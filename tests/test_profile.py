@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import statistics
 
 import numpy as np
 import pytest
 
-from tallyspark.operators import quantiles
+from tallyspark.functions import safe
+from tallyspark.operators import quantiles, sampling
 from tallyspark.operators.preview import TablePreview
 from tallyspark.operators.profile import TableProfile, fallback_profile
 from tallyspark.functions.safe import column
@@ -183,6 +185,20 @@ def test_approximate_distinct(spark):
     assert exact == 50_000 and abs(near - exact) < 0.1 * exact
 
 
+def test_sample_of_a_large_table_is_the_same(spark, monkeypatch):
+    """Columns with many, few and one very frequent value, sampled both ways."""
+    df = spark.range(60_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('v', id) END AS many", "concat('w', id % 40) AS few"
+    )
+    expected = rows(sampling.sample_distinct(df, df.schema.fields, safe.as_text, 5))
+    monkeypatch.setattr(sampling, "SMALL_TABLE", 0)
+    assert rows(sampling.sample_distinct(df, df.schema.fields, safe.as_text, 5)) == expected
+    brute = {c: {r[0] for r in df.select(c).distinct().collect()} for c in df.columns}
+    for c in df.columns:
+        lowest = sorted(brute[c], key=lambda v: hashlib.md5(v.encode()).hexdigest())[:5]
+        assert [v for n, v, _ in sorted(expected, key=lambda r: r[2]) if n == c] == lowest
+
+
 def test_hot_value_counts(spark):
     """A third of the rows hold one value."""
     df = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('v', id) END AS t")
@@ -209,3 +225,8 @@ def test_preview_needs_every_value(spark):
     assert {r["column_name"] for r in preview.notes().collect()} == {"none", "u"}
     assert rows(preview.top_values(), "rank") == [("mixed", "1", 19, 1, False), ("mixed", "x", 1, 2, False)]
     assert preview.numeric().first()["median"] == 9.5
+
+
+def test_preview_without_numbers(spark):
+    preview = TablePreview(spark.createDataFrame([("x",)], "t string"))
+    assert preview.numeric().count() == 0 and preview.datetime().count() == 0 and preview.boolean().count() == 0
