@@ -123,17 +123,17 @@ def active_without_revenue(statuses: Statuses, ledger: Ledger, period: Period) -
 
 
 def churn_simple(statuses: Statuses, period: Period, *by: str) -> DataFrame:
-    """Customers of the opening cohort with a record ending in the period, over that cohort.
+    """Customers of the opening cohort with any record ending in the period, over that cohort.
 
-    One row of flags per customer, no join.
+    A customer who was not active at the period start never counts. One row of flags per customer, no join.
     """
     end = F.col(statuses.end)
     opening = statuses.active_as_of(period.first)
     flags = statuses.df.groupBy(F.col(statuses.customer).alias("customer"), *by).agg(
-        F.bool_or(opening).alias("opening"), F.bool_or(opening & period.holds(end)).alias("ended")
+        F.bool_or(opening).alias("opening"), F.bool_or(period.holds(end)).alias("ended")
     )
     cohort = F.count_if(F.col("opening"))
-    churned = F.count_if(F.col("ended"))
+    churned = F.count_if(F.col("opening") & F.col("ended"))
     return flags.groupBy(*by).agg(
         cohort.alias("start_customers"),
         churned.alias("churned_customers"),

@@ -147,7 +147,7 @@ def active_without_revenue(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {CONTRACTS},
         opening AS (SELECT DISTINCT customer_id FROM contracts WHERE {_as_of('1998-01-01')}),
         ended AS (SELECT DISTINCT customer_id FROM contracts
-                  WHERE {_as_of('1998-01-01')} AND {_in('end_date', JANUARY_1998)})
+                  WHERE {_in('end_date', JANUARY_1998)} AND customer_id IN (SELECT customer_id FROM opening))
         SELECT (SELECT COUNT(*) FROM opening) AS start_customers, (SELECT COUNT(*) FROM ended) AS churned_customers,
                ROUND((SELECT COUNT(*) FROM ended) * 1.0 / (SELECT COUNT(*) FROM opening), 6) AS churn_rate"""
 )
@@ -272,9 +272,11 @@ def ltv_subscription(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {SEGMENTED}, {TRANSACTIONS}, {_ARPU},
-        churn AS (SELECT segment, COUNT(DISTINCT CASE WHEN {_in('end_date', JANUARY_1998)} THEN customer_id END) * 1.0
-                                  / COUNT(DISTINCT customer_id) AS churn_rate
-                  FROM contracts WHERE {_as_of('1998-01-01')} GROUP BY segment)
+        opening AS (SELECT DISTINCT segment, customer_id FROM contracts WHERE {_as_of('1998-01-01')}),
+        ended AS (SELECT DISTINCT segment, customer_id FROM contracts WHERE {_in('end_date', JANUARY_1998)}),
+        churn AS (SELECT o.segment, COUNT(e.customer_id) * 1.0 / COUNT(*) AS churn_rate
+                  FROM opening o LEFT JOIN ended e ON o.segment = e.segment AND o.customer_id = e.customer_id
+                  GROUP BY o.segment)
         SELECT a.segment, ROUND(arpu, 4) AS arpu, ROUND(churn_rate, 6) AS churn_rate,
                ROUND(arpu / NULLIF(churn_rate, 0), 2) AS ltv
         FROM arpu a JOIN churn c ON a.segment = c.segment"""

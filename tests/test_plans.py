@@ -37,7 +37,7 @@ def test_no_python_in_the_data_path_and_no_products(spark, small, no_auto_broadc
         text = plan(build(spark, small))
         for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "MapInArrow"):
             assert word not in text, (name, word)
-        if not name.startswith(("profile", "preview", "date_")):
+        if not name.startswith(("profile", "preview", "catalog")):
             assert "BroadcastExchange" not in text, name
 
 
