@@ -180,11 +180,12 @@ def find(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     )
     place = F.create_map(*[x for k, v in enumerate(KINDS) for x in (F.lit(v), F.lit(k))])
-    ordered = F.sort_array(
-        F.transform(F.concat("base", F.coalesce("added", F.array())), lambda s: F.struct(place[s["kind"]].alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    both = F.concat("s.base", F.coalesce("a.added", F.array()))
+    ordered = F.sort_array(F.transform(both, lambda s: F.struct(place[s["kind"]], s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    same = F.col("s.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("s.text_key") == F.col("a.text_key"))
+    return scanned.alias("s").join(added.alias("a"), same, "left").select(
+        "s.doc_id", "s.text_key", "s.base", F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans")
     )
-    same = scanned["doc_id"].eqNullSafe(added["doc_id"]) & scanned["text_key"].eqNullSafe(added["text_key"])
-    return scanned.join(added, same, "left").select(scanned["doc_id"], scanned["text_key"], "base", F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
 
 def redact(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
