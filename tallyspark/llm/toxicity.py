@@ -34,7 +34,7 @@ class Settings:
     sample_rows: int = 20_000
     beginnings: tuple[int, ...] = (4, 5)
     min_documents: int = 4
-    min_deviation: float = 4.0
+    min_deviation: float = 5.0
     epochs: int = 20
     batch: int = 256
     rate: float = 0.15
@@ -88,11 +88,12 @@ class Machine:
 
 
 def _fit(lengths: np.ndarray, bins: np.ndarray, labels: np.ndarray, settings: Settings) -> Machine:
-    used, inverse, counts = np.unique(bins, return_inverse=True, return_counts=True)
     rate = labels.mean() if len(labels) else 0.0
-    toxic = np.bincount(inverse, np.repeat(labels, lengths), len(used))
+    # counts by bin, not by sorting: the pairs are the largest array of the driver
+    counts = np.bincount(bins, minlength=1 << settings.bits)
+    toxic = np.bincount(bins[np.repeat(labels > 0, lengths)], minlength=1 << settings.bits)
     deviation = np.abs(toxic - counts * rate) / np.sqrt(np.maximum(counts * rate * (1 - rate), 1e-12))
-    used = used[(counts >= settings.min_documents) & (deviation >= settings.min_deviation)]
+    used = np.flatnonzero((counts >= settings.min_documents) & (deviation >= settings.min_deviation)).astype(np.int32)
     machine = Machine(settings, used)
     if not 0.0 < rate < 1.0:
         machine.bias = -35.0 if rate == 0.0 else 35.0
@@ -100,10 +101,10 @@ def _fit(lengths: np.ndarray, bins: np.ndarray, labels: np.ndarray, settings: Se
     machine.bias = float(np.log(rate / (1 - rate)))
     slots = np.full(1 << settings.bits, -1, np.int32)
     slots[used] = np.arange(len(used), dtype=np.int32)
-    at = slots[bins]
-    row = np.repeat(np.arange(len(lengths)), lengths)[at >= 0]
-    at = at[at >= 0]
-    begin = np.searchsorted(row, np.arange(len(lengths) + 1))
+    known = slots[bins] >= 0
+    sizes = np.diff(np.concatenate([[0], np.cumsum(known, dtype=np.int32)])[np.concatenate([[0], np.cumsum(lengths)])])
+    at = slots[bins[known]]
+    begin = np.concatenate([[0], np.cumsum(sizes)])
     seen_linear, seen_factors, seen_bias = np.full(len(used), 1e-3), np.full(machine.factors.shape, 1e-3), 1e-3
     rng = np.random.default_rng(settings.seed)
     for _ in range(settings.epochs):
