@@ -123,7 +123,7 @@ def _fit(lengths: np.ndarray, bins: np.ndarray, labels: np.ndarray, settings: Se
             machine.linear[touched] -= (settings.rate * pull / np.sqrt(seen_linear[touched])).astype(np.float32)
             for f in range(settings.factors):
                 pull = np.bincount(inverse, error[own] * (sums[own, f] - vectors[:, f]), len(touched))
-                pull += settings.decay * len(batch) * machine.factors[touched, f]
+                pull = pull + settings.decay * len(batch) * machine.factors[touched, f]  # an empty batch counts in integers
                 seen_factors[touched, f] += pull**2
                 machine.factors[touched, f] -= (settings.rate * pull / np.sqrt(seen_factors[touched, f])).astype(np.float32)
     return machine
