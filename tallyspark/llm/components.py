@@ -11,8 +11,9 @@ from tallyspark.llm.shared import settled
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) of every node of ``edges`` (``a``, ``b``: two longs).
 
-    Each round lets every node point to its smallest neighbour, follows the pointers twice, and contracts the edges
-    along them; only edges between different points remain for the next round. The largest neighbourhood is reduced
+    Each round lets every node point to its smallest neighbour, follows the pointers (in doubling steps) to nodes that
+    have no smaller neighbour, and contracts the edges to these; only edges between different ones remain for the next
+    round, and no two of them were neighbours, so that at least half of the nodes go in each round. The largest neighbourhood is reduced
     to its minimum before it is shuffled, so that a hub needs no list of its neighbours in one place.
     """
     edges = settled(edges.select("a", "b").where("a != b").distinct())
@@ -20,10 +21,14 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         points = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("label"))
-        for _ in range(2):
+        moved = True
+        while moved:
+            for _ in range(2):
+                onward = points.select(F.col("node").alias("label"), F.col("label").alias("next"))
+                points = points.join(onward, "label").select("node", F.col("next").alias("label"))
+            points = settled(points)
             onward = points.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            points = points.join(onward, "label").select("node", F.least("label", "next").alias("label"))
-        points = settled(points)
+            moved = not points.join(onward, "label").where("next != label").isEmpty()
         steps.append(points)
         left = points.select(F.col("node").alias("a"), F.col("label").alias("la"))
         right = points.select(F.col("node").alias("b"), F.col("label").alias("lb"))
