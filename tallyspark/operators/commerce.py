@@ -70,15 +70,19 @@ def purchase_gap(ledger: Ledger) -> DataFrame:
 def horizon_value(ledger: Ledger, years: int) -> DataFrame:
     """Average revenue per period carried over a horizon, at each granularity.
 
-    The multiplier always matches the granularity of the base value: years, quarters or months.
+    The multiplier always matches the granularity of the base value: years, quarters or months. Money is added as
+    decimals, so the result does not depend on the order of the rows; it is divided once.
     """
-    monthly = revenue_series(ledger, "month")
+    month = period_start(F.col(ledger.date), "month").alias("period_start")
+    monthly = ledger.df.groupBy(month).agg(F.sum(F.col(ledger.amount).cast("decimal(28,6)")).alias("revenue"))
     spread = [
         F.struct(F.lit(g).alias("granularity"), period_start(F.col("period_start"), g).alias("period"))
         for g in ("year", "quarter", "month")
     ]
     sums = monthly.select("revenue", F.inline(F.array(*spread))).groupBy("granularity", "period")
-    base = sums.agg(F.sum("revenue").alias("revenue")).groupBy("granularity").agg(F.avg("revenue").alias("base_value"))
+    base = sums.agg(F.sum("revenue").alias("revenue")).groupBy("granularity").agg(
+        (F.sum("revenue").cast("double") / F.count("revenue")).alias("base_value")
+    )
     periods = horizon_periods(F.col("granularity"), years).cast("long")
     return base.withColumn("periods", periods).withColumn("value", F.col("base_value") * F.col("periods"))
 

@@ -25,10 +25,12 @@ def revenue_series(ledger: Ledger, granularity: str) -> DataFrame:
 def _calendar(series: DataFrame, value: str) -> DataFrame:
     """Every month from the first to the last of a monthly series, each with the whole series as a map.
 
-    The map has twelve entries per year whatever the size of the table behind the series.
+    The map has twelve entries per year whatever the size of the table behind the series. Rows without a period
+    (a NULL date) are in no month and left out.
     """
+    dated = F.when(F.col("period_start").isNotNull(), F.struct("period_start", value))
     bounds = series.agg(
-        F.map_from_entries(F.collect_list(F.struct("period_start", value))).alias("_series"),
+        F.map_from_entries(F.collect_list(dated)).alias("_series"),
         F.min("period_start").alias("_first"),
         F.max("period_start").alias("_last"),
     )

@@ -296,15 +296,14 @@ def ltv_predicted(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"WITH {TRANSACTIONS} "
     + " UNION ALL ".join(
-        f"""SELECT '{unit}' AS granularity, ROUND(AVG(r), 5) AS base_value, {periods} AS periods,
-            ROUND(AVG(r) * {periods}, 3) AS value
-            FROM (SELECT SUM(amount) AS r FROM transactions GROUP BY DATE_TRUNC('{unit}', txn_date))"""
+        f"""SELECT '{unit}' AS granularity, ROUND(CAST(SUM(r) AS DOUBLE) / COUNT(r), 5) AS base_value, {periods} AS periods,
+            ROUND(CAST(SUM(r) AS DOUBLE) / COUNT(r) * {periods}, 3) AS value
+            FROM (SELECT SUM(CAST(amount AS DECIMAL(28, 6))) AS r FROM transactions GROUP BY DATE_TRUNC('{unit}', txn_date))"""
         for unit, periods in [("year", 5), ("quarter", 20), ("month", 60)]
     )
 )
 def horizon_value(spark: SparkSession, folder: str) -> DataFrame:
     found = commerce.horizon_value(ledger(spark, folder), 5)
-    # Averages of cents can lie exactly between two cents, where any rounding is a coin toss; keep more digits.
     return found.withColumn("base_value", rounded("base_value", 5)).withColumn("value", rounded("value", 3))
 
 

@@ -125,8 +125,7 @@ relations AS (
   UNION ALL SELECT c_name, n_name, 'located_in' FROM customer JOIN nation ON c_nationkey = n_nationkey),
 observations AS (
   SELECT DISTINCT s_name AS entity, p_type AS observation
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
-  WHERE l_quantity >= 49)"""
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
 
 
 def graph(spark: SparkSession, folder: str) -> EntityStore:
@@ -158,7 +157,7 @@ def graph(spark: SparkSession, folder: str) -> EntityStore:
         .unionByName(located("customer", "c_name", "c_nationkey"))
     )
     # Pairs first: repeated sales of a part by a supplier collapse before the two lookups.
-    pairs = table(spark, folder, "lineitem").filter(F.col("l_quantity") >= 49).select("l_suppkey", "l_partkey").distinct()
+    pairs = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey").distinct()
     observations = (
         pairs.join(table(spark, folder, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
         .select("l_suppkey", "p_type")

@@ -65,12 +65,12 @@ def kg_upsert_entities(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""{_STORE}, r AS (SELECT * FROM relations
           UNION SELECT DISTINCT c_name, s_name, 'buys_from' FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-          JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 50)
+          JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
         SELECT src, dst, relation_type FROM r"""
 )
 def kg_add_relations(spark: SparkSession, folder: str) -> DataFrame:
     """Who buys full loads from whom; existing relations are sent again and stay single."""
-    loads = table(spark, folder, "lineitem").filter(F.col("l_quantity") >= 50).select("l_orderkey", "l_suppkey").distinct()
+    loads = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     pairs = loads.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
     buyers = table(spark, folder, "customer").select("c_custkey", "c_name")
@@ -104,7 +104,7 @@ def kg_dangling_relations(spark: SparkSession, folder: str) -> DataFrame:
     f"""{_STORE} SELECT entity, observation FROM observations
         UNION SELECT c_name, 'segment ' || c_mktsegment FROM customer
         UNION SELECT s_name, p_type FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-              JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49"""
+              JOIN part ON l_partkey = p_partkey"""
 )
 def kg_add_observations(spark: SparkSession, folder: str) -> DataFrame:
     """A segment note per customer; observations already known are sent again and stay single."""

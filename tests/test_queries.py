@@ -55,7 +55,7 @@ def test_flagship(spark):
         ("commission_rate", "rate", 0.039934),
         ("repeat_purchase_rate", "repeaters", 1498),
         ("kg_stats", "entities", 1630),
-        ("kg_stats", "observations", 588),
+        ("kg_stats", "observations", 600),
         ("kg_stats", "relations", 1625),
     ],
 )
