@@ -1,7 +1,7 @@
 """Which date format a text column is written in, and casts built from the answer.
 
-Everything works on the distinct (column, value) pairs of the text columns, so a date repeated in
-a third of all rows is parsed once per task rather than once per row.
+Formats are decided over all rows. Every answer is an aggregate of counts and dates per column, so a task passes on one
+row per column, and no text is moved.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ from tallyspark.functions.dates import (
 from tallyspark.functions.safe import as_date, column, rounded
 from tallyspark.operators.long_format import long_format
 from tallyspark.operators.profile import TableProfile
-from tallyspark.operators.sampling import sample_distinct
 
-# How many distinct values are tested and shown, and how many of them must parse.
-SAMPLE_SIZE = 20
+# How many dates a report shows, and the share of a column that must parse.
 SHOWN = 5
 MIN_SUCCESS = 0.8
+# Shown dates are the earliest of this many hash classes of texts.
+CLASSES = 16
 
 
 def _text_fields(columns: list[str]) -> list[T.StructField]:
@@ -35,31 +35,22 @@ def _text_fields(columns: list[str]) -> list[T.StructField]:
 
 
 def _text_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct non-null texts per column with their row counts, and the tidy form they are read in."""
+    """(column_name, value, tidy) of every non-null text; ``tidy`` is the form texts are read in."""
     long = long_format(df, _text_fields(columns), lambda value, _: value.cast("string"), "value")
-    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("tidy", tidy(F.col("value")))
+    return long.withColumn("tidy", tidy(F.col("value")))
 
 
-def _filled(value: Column, _: T.DataType) -> Column:
-    text = value.cast("string")
-    return F.when(F.trim(text) != "", text)
-
-
-def _score(values: DataFrame, formats: list[str], weight: Column, *more: Column) -> DataFrame:
-    """(column_name, tested, position, date_format, parsed) for every format, and further aggregates."""
-    parsed = [
-        F.sum(F.when(parse_tidy(F.col("tidy"), f).isNotNull(), weight).otherwise(0)).alias(f"_f{i}")
-        for i, f in enumerate(formats)
-    ]
-    scored = values.groupBy("column_name").agg(F.sum(weight).alias("tested"), *parsed, *more)
+def _score(values: DataFrame, formats: list[str]) -> DataFrame:
+    """(column_name, tested, position, date_format, parsed) for every format."""
+    parsed = [F.count(parse_tidy(F.col("tidy"), f)).alias(f"_f{i}") for i, f in enumerate(formats)]
+    scored = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("tested"), *parsed)
     rows = F.array(
         *[
             F.struct(F.lit(i).alias("position"), F.lit(f).alias("date_format"), F.col(f"_f{i}").alias("parsed"))
             for i, f in enumerate(formats)
         ]
     )
-    kept = [c for c in scored.columns if not c.startswith("_f")]
-    return scored.select(*kept, F.inline(rows))
+    return scored.select("column_name", "tested", F.inline(rows))
 
 
 def _best(scores: DataFrame, enough: Column) -> DataFrame:
@@ -70,38 +61,30 @@ def _best(scores: DataFrame, enough: Column) -> DataFrame:
     return best.withColumn("success_rate", F.col("parsed") / F.col("tested")).drop("parsed", "tested", "position", "_r")
 
 
-def _detect(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Sampled detection with a few of the sampled texts beside it."""
-    sampled = sample_distinct(df, _text_fields(columns), _filled, SAMPLE_SIZE).withColumn("tidy", tidy(F.col("value")))
-    shown = F.slice(F.array_sort(F.collect_list(F.struct("pick", "tidy"))), 1, SHOWN)["tidy"]  # of 20 texts
-    scores = _score(sampled, [f for f, _ in DATE_FORMATS], F.lit(1), shown.alias("shown"))
-    return _best(scores, F.col("parsed") >= MIN_SUCCESS * F.col("tested"))
-
-
 def detect_formats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, date_format, success_rate) from a sample of distinct values per column.
+    """(column_name, date_format, success_rate) over all rows that hold more than blanks.
 
-    Columns whose best format reads less than 80 % of the sample get no row.
+    Columns whose best format reads less than 80 % of these rows get no row.
     """
-    return _detect(df, columns).select("column_name", "date_format", "success_rate")
+    scores = _score(_text_values(df, columns).filter("tidy != ''"), [f for f, _ in DATE_FORMATS])
+    return _best(scores, F.col("parsed") >= MIN_SUCCESS * F.col("tested"))
 
 
 def detect_formats_strict(df: DataFrame, columns: list[str]) -> DataFrame:
     """The first fallback format that reads every non-null row of a column."""
-    scores = _score(_text_values(df, columns), STRICT_FORMATS, F.col("n"))
+    scores = _score(_text_values(df, columns), STRICT_FORMATS)
     return _best(scores, F.col("parsed") == F.col("tested"))
 
 
 def chosen_formats(df: DataFrame, columns: list[str]) -> dict[str, Row]:
-    """Column to its format (one row each): sampled detection, then the strict pass where that is undecided.
+    """Column to its format (one row each): detection, then the strict pass where that is undecided.
 
     The strict pass reads only the undecided columns, usually none.
     """
-    chosen = {r["column_name"]: r for r in _detect(df, columns).collect()}
+    chosen = {r["column_name"]: r for r in detect_formats(df, columns).collect()}
     undecided = [c for c in columns if c not in chosen]
     if undecided:
-        strict = detect_formats_strict(df, undecided).withColumn("shown", F.array().cast("array<string>"))
-        chosen |= {r["column_name"]: r for r in strict.collect()}
+        chosen |= {r["column_name"]: r for r in detect_formats_strict(df, undecided).collect()}
     return chosen
 
 
@@ -114,22 +97,22 @@ def _literal_map(values: dict[str, str]) -> Column:
 def format_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """Detected format per column with what it reads over all rows.
 
-    The range and the counts cover the whole column, not only the sample; ``sample_parsed_dates``
-    shows up to five sampled values. Undecided columns carry an error text.
+    ``sample_parsed_dates`` shows up to five of the dates. Undecided columns carry an error text.
     """
     chosen = chosen_formats(df, columns)
     formats = sorted({r["date_format"] for r in chosen.values()})
     used = _literal_map({c: r["date_format"] for c, r in chosen.items()})
     stamped = _text_values(df, columns).withColumn("date_format", used)
     stamped = stamped.withColumn("_t", parse_by_format_column(F.col("tidy"), F.col("date_format"), formats))
+    of_class = [F.when(F.pmod(F.xxhash64("tidy"), F.lit(CLASSES)) == k, F.col("_t")) for k in range(CLASSES)]
     totals = stamped.groupBy("column_name", "date_format").agg(
         F.min("_t").cast("date").alias("min_date"),
         F.max("_t").cast("date").alias("max_date"),
-        F.sum(F.when(F.col("_t").isNotNull(), F.col("n")).otherwise(0)).alias("successful_parse_count"),
-        F.sum("n").alias("total_count"),
+        F.count("_t").alias("successful_parse_count"),
+        F.count(F.lit(1)).alias("total_count"),
+        F.array_compact(F.array(*[F.min(t) for t in of_class])).alias("_shown"),
     )
-    shown = F.split(_literal_map({c: "\n".join(r["shown"]) for c, r in chosen.items()}), "\n")
-    dates = F.transform(shown, lambda t: parse_by_format_column(t, F.col("date_format"), formats).cast("string"))
+    dates = F.slice(F.array_sort("_shown"), 1, SHOWN).cast("array<string>")
     return totals.select(
         "column_name",
         "date_format",
@@ -138,7 +121,7 @@ def format_report(df: DataFrame, columns: list[str]) -> DataFrame:
         "total_count",
         "min_date",
         "max_date",
-        F.array_compact(dates).alias("sample_parsed_dates"),
+        dates.alias("sample_parsed_dates"),
         F.when(F.col("date_format").isNull(), "No suitable date format found").alias("error"),
     )
 

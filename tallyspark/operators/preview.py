@@ -1,7 +1,7 @@
 """Light table preview: stricter type inference than the full profile, fewer statistics.
 
-Text columns are typed by a repeatable sample of their values: all sampled values must read as
-numbers, or all as dates of one format, before the column is called numeric or datetime.
+All values of a text column must read as numbers, or all as dates of one format, before the column is called numeric or
+datetime; one aggregate over all rows tells, and no text is moved.
 """
 
 from __future__ import annotations
@@ -18,25 +18,19 @@ from tallyspark.functions.safe import DATE_TYPES, as_date, as_number, as_text, c
 from tallyspark.operators.long_format import long_format
 from tallyspark.operators.profile import COUNTS, MOMENTS, TableProfile
 from tallyspark.operators.quantiles import exact_percentiles
-from tallyspark.operators.sampling import sample_distinct
 
 # Preview limits.
 TOP_VALUES = 5
-TYPE_SAMPLE = 1000
 MAX_UNIQUE_SHARE = 0.8
 HIGH_CARDINALITY, HIGH_CARDINALITY_SHARE = 50, 0.1
 
 
-def sample_values(df: DataFrame, fields: list[T.StructField], size: int = TYPE_SAMPLE) -> DataFrame:
-    """(column_name, value): up to ``size`` distinct non-null values per column."""
-    return sample_distinct(df, fields, as_text, size).select("column_name", "value")
-
-
 @dataclass(frozen=True)
 class TablePreview:
-    """Preview of any DataFrame. Every method returns a lazy DataFrame."""
+    """Preview of any DataFrame, with the ``top`` most frequent values. Every method returns a DataFrame."""
 
     df: DataFrame
+    top: int = TOP_VALUES
 
     @property
     def _profile(self) -> TableProfile:
@@ -81,9 +75,9 @@ class TablePreview:
             .when(one_format, "datetime (inferred from object)")
             .otherwise("categorical/string (inferred from object)")
         )
-        sampled = sample_values(self.df, self._text_fields).withColumn("tidy", tidy(value))
-        sampled = sampled.groupBy("column_name").agg(verdict.alias("verdict"))
-        return declared.join(F.broadcast(sampled), "column_name", "left").select(
+        texts = long_format(self.df, self._text_fields, as_text, "value").withColumn("tidy", tidy(value))
+        decided = texts.groupBy("column_name").agg(verdict.alias("verdict"))  # one row per column
+        return declared.join(F.broadcast(decided), "column_name", "left").select(
             "column_name", "original_dtype", F.coalesce("verdict", "inferred_best_dtype").alias("inferred_best_dtype")
         )
 
@@ -152,21 +146,25 @@ class TablePreview:
         long = long_format(self.df, fields, lambda v, _: v.cast("boolean"), "value")
         return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
 
-    def _cardinality(self) -> tuple[DataFrame, DataFrame]:
-        """Value frequencies of text columns, and row and distinct counts per categorical column."""
-        frequencies = self._profile.value_frequencies(self._text_fields)
-        uniques = frequencies.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
-        kinds = self._of_kind("categorical")
+    def _cardinality(self) -> DataFrame:
+        """Row and distinct counts per categorical column; long texts are counted by their digests."""
         total = self.df.agg(F.count(F.lit(1))).scalar()
-        counts = uniques.join(F.broadcast(kinds), "column_name", "left_semi")  # one row per column
-        return frequencies, counts.withColumn("total_rows", total)
+        fields = self._fields_of_kind("categorical")
+        if not fields:
+            nothing = self.df.sparkSession.createDataFrame([], "column_name string, unique_count long")
+            return nothing.withColumn("total_rows", total)
+        uniques = self._profile.cardinalities(fields).select("column_name", "unique_count")
+        return uniques.withColumn("total_rows", total)
 
     def top_values(self) -> DataFrame:
-        """Five most frequent values of categorical columns that are not mostly unique."""
-        frequencies, counts = self._cardinality()
-        shown = counts.filter(F.col("unique_count") <= F.col("total_rows") * MAX_UNIQUE_SHARE)
+        """Most frequent values of categorical columns that are not mostly unique; only their texts are moved."""
+        shown = self._cardinality().filter(F.col("unique_count") <= F.col("total_rows") * MAX_UNIQUE_SHARE)
+        found = {r["column_name"]: r for r in shown.collect()}
+        fields = [f for f in self._text_fields if f.name in found]
+        frequencies = self._profile.value_frequencies(fields)
+        shown = self.df.sparkSession.createDataFrame(list(found.values()), shown.schema)
         order = W.partitionBy("column_name").orderBy(F.desc("n"), "value")
-        ranked = frequencies.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP_VALUES)
+        ranked = frequencies.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= self.top)
         return ranked.join(F.broadcast(shown), "column_name").select(
             "column_name",
             "value",
@@ -182,7 +180,7 @@ class TablePreview:
 
     def notes(self) -> DataFrame:
         """Columns without a top list: mostly unique texts, and columns that are entirely empty."""
-        _, counts = self._cardinality()
+        counts = self._cardinality()
         unique_texts = counts.filter(F.col("unique_count") > F.col("total_rows") * MAX_UNIQUE_SHARE).select(
             "column_name",
             F.lit("High cardinality or mostly unique string values. Not showing top N.").alias("note"),

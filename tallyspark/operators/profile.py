@@ -145,7 +145,11 @@ class TableProfile:
         fields = self.fields_of("numeric")
         if not fields:
             return {}
-        measures = COUNTS | {"n": "count({num})", "low": "min({num})", "high": "max({num})", "mean": "avg({num})"}
+        finite = "CASE WHEN abs({num}) < double('Infinity') THEN {num} END"  # not so for NaN, which is above all numbers
+        measures = COUNTS | {
+            "n": "count({num})", "low": "min({num})", "high": "max({num})", "mean": "avg({num})",
+            "finite_low": f"min({finite})", "finite_high": f"max({finite})",
+        }
         return {r["column_name"]: r for r in self.per_column(measures, fields).collect() if r["n"] > 0}
 
     # -- shared aggregates -----------------------------------------------------------------
@@ -304,10 +308,10 @@ class TableProfile:
         return found.select("column_name", *[rounded(F.expr(value), 3).alias(label) for label, value in stats.items()])
 
     def histogram(self) -> DataFrame:
-        """Ten equal-width buckets per numeric column; the maximum sits in bucket eleven.
+        """Ten equal-width buckets per numeric column over its finite values; their maximum sits in bucket eleven.
 
         The ranges are known, so each bucket is one conditional count and nothing is shuffled but the
-        counts. A column with a single value has one bucket.
+        counts. A column with a single finite value has one bucket. Negative infinity is bucket 0, infinity 12, NaN 13.
         """
         known = self._ranges
         fields = [f for f in self.fields_of("numeric") if f.name in known]
@@ -316,7 +320,7 @@ class TableProfile:
         for block in _blocks(fields):
             placed = self.df.select(*[as_number(column(f.name), f.dataType).alias(f"v{i}") for i, f in enumerate(block)])
             buckets = [self._bucket(f"v{i}", f.name) + f" AS b{i}" for i, f in enumerate(block)]
-            cells = [(i, f, k) for i, f in enumerate(block) for k in range(1, HISTOGRAM_BUCKETS + 2)]
+            cells = [(i, f, k) for i, f in enumerate(block) for k in range(HISTOGRAM_BUCKETS + 4)]
             counts = placed.selectExpr(*buckets).selectExpr(*[f"count_if(b{i} = {k}) AS n{i}_{k}" for i, _, k in cells])
             rows = [_struct(column_name=sql_text(f.name), bucket=f"{k}L", frequency=f"n{i}_{k}") for i, f, k in cells]
             frames.append(_as_rows(counts, rows).filter("frequency > 0"))
@@ -325,10 +329,13 @@ class TableProfile:
         return _union(frames)
 
     def _bucket(self, value: str, name: str) -> str:
-        low, high = self._ranges[name]["low"], self._ranges[name]["high"]
-        if not low < high:
-            return f"CASE WHEN {value} IS NOT NULL THEN 1 END"
-        return f"width_bucket({value}, {sql_double(low)}, {sql_double(high)}, {HISTOGRAM_BUCKETS})"
+        low, high = self._ranges[name]["finite_low"], self._ranges[name]["finite_high"]
+        spread = low is not None and low < high
+        finite = f"width_bucket({value}, {sql_double(low)}, {sql_double(high)}, {HISTOGRAM_BUCKETS})" if spread else "1L"
+        return (
+            f"CASE WHEN isnan({value}) THEN {HISTOGRAM_BUCKETS + 3}L WHEN {value} = double('Infinity') THEN {HISTOGRAM_BUCKETS + 2}L "
+            f"WHEN {value} = -double('Infinity') THEN 0L WHEN {value} IS NOT NULL THEN {finite} END"
+        )
 
     def datetime_stats(self) -> DataFrame:
         """First and last day of each datetime column and the days between them."""

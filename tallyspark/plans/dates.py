@@ -44,8 +44,7 @@ _TEXTS = (
     + """ UNION ALL SELECT 'spoiled', CASE WHEN o_orderstatus = 'P' THEN 'unknown'
           ELSE STRFTIME(o_orderdate, '%Y-%m-%d') END FROM orders),
 vals AS (SELECT column_name, v, COUNT(*) AS n FROM texts WHERE v IS NOT NULL GROUP BY ALL),
-sample AS (SELECT * FROM vals WHERE TRIM(v) <> ''
-           QUALIFY ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY MD5(v), v) <= 20)"""
+filled AS (SELECT * FROM vals WHERE TRIM(v) <> '')"""
 )
 
 
@@ -70,12 +69,12 @@ def _best(scores: str, enough: str) -> str:
         QUALIFY ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY parsed DESC, position) = 1"""
 
 
-_SAMPLED = _scores("scores", "sample", [f for f, _ in DATE_FORMATS], "1")
+_SCORED = _scores("scores", "filled", [f for f, _ in DATE_FORMATS], "n")
 _STRICT = _scores("strict_scores", "vals", STRICT_FORMATS, "n")
 
 
 @query(
-    f"""WITH {_TEXTS}, {_SAMPLED}
+    f"""WITH {_TEXTS}, {_SCORED}
         SELECT column_name, date_format, ROUND(success_rate, 6) AS success_rate
         FROM ({_best("scores", "parsed >= 0.8 * tested")})"""
 )
@@ -102,11 +101,13 @@ _PARSED = " UNION ALL ".join(
 
 
 @query(
-    f"""WITH {_TEXTS}, {_SAMPLED}, chosen AS ({_best("scores", "parsed >= 0.8 * tested")}), parsed_values AS ({_PARSED})
+    f"""WITH {_TEXTS}, {_SCORED}, chosen AS ({_best("scores", "parsed >= 0.8 * tested")}), parsed_values AS ({_PARSED})
         SELECT column_name, date_format, ROUND(SUM(CASE WHEN t IS NOT NULL THEN n ELSE 0 END) / SUM(n), 6) AS success_rate,
                CAST(SUM(CASE WHEN t IS NOT NULL THEN n ELSE 0 END) AS BIGINT) AS successful_parse_count,
                CAST(SUM(n) AS BIGINT) AS total_count, CAST(MIN(t) AS DATE) AS min_date, CAST(MAX(t) AS DATE) AS max_date
-        FROM parsed_values GROUP BY column_name, date_format"""
+        FROM parsed_values GROUP BY column_name, date_format
+        UNION ALL SELECT column_name, NULL, 0.0, 0, CAST(SUM(n) AS BIGINT), NULL, NULL FROM vals
+        WHERE column_name NOT IN (SELECT column_name FROM chosen) GROUP BY column_name"""
 )
 def date_format_report(spark: SparkSession, folder: str) -> DataFrame:
     report = date_formats.format_report(order_date_texts(spark, folder), [*STYLE_NAMES, "spoiled"])
@@ -120,7 +121,7 @@ def date_parse_with_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TEXTS}, {_SAMPLED}, found AS ({_best("scores", "parsed >= 0.8 * tested")}),
+    f"""WITH {_TEXTS}, {_SCORED}, found AS ({_best("scores", "parsed >= 0.8 * tested")}),
         dated AS (SELECT column_name FROM vals GROUP BY column_name
                   HAVING COUNT(TRY_CAST(v AS DOUBLE)) = 0 AND COUNT(CASE WHEN REGEXP_MATCHES(v, '^[0-9]{{4}}') THEN TRY_CAST(v AS DATE) END) > 0)
         SELECT d.column_name, date_format, ROUND(success_rate, 6) AS success_rate

@@ -290,7 +290,7 @@ _MIXED_TEXTS = ["number_text", "date_text", "mixed_text", "o_orderpriority", "la
         """SELECT '{c}' AS column_name, CASE WHEN COUNT(TRY_CAST({c} AS DOUBLE)) = COUNT(*) THEN 'numeric (inferred from object)'
            WHEN COUNT(TRY_CAST({c} AS DATE)) = COUNT(*) THEN 'datetime (inferred from object)'
            ELSE 'categorical/string (inferred from object)' END AS inferred_best_dtype
-           FROM (SELECT DISTINCT {c} FROM mixed WHERE {c} IS NOT NULL ORDER BY MD5({c}), {c} LIMIT 1000)""",
+           FROM mixed WHERE {c} IS NOT NULL""",
     )
     + """ UNION ALL SELECT 'o_totalprice', 'numeric' UNION ALL SELECT 'is_open', 'boolean'
           UNION ALL SELECT 'empty_text', 'string' UNION ALL SELECT 'day', 'datetime'"""

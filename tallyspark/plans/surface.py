@@ -21,7 +21,7 @@ from tallyspark.streaming.landing import ingest_landing
 @query("""SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def scan_csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = work_dir(spark, "csv") + "/customer.csv"
-    table(spark, folder, "customer").write.option("header", True).csv(path)
+    tables.write_csv(table(spark, folder, "customer"), path)
     return tables.read_csv(spark, path).select(
         F.col("c_custkey").cast("long").alias("c_custkey"),
         "c_name",
@@ -31,6 +31,30 @@ def scan_csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""SELECT doc_id, text FROM documents UNION ALL SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations""")
+def scan_csv_quoted(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with quotes and line breaks, written as CSV and read back."""
+    path = work_dir(spark, "csv")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    turns = table(spark, folder, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    for name, texts in (("documents", documents), ("turns", turns)):
+        tables.write_csv(texts, f"{path}/{name}")
+    return tables.read_csv(spark, [f"{path}/documents", f"{path}/turns"], documents.schema, empty_texts=True)
+
+
+@query(
+    """SELECT COUNT(*) AS total_rows, COUNT(CASE WHEN o_orderstatus <> 'O' THEN 1 END) AS malformed_rows FROM orders"""
+)
+def scan_csv_malformed(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with a field too many or too few are kept and counted."""
+    path = work_dir(spark, "csv")
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    line = F.when(status == "F", F.concat_ws(",", key, status, F.lit("extra"))).when(status == "P", key.cast("string"))
+    lines = table(spark, folder, "orders").select(F.coalesce(line, F.concat_ws(",", key, status)).alias("line"))
+    lines.write.text(f"{path}/lines")
+    return tables.malformed_lines(tables.read_csv_as_text(spark, f"{path}/lines", columns=["key", "status"]))
+
+
 @query(
     """SELECT o_orderstatus, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus"""
 )
@@ -196,7 +220,7 @@ def landing_ingest(spark: SparkSession, folder: str) -> DataFrame:
     half = F.lit("2024-01-16").cast("timestamp_ntz")
     arrived = None
     for drop, rows in (("first", events.filter(F.col("ts") < half)), ("second", events.filter(F.col("ts") >= half))):
-        rows.write.option("header", True).csv(f"{base}/in/{drop}")
+        tables.write_csv(rows, f"{base}/in/{drop}")
         arrived = ingest_landing(spark, f"{base}/in", f"{base}/table", f"{base}/checkpoint", events.schema)
     return arrived.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), money(F.sum("value")).alias("total"))
 
@@ -229,8 +253,8 @@ def _fallback_sql(name: str, numeric: bool) -> str:
 )
 def profile_fallback(spark: SparkSession, folder: str) -> DataFrame:
     path = work_dir(spark, "csv") + "/customer.csv"
-    table(spark, folder, "customer").write.option("header", True).csv(path)
-    return fallback_profile(tables.read_csv_as_text(spark, path), "customer")
+    tables.write_csv(table(spark, folder, "customer"), path)
+    return fallback_profile(tables.read_csv_as_text(spark, path).drop(tables.CORRUPT), "customer")
 
 
 @query(

@@ -6,18 +6,18 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime
 from pathlib import PurePosixPath
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators.profile import TableProfile
-from tallyspark.sources import files
+from tallyspark.sources import files, tables
 from tallyspark.sources.versioned import VersionedDataset
 
-# A full load may hold 20,000 tokens of four JSON characters each; a sheet name 31 characters.
+# A full load may hold 20,000 tokens of four JSON characters each.
 MAX_LOAD_TOKENS = 20_000
 CHARACTERS_PER_TOKEN = 4
-SHEET_NAME_LENGTH = 31
 DEFAULT_SHEET = "Sheet1"
 
 
@@ -54,15 +54,15 @@ def run_and_save(
     if files.exists(spark, f"{folder}/{stem}.{file_format}"):
         stem = f"{stem}_{uuid.uuid4()}"
     path = f"{folder}/{stem}.{file_format}"
-    writer = spark.sql(query).write.mode("errorifexists")
+    result = spark.sql(query)
     if file_format == "csv":
-        writer = writer.option("header", True)
-    writer.format(file_format).save(path)
+        tables.write_csv(result, path)
+        stored = tables.read_csv(spark, path, schema=result.schema, empty_texts=True)
+    else:
+        result.write.mode("errorifexists").format(file_format).save(path)
+        stored = spark.read.format(file_format).load(path)
     files.write_text(spark, f"{folder}/{stem}.sql", query.strip())
-    reader = spark.read.format(file_format)
-    if file_format == "csv":
-        reader = reader.option("header", True).option("inferSchema", True)
-    return SavedResult(purpose, f"{folder}/{stem}.sql", path, TableProfile(reader.load(path), stem), is_task_result)
+    return SavedResult(purpose, f"{folder}/{stem}.sql", path, TableProfile(stored, stem), is_task_result)
 
 
 def load_size(df: DataFrame, name: str = "table") -> DataFrame:
@@ -97,8 +97,8 @@ def load_bounded(df: DataFrame, name: str = "table") -> list[Row]:
 
 
 def sheet_key(sheet_name: str) -> str:
-    """The stored name of a sheet: cut to its maximum length, with a default for a blank one."""
-    return (sheet_name or "")[:SHEET_NAME_LENGTH] or DEFAULT_SHEET
+    """The folder of a sheet: its full name, with what a path cannot hold escaped; a default for a blank one."""
+    return quote(sheet_name or DEFAULT_SHEET, safe="")
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,7 @@ class ResultBook:
 
     def sheets(self) -> list[str]:
         names = files.list_names(self.spark, f"{self.folder}/book={self.name}")
-        return [n.removeprefix("sheet=") for n in names if n.startswith("sheet=")]
+        return [unquote(n.removeprefix("sheet=")) for n in names if n.startswith("sheet=")]
 
     def write_sheet(self, df: DataFrame, sheet_name: str) -> str:
         """Add or replace a sheet, then read it back and compare its columns and row count.
@@ -126,11 +126,13 @@ class ResultBook:
         The rows are counted while they are written, so the check costs no second run of the query.
         """
         dataset, written = self._sheet(sheet_name), Observation()
-        version = dataset.write({"rows": df.observe(written, F.count(F.lit(1)).alias("rows"))})
-        stored = dataset.read(version, "rows")
-        if stored.columns != df.columns or stored.count() != written.get["rows"]:
-            raise IOError(f"sheet {sheet_name!r} did not come back as it was written")
-        return version
+
+        def check(version: str) -> None:
+            stored = dataset.read(version, "rows")
+            if stored.columns != df.columns or stored.count() != written.get["rows"]:
+                raise IOError(f"sheet {sheet_name!r} did not come back as it was written")
+
+        return dataset.write({"rows": df.observe(written, F.count(F.lit(1)).alias("rows"))}, check)
 
     def read_sheet(self, sheet_name: str) -> DataFrame:
         dataset = self._sheet(sheet_name)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.operators.profile import TableProfile
@@ -18,41 +20,131 @@ def check_sources(spark: SparkSession, paths: list[str]) -> None:
         raise FileNotFoundError(f"source not found: {', '.join(missing)}")
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None) -> DataFrame:
+#: The common dialect, for reading and writing: quotes are doubled inside quoted fields, blanks are kept.
+DIALECT = {
+    "header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+CORRUPT = "_corrupt_record"
+#: Stands for a field without content where an empty text is a value; no text file holds it.
+NO_TEXT = "\u0000"
+#: Header lines are read by this many threads, as a folder may hold very many files.
+HEADER_READERS = 32
+
+
+def reader_options(line_breaks: bool, mode: str) -> dict[str, str]:
+    """Options of a scan. All columns of a line are looked at, so that no ill-fitting line passes for want of a column."""
+    more = {"multiLine": str(line_breaks).lower(), "mode": mode, "columnPruning": "false", "columnNameOfCorruptRecord": CORRUPT}
+    return DIALECT | more
+
+
+def read_csv(
+    spark: SparkSession,
+    paths: str | list[str],
+    schema: T.StructType | None = None,
+    *,
+    line_breaks: bool = True,
+    empty_texts: bool = False,
+) -> DataFrame:
     """CSV files with a header row as one table.
 
-    Types are inferred unless a schema is given (inference costs one more pass over the data).
-    Files are matched by column name: files sharing a header are scanned together, and columns
-    missing from a file are NULL.
+    Types are inferred unless a schema is given (inference costs one more pass over the data). Files are matched by column
+    name: files sharing a header are scanned together, also within a directory, and columns missing from a file are NULL.
+    Where files with different headers disagree on a type, numbers become doubles and anything else text.
+
+    A line that does not fit fails the query; ``read_csv_as_text`` keeps such lines for a look. Quoted fields may hold line
+    breaks, for which each file is read by one task; ``line_breaks=False`` lets large files be split. An empty field is
+    NULL; with ``empty_texts`` only one without quotes is, and ``""`` an empty text.
     """
+    options = reader_options(line_breaks, "FAILFAST") | ({"nullValue": NO_TEXT} if empty_texts else {})
     paths = [paths] if isinstance(paths, str) else list(paths)
     check_sources(spark, paths)
-    by_header: dict[str, list[str]] = {}
-    for path in paths:
-        by_header.setdefault(_header(spark, path), []).append(path)
-    frames = [_scan(spark, group, schema) for group in by_header.values()]
+    groups = _by_header(spark, paths)
+    if schema is not None or len(groups) == 1:
+        return _union([_scan(spark, group, schema, options) for group in groups])
+    inferred = [_scan(spark, group, None, options).schema for group in groups]
+    common = _common_types(inferred)
+    schemas = [T.StructType([T.StructField(f.name, common[f.name]) for f in found]) for found in inferred]
+    return _union([_scan(spark, group, s, options) for group, s in zip(groups, schemas)])
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _header(spark: SparkSession, path: str) -> str:
-    if not files.is_dir(spark, path):
-        return files.first_line(spark, path)
-    parts = [n for n in files.list_names(spark, path) if not n.startswith(("_", "."))]
-    return files.first_line(spark, f"{path}/{parts[0]}") if parts else ""
+def _common_types(schemas: list[T.StructType]) -> dict[str, T.DataType]:
+    kinds: dict[str, list[T.DataType]] = {}
+    for field in (f for schema in schemas for f in schema):
+        kinds.setdefault(field.name, []).append(field.dataType)
+
+    def common(types: list[T.DataType]) -> T.DataType:
+        if len(set(types)) == 1:
+            return types[0]
+        if all(isinstance(t, T.IntegralType) for t in types):
+            return T.LongType()
+        return T.DoubleType() if all(isinstance(t, T.NumericType) for t in types) else T.StringType()
+
+    return {name: common(types) for name, types in kinds.items()}
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Paths grouped by header line; a directory is taken apart only if its files differ. Empty files have no rows."""
 
+    def members(path: str) -> list[str]:
+        if not files.is_dir(spark, path):
+            return [path]
+        names = [n for n in files.list_names(spark, path) if not n.startswith(("_", "."))]
+        return [m for n in names for m in members(f"{path.rstrip('/')}/{n}")]
 
-def _scan(spark: SparkSession, paths: list[str], schema: T.StructType | None) -> DataFrame:
-    reader = spark.read.option("header", True)
+    groups: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        for path in paths:
+            parts = members(path)
+            headers = list(pool.map(lambda part: files.first_line(spark, part), parts))
+            # left whole, a directory may hold partition columns in its path
+            if len(set(headers)) <= 1:
+                groups.setdefault(headers[0] if headers else "", []).append(path)
+                continue
+            for header, part in zip(headers, parts):
+                if header:
+                    groups.setdefault(header, []).append(part)
+    return list(groups.values())
+
+
+def _scan(spark: SparkSession, paths: list[str], schema: T.StructType | None, options: dict[str, str]) -> DataFrame:
+    reader = spark.read.options(**options)
     if schema is None:
-        return reader.option("inferSchema", True).csv(paths)
+        # a line that does not fit is met when the rows are read, not while types are inferred
+        schema = spark.read.options(**options | {"mode": "PERMISSIVE"}).option("inferSchema", True).csv(paths).schema
     return reader.option("enforceSchema", False).schema(schema).csv(paths)
 
 
-def read_csv_as_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Every column as text, malformed lines included: the way in when inference fails."""
+def write_csv(df: DataFrame, path: str) -> None:
+    """Write in the dialect ``read_csv`` reads."""
+    df.write.options(**DIALECT).csv(path)
+
+
+def read_csv_as_text(
+    spark: SparkSession, paths: str | list[str], *, columns: list[str] | None = None, line_breaks: bool = True
+) -> DataFrame:
+    """Every column as text, the way in when lines do not fit: ``_corrupt_record`` holds the whole of each such line.
+
+    ``columns`` names the columns of files that have no header.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     check_sources(spark, paths)
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(paths)
+
+    def scan(group: list[str]) -> DataFrame:
+        reader = spark.read.options(**reader_options(line_breaks, "PERMISSIVE")).option("header", columns is None)
+        names = [*(columns or reader.csv(group).columns), CORRUPT]
+        return reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(group)
+
+    return _union([scan(group) for group in (_by_header(spark, paths) if columns is None else [paths])])
+
+
+def malformed_lines(text_table: DataFrame) -> DataFrame:
+    """(total_rows, malformed_rows) of a table read as text."""
+    first = F.col(f"`{text_table.columns[0]}`")  # Spark reads the corrupt lines only beside another column
+    return text_table.agg((F.count(first) + F.count_if(first.isNull())).alias("total_rows"), F.count(CORRUPT).alias("malformed_rows"))
 
 
 def list_tables(spark: SparkSession, folder: str, suffix: str = ".csv") -> dict[str, str]:

@@ -6,6 +6,7 @@ half way leaves the previous version in force.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +31,17 @@ class VersionedDataset:
                 return version
         return None
 
-    def write(self, parts: dict[str, DataFrame]) -> str:
-        """Write all parts as the next version. Two writers racing for one version: the second fails."""
+    def write(self, parts: dict[str, DataFrame], check: Callable[[str], None] | None = None) -> str:
+        """Write all parts as the next version. Two writers racing for one version: the second fails.
+
+        ``check`` looks at the version before it comes into force; if it raises, the old version stays.
+        """
         taken = self.versions()
         version = f"v{(int(taken[-1][1:]) if taken else 0) + 1:08d}"
         for part, df in parts.items():
             df.write.mode("errorifexists").parquet(f"{self.path}/{version}/{part}")
+        if check is not None:
+            check(version)
         files.write_text(self.spark, f"{self.path}/{version}/{COMPLETE}", "")
         return version
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tallyspark.sources.tables import CORRUPT, reader_options
+
 
 def ingest_landing(
     spark: SparkSession, landing: str, table: str, checkpoint: str, schema: T.StructType, files_per_batch: int = 1000
@@ -12,11 +14,13 @@ def ingest_landing(
     """Append every CSV file not seen before to ``table`` and return the table.
 
     Runs as an available-now stream: the checkpoint remembers which files are in, so the call can be
-    repeated on a schedule, and a lost executor or a restart neither drops nor doubles a file.
+    repeated on a schedule, and a lost executor or a restart neither drops nor doubles a file. A line that does not fit
+    fails the run, or is kept whole in the column ``_corrupt_record`` where the schema has one.
     """
+    mode = "PERMISSIVE" if CORRUPT in schema.names else "FAILFAST"
     stream = (
         spark.readStream.schema(schema)
-        .option("header", True)
+        .options(**reader_options(line_breaks=True, mode=mode))
         .option("maxFilesPerTrigger", files_per_batch)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")

@@ -98,6 +98,13 @@ def test_strict_fallback_needs_every_row(spark):
     assert [r["column_name"] for r in date_formats.detect_formats_strict(df, ["all", "some"]).collect()] == ["all"]
 
 
+def test_formats_are_decided_over_all_rows(spark):
+    """Most days are at most 12; the few others tell day-first from month-first."""
+    df = spark.range(3000).selectExpr("date_format(date_add(date'2023-01-01', if(id % 100 = 7, 24, id % 12)), 'dd/MM/yyyy') AS v")
+    assert date_formats.detect_formats(df, ["v"]).first()["date_format"] == "%d/%m/%Y"
+    assert df.select(date_formats.date_cast(df, "v").alias("d")).filter("d IS NULL").count() == 0
+
+
 def test_date_cast(spark):
     df = spark.createDataFrame([("15.01.2023", "x"), ("16.01.2023", "2023-01-05")], "d string, j string")
     casted = df.select(date_formats.date_cast(df, "d"), date_formats.date_cast(df, "j")).collect()

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import hashlib
 import random
 import statistics
 
@@ -8,7 +7,7 @@ import numpy as np
 import pytest
 
 from tallyspark.functions import safe
-from tallyspark.operators import quantiles, sampling
+from tallyspark.operators import quantiles
 from tallyspark.operators.preview import TablePreview
 from tallyspark.operators.profile import TableProfile, fallback_profile
 from tallyspark.functions.safe import column
@@ -185,20 +184,6 @@ def test_approximate_distinct(spark):
     assert exact == 50_000 and abs(near - exact) < 0.1 * exact
 
 
-def test_sample_of_a_large_table_is_the_same(spark, monkeypatch):
-    """Columns with many, few and one very frequent value, sampled both ways."""
-    df = spark.range(60_000).selectExpr(
-        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('v', id) END AS many", "concat('w', id % 40) AS few"
-    )
-    expected = rows(sampling.sample_distinct(df, df.schema.fields, safe.as_text, 5))
-    monkeypatch.setattr(sampling, "SMALL_TABLE", 0)
-    assert rows(sampling.sample_distinct(df, df.schema.fields, safe.as_text, 5)) == expected
-    brute = {c: {r[0] for r in df.select(c).distinct().collect()} for c in df.columns}
-    for c in df.columns:
-        lowest = sorted(brute[c], key=lambda v: hashlib.md5(v.encode()).hexdigest())[:5]
-        assert [v for n, v, _ in sorted(expected, key=lambda r: r[2]) if n == c] == lowest
-
-
 def test_hot_value_counts(spark):
     """A third of the rows hold one value."""
     df = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('v', id) END AS t")
@@ -230,3 +215,25 @@ def test_preview_needs_every_value(spark):
 def test_preview_without_numbers(spark):
     preview = TablePreview(spark.createDataFrame([("x",)], "t string"))
     assert preview.numeric().count() == 0 and preview.datetime().count() == 0 and preview.boolean().count() == 0
+
+
+def test_types_are_decided_over_all_values(spark):
+    """One odd value among 20,000 decides."""
+    df = spark.range(20_000).selectExpr("if(id = 13000, 'x', string(id)) AS t", "string(id) AS n")
+    found = {r["column_name"]: r["inferred_best_dtype"] for r in TablePreview(df).types().collect()}
+    assert found["t"].startswith("categorical") and found["n"].startswith("numeric")
+
+
+def test_only_listed_texts_are_moved(spark):
+    df = spark.range(100).selectExpr("repeat(string(id), 500) AS long_text", "string('k' || id % 3) AS short")
+    found = TablePreview(df, top=2).top_values()
+    assert [(r["column_name"], r["rank"]) for r in found.orderBy("rank").collect()] == [("short", 1), ("short", 2)]
+    assert "long_text" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_histogram_counts_what_is_not_finite(spark):
+    values = [*(float(i) for i in range(200)), float("nan"), float("inf"), float("-inf")]
+    found = rows(TableProfile(spark.createDataFrame([(v,) for v in values], "v double")).histogram())
+    by_bucket = {b: n for _, b, n in found}
+    assert sum(by_bucket.values()) == len(values)
+    assert (by_bucket[0], by_bucket[12], by_bucket[13], by_bucket[1], by_bucket[11]) == (1, 1, 1, 20, 1)
