@@ -100,7 +100,7 @@ def test_strict_fallback_needs_every_row(spark):
 
 def test_formats_are_decided_over_all_rows(spark):
     """Most days are at most 12; the few others tell day-first from month-first."""
-    df = spark.range(3000).selectExpr("date_format(date_add(date'2023-01-01', if(id % 100 = 7, 24, id % 12)), 'dd/MM/yyyy') AS v")
+    df = spark.range(3000).selectExpr("date_format(date_add(date'2023-01-01', int(if(id % 100 = 7, 24, id % 12))), 'dd/MM/yyyy') AS v")
     assert date_formats.detect_formats(df, ["v"]).first()["date_format"] == "%d/%m/%Y"
     assert df.select(date_formats.date_cast(df, "v").alias("d")).filter("d IS NULL").count() == 0
 
