@@ -6,10 +6,11 @@ nodes together; where two sketches meet, the union sketch estimates their simila
 enough form candidate groups. The full sets of a group are then compared exactly, in blocks; only exact links count.
 
 At the threshold two documents share none of the ``listed`` smallest values with probability (1 - threshold) **
-listed, 3e-7 for the defaults, and the estimate rejects a true pair at five standard deviations.
+listed, 3e-6 for the defaults, and the estimate rejects a true pair at five standard deviations.
 
-Skew: lists and groups above a block are dealt as pairs of blocks, so no task holds more than two blocks of members.
-A task emits at most one link for each member, never all pairs.
+Skew: members of lists and groups above a block first meet one block and a few anchors; then blocks of those that this
+left apart meet in pairs, so no task holds more than two blocks of members. A task emits at most one link for each
+member, never all pairs.
 
 Defined cases: a text that is null or without words has an empty set and is linked with nothing; one with fewer words
 than a shingle has one element, the whole sequence. Rows with equal ids are separate documents. Null ids count as the
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.components import components
+from tallyspark.llm.meetings import connect
 from tallyspark.llm.runs import runs, stars
 from tallyspark.llm.shared import settled
 from tallyspark.llm.textops import Hashes, chunks, mix, ranges
@@ -143,37 +144,19 @@ def _links(nodes: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes[at[:, 0]]), pa.array(nodes[at[:, 1]])], ["a", "b"])
 
 
-def in_blocks(members: DataFrame, key: str, block: int) -> DataFrame:
-    """Deal the members of each key into pairs of blocks (``i``, ``j``), so that any two members meet in some pair. Keys of
-    up to ``block`` members have the one pair (0, 0). ``home`` marks one of the meetings of each block, the one where
-    its members are to be compared among themselves; members of different blocks meet once."""
-    sizes = members.groupBy(key).agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    count = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(key)), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 2, F.lit(0))))
-    dealt = members.join(sizes.select(key, count.alias("blocks")), key).withColumn("own", own)
-    # k counts the other blocks; with one or two blocks there is one meeting
-    met = dealt.select("*", other.alias("k")).withColumn("k", F.col("k") + (F.col("k") >= F.col("own")).cast("int"))
-    low, high = F.least("own", "k"), F.greatest("own", "k")
-    alone = F.col("blocks") == 1
-    return met.select(
-        *members.columns, F.when(alone, F.lit(0)).otherwise(low).alias("i"), F.when(alone, F.lit(0)).otherwise(high).alias("j"),
-        "own", (F.col("k") == F.when(F.col("own") == 0, F.lit(1)).otherwise(F.lit(0))).alias("home"),
-    )
-
-
 def _candidates(nodes: DataFrame, settings: Settings) -> DataFrame:
     """``node`` and ``grp`` of the nodes that may have a link."""
     listed = nodes.select("node", F.explode(F.slice(_values(F.col("sketch"), settings.listed), 1, settings.listed)).alias("value"))
-    lists = in_blocks(listed, "value", settings.list_block)
-    members = lists.join(nodes.select("node", "n_shingles", "sketch"), "node")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["value", "i", "j"]):
             yield _links(table.column("node").to_numpy(), _likely(table, settings))
 
-    edges = members.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(compare, "a long, b long")
-    return components(edges).select("node", F.col("component").alias("grp"))
+    def compare(lists: DataFrame) -> DataFrame:
+        members = lists.join(nodes.select("node", "n_shingles", "sketch"), "node")
+        return members.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(likely, "a long, b long")
+
+    return connect(listed, "value", settings.list_block, compare).select("node", F.col("component").alias("grp"))
 
 
 def _values(sketch: Column, count: int) -> Column:
@@ -193,20 +176,21 @@ def find(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
     )
     groups = _candidates(nodes, settings)
-    members = in_blocks(groups, "grp", settings.group_block)
-    wanted = members.join(nodes.select("node", "first.doc_id", "first.text_key"), "node")
-    same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key"))
-    texts = keyed.alias("t").join(wanted.alias("w"), same).select("node", "grp", "i", "j", "text")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["grp", "i", "j"]):
             parts = list(shingle_sets(table.column("text").combine_chunks(), settings.words))
             values = np.concatenate([v for _, _, v in parts])
             bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b, _ in parts]))])
             yield _links(table.column("node").to_numpy(), _exact(bounds, values, settings.percent))
 
-    edges = texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(verify, "a long, b long")
-    linked = components(edges)
+    def verify(members: DataFrame) -> DataFrame:
+        wanted = members.join(nodes.select("node", "first.doc_id", "first.text_key"), "node")
+        same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key"))
+        texts = keyed.alias("t").join(wanted.alias("w"), same).select("node", "grp", "i", "j", "text")
+        return texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(exact, "a long, b long")
+
+    linked = connect(groups, "grp", settings.group_block, verify)
     placed = rows.select("doc_id", "text_key", "n_shingles", "node").join(linked, "node", "left")
     placed = settled(placed.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))))
     ids = placed.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("smallest"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.components import components
-from tallyspark.llm.near_copies import in_blocks
+from tallyspark.llm.meetings import in_blocks
 from tallyspark.llm.runs import runs
 from tallyspark.llm.shared import settled
 

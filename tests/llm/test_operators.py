@@ -13,10 +13,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from tallyspark.llm import backoff_lm, language_id, near_copies, packing, pieces, pii, pivots, quality_rules, toxicity, warc
 from tallyspark.llm.components import components
+from tallyspark.llm.meetings import connect as connect_members
 from tallyspark.llm.queries import ORACLES, QUERIES, tokenizer
 from tests.oracle import connect, difference
 
@@ -293,3 +295,27 @@ def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1001), (5, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{k: 0 for k in range(201)}, 1000: 1000, 1001: 1000}
+
+
+def test_connect_loses_no_link_and_spares_what_is_connected(spark):
+    rng = random.Random(3)
+    # one large component, small ones linked to it or to each other by a single link, and single nodes
+    links = [(0, k) for k in range(1, 120)] + [(rng.randrange(120), k) for k in range(120, 140)] + [(k, k + 1) for k in range(140, 180, 2)]
+    reach = {k: k for k in range(200)}
+    for _ in range(5):
+        for a, b in links:
+            reach[a] = reach[b] = min(reach[a], reach[b])
+    table = spark.createDataFrame([*links, *[(b, a) for a, b in links]], "a long, b long").cache()
+    dealt = []
+
+    def compare(members):
+        dealt.append(members.count())
+        left, right = (members.select("key", "i", "j", F.col("node").alias(side)) for side in "ab")
+        return left.join(right, ["key", "i", "j"]).join(table, ["a", "b"]).select("a", "b")
+
+    members = spark.createDataFrame([(7, k) for k in range(200)] + [(8, 0), (8, 199), (9, 5)], "key long, node long")
+    found = {r.node: r.component for r in connect_members(members, "key", 10, compare).collect()}
+    assert all(found.get(k, k) == reach[k] for k in reach)
+    # all pairs of 20 blocks would deal each of the 200 members 19 times
+    assert dealt[0] == 200 + 4 * 19 + 2 and sum(dealt) < 200 * 19
+    assert connect_members(members.limit(0), "key", 10, compare).count() == 0
