@@ -129,7 +129,9 @@ def churn_simple(statuses: Statuses, period: Period, *by: str) -> DataFrame:
     """
     end = F.col(statuses.end)
     opening = statuses.active_as_of(period.first)
-    flags = statuses.df.groupBy(F.col(statuses.customer).alias("customer"), *by).agg(
+    # Without groups only these records matter; with groups one without a cohort keeps its row.
+    records = statuses.df if by else statuses.df.filter(opening | period.holds(end))
+    flags = records.groupBy(F.col(statuses.customer).alias("customer"), *by).agg(
         F.bool_or(opening).alias("opening"), F.bool_or(period.holds(end)).alias("ended")
     )
     cohort = F.count_if(F.col("opening"))

@@ -4,21 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyspark.operators.entity_store import EntityStore
 from tallyspark.operators.roles import Ledger, Period, Statuses
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. Its schema is looked up once per path, not once per query."""
-    path = f"{folder}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A given table."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 # -- contracts and transactions ----------------------------------------------------------------

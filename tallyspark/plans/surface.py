@@ -90,11 +90,22 @@ def catalog_overview(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_STAR = {
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
-    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
-    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
-    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+_COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag "
+    "l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
 }
 
 
@@ -102,15 +113,18 @@ _STAR = {
     " UNION ALL ".join(
         f"""SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) - COUNT({c}) AS missing_count,
             COUNT(DISTINCT {c}) AS unique_count,
-            CASE WHEN COUNT(TRY_CAST({c} AS DOUBLE)) > 0 THEN 'numeric'
-                 WHEN COUNT(TRY_CAST({c} AS DATE)) > 0 THEN 'datetime' ELSE 'categorical' END AS inferred_best_dtype FROM {t}"""
-        for t, columns in _STAR.items()
-        for c in columns
+            CASE WHEN COUNT(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) > 0 THEN 'numeric'
+                 WHEN COUNT(TRY_CAST(CAST({c} AS VARCHAR) AS DATE)) > 0 THEN 'datetime' ELSE 'categorical'
+            END AS inferred_best_dtype FROM {t}"""
+        for t, columns in _COLUMNS.items()
+        for c in columns.split()
     )
 )
 def catalog_columns(spark: SparkSession, folder: str) -> DataFrame:
-    found = tables.column_catalogue({name: table(spark, folder, name) for name in _STAR})
-    return found.select("table_name", "column_name", "missing_count", "unique_count", "inferred_best_dtype")
+    """Facts of every column of every table in the folder."""
+    found = tables.list_tables(spark, folder, ".parquet")
+    catalogue = tables.column_catalogue({name: table(spark, folder, name) for name in found})
+    return catalogue.select("table_name", "column_name", "missing_count", "unique_count", "inferred_best_dtype")
 
 
 _LINEITEM_TYPES = {
