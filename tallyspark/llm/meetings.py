@@ -12,6 +12,8 @@ from tallyspark.llm.shared import settled
 
 #: Members of each large key that meet all blocks of the first pass.
 ANCHORS = 4
+#: Rows of the second pass up to which they may be broadcast; a row has a few numbers, so this is about 20 MB.
+FEW_ROWS = 200_000
 
 
 def in_blocks(members: DataFrame, key: str, block: int) -> DataFrame:
@@ -68,19 +70,21 @@ def _apart(members: DataFrame, known: DataFrame, key: str, block: int) -> DataFr
     return dealt.select(key, "node", low.alias("i"), high.alias("j"))
 
 
-def connect(members: DataFrame, key: str, block: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def connect(members: DataFrame, key: str, block: int, compare: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
     """``node`` and ``component`` of all nodes that links between members of the same key connect.
 
-    ``compare`` takes ``key``, ``node``, ``i`` and ``j`` and returns links (``a``, ``b``) that connect what the links
+    ``compare`` takes ``key``, ``node``, ``i`` and ``j``, and whether these rows were counted to be few enough for a
+    broadcast, and returns links (``a``, ``b``) that connect what the links
     among the rows of each (``key``, ``i``, ``j``) connect. Every member first meets one block and a few anchors, which is linear
     in the members and mostly joins a large group of copies; then only members of the same key that are not yet connected
     meet. No link between two components stays unseen: two members of a key that never met are connected already.
     """
     once = _once(members, key, block)
-    found = components(compare(once.select(key, "node", "i", F.col("i").alias("j"))))
+    found = components(compare(once.select(key, "node", "i", F.col("i").alias("j")), False))
     large = settled(once.where("blocks > 1").select(key, "node").distinct())
     apart = settled(_apart(large, found, key, block))
-    if apart.isEmpty():
+    rows = apart.count()
+    if not rows:
         return found
-    rest = compare(apart)
+    rest = compare(apart, rows <= FEW_ROWS)
     return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))

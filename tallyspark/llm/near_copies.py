@@ -152,8 +152,8 @@ def _candidates(nodes: DataFrame, settings: Settings) -> DataFrame:
         for table in runs(batches, ["value", "i", "j"]):
             yield _links(table.column("node").to_numpy(), _likely(table, settings))
 
-    def compare(lists: DataFrame) -> DataFrame:
-        members = lists.join(nodes.select("node", "n_shingles", "sketch"), "node")
+    def compare(lists: DataFrame, few: bool) -> DataFrame:
+        members = (F.broadcast(lists) if few else lists).join(nodes.select("node", "n_shingles", "sketch"), "node")
         return members.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(likely, "a long, b long")
 
     return connect(listed, "value", settings.list_block, compare).select("node", F.col("component").alias("grp"))
@@ -184,8 +184,9 @@ def find(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
             bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b, _ in parts]))])
             yield _links(table.column("node").to_numpy(), _exact(bounds, values, settings.percent))
 
-    def verify(members: DataFrame) -> DataFrame:
+    def verify(members: DataFrame, few: bool) -> DataFrame:
         wanted = members.join(nodes.select("node", "first.doc_id", "first.text_key"), "node")
+        wanted = F.broadcast(wanted) if few else wanted  # one row for each of the members
         same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key"))
         texts = keyed.alias("t").join(wanted.alias("w"), same).select("node", "grp", "i", "j", "text")
         return texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(exact, "a long, b long")

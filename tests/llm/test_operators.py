@@ -308,7 +308,7 @@ def test_connect_loses_no_link_and_spares_what_is_connected(spark):
     table = spark.createDataFrame([*links, *[(b, a) for a, b in links]], "a long, b long").cache()
     dealt = []
 
-    def compare(members):
+    def compare(members, few):
         dealt.append(members.count())
         left, right = (members.select("key", "i", "j", F.col("node").alias(side)) for side in "ab")
         return left.join(right, ["key", "i", "j"]).join(table, ["a", "b"]).select("a", "b")
