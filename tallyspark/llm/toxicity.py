@@ -3,7 +3,12 @@
 Each text is the set of its lower-case letter runs and of their beginnings (inflected forms share these), hashed into
 bins. The machine adds to the linear weight of every
 bin the inner products of the factor vectors of all pairs, so that an insult next to a group mention can weigh more
-than both alone. It is fitted on a bounded sample of labelled rows; scoring is one pass without a shuffle.
+than both alone; their sum is divided by the number of bins, or the many pairs of a long text would outweigh all else. It
+is fitted on a bounded sample of labelled rows; scoring is one pass without a shuffle.
+
+No bin is left out for what it tells alone. Against learning rare words by heart, a linear weight stays at zero until the
+errors it is to mend add up to more than chance, and the toll for that ends after the first epochs; factors start small
+and move slowly at first, so that only pairs whose errors point one way grow.
 
 Defined cases: a null or empty text has no terms and gets the score of the bias alone. Labels that are null or whose
 id is null teach nothing; of several labels of one id the highest counts. With no usable label the score is 0
@@ -20,24 +25,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.textops import Hashes, chunks, letters, lower
+from tallyspark.llm.textops import Hashes, chunks, letters, lower, ranges
 
 
 @dataclass(frozen=True)
 class Settings:
     """``sample_rows`` bounds the labelled rows that are fitted, taken by the hash of the id. A bin is used if at
-    least ``min_documents`` texts of the sample hold it and its share of toxic texts lies at least ``min_deviation``
-    standard deviations from the share of all. The model has at most 2**bits * (factors + 1) numbers."""
+    least ``min_documents`` texts of the sample hold it; ``min_deviation`` over 0 would also leave out bins whose share of
+    toxic texts lies fewer standard deviations from the share of all. ``toll`` is what the errors of a bin must exceed in
+    each of the first ``toll_epochs`` to move its linear weight, in standard deviations. ``rate`` and ``factor_rate`` are
+    the steps of weights and factors, ``decay`` draws factors to zero. A step holds at most ``batch`` rows, and about
+    ``batch_pairs`` pairs of row and bin. The model has at most 2**bits * (factors + 1) numbers."""
 
     bits: int = 20
     factors: int = 8
     sample_rows: int = 20_000
     beginnings: tuple[int, ...] = (4, 5)
     min_documents: int = 4
-    min_deviation: float = 5.0
+    min_deviation: float = 0.0
     epochs: int = 20
     batch: int = 256
-    rate: float = 0.15
+    batch_pairs: int = 1 << 18
+    rate: float = 0.8
+    factor_rate: float = 0.15
+    toll: float = 5.0
+    toll_epochs: int = 6
     decay: float = 2e-4
     seed: int = 11
 
@@ -69,11 +81,12 @@ class Machine:
         self.factors = start.astype(np.float32)
 
     def parts(self, row: np.ndarray, at: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Raw scores, the sum of factor vectors of each row, and the factor vectors of each pair."""
+        """Raw scores, the sum of factor vectors of each row, and the factor vectors of each (row, bin) pair."""
         vectors = self.factors[at].astype(np.float64)
         sums = np.stack([np.bincount(row, vectors[:, f], rows) for f in range(vectors.shape[1])], axis=1)
         squares = np.bincount(row, (vectors**2).sum(axis=1), rows)
-        raw = self.bias + np.bincount(row, self.linear[at], rows) + 0.5 * ((sums**2).sum(axis=1) - squares)
+        pairs = 0.5 * ((sums**2).sum(axis=1) - squares) / np.maximum(np.bincount(row, minlength=rows), 1)
+        raw = self.bias + np.bincount(row, self.linear[at], rows) + pairs
         return raw, sums, vectors
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -87,6 +100,13 @@ class Machine:
         return out
 
 
+def _batches(order: np.ndarray, sizes: np.ndarray, settings: Settings) -> Iterator[np.ndarray]:
+    """Cut the rows into steps of ``batch`` rows, and these where they hold more than ``batch_pairs`` pairs."""
+    for rows in np.array_split(order, max(1, len(order) // settings.batch)):
+        full = np.cumsum(sizes[rows]) // settings.batch_pairs
+        yield from np.split(rows, np.flatnonzero(np.diff(full)) + 1)
+
+
 def _fit(lengths: np.ndarray, bins: np.ndarray, labels: np.ndarray, settings: Settings) -> Machine:
     rate = labels.mean() if len(labels) else 0.0
     # counts by bin, not by sorting: the pairs are the largest array of the driver
@@ -105,27 +125,38 @@ def _fit(lengths: np.ndarray, bins: np.ndarray, labels: np.ndarray, settings: Se
     sizes = np.diff(np.concatenate([[0], np.cumsum(known, dtype=np.int32)])[np.concatenate([[0], np.cumsum(lengths)])])
     at = slots[bins[known]]
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    seen_linear, seen_factors, seen_bias = np.full(len(used), 1e-3), np.full(machine.factors.shape, 1e-3), 1e-3
+    used_counts, steps = counts[used], max(1, len(lengths) // settings.batch)
+    # the standard deviation of the errors of a bin in an epoch, dealt to the steps that will meet it
+    share = np.sqrt(used_counts * rate * (1 - rate)) / (steps * -np.expm1(used_counts * np.log1p(-1 / steps)) if steps > 1 else 1.0)
+    errors, paid, seen_linear, seen_bias = np.zeros(len(used)), np.zeros(len(used)), np.full(len(used), 1e-3), 1e-3
+    seen_factors = np.full(machine.factors.shape, 10.0, np.float32)
     rng = np.random.default_rng(settings.seed)
-    for _ in range(settings.epochs):
-        order = rng.permutation(len(lengths))
-        for batch in np.array_split(order, max(1, len(order) // settings.batch)):
-            size = begin[batch + 1] - begin[batch]
+    for epoch in range(settings.epochs):
+        for batch in _batches(rng.permutation(len(lengths)), sizes, settings):
+            size = sizes[batch]
             own = np.repeat(np.arange(len(batch)), size)
-            places = at[np.repeat(begin[batch] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            places = at[ranges(begin[batch], size)]
             raw, sums, vectors = machine.parts(own, places, len(batch))
             error = _sigmoid(raw) - labels[batch]
             seen_bias += error.sum() ** 2
             machine.bias -= settings.rate * error.sum() / np.sqrt(seen_bias)
-            touched, inverse = np.unique(places, return_inverse=True)
-            pull = np.bincount(inverse, error[own], len(touched)) + settings.decay * len(batch) * machine.linear[touched]
+            if not len(places):
+                continue
+            order = np.argsort(places, kind="stable")
+            ordered, own = places[order], own[order]
+            starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+            touched = ordered[starts]
+            pull = np.add.reduceat(error[own], starts)
             seen_linear[touched] += pull**2
-            machine.linear[touched] -= (settings.rate * pull / np.sqrt(seen_linear[touched])).astype(np.float32)
-            for f in range(settings.factors):
-                pull = np.bincount(inverse, error[own] * (sums[own, f] - vectors[:, f]), len(touched))
-                pull = pull + settings.decay * len(batch) * machine.factors[touched, f]  # an empty batch counts in integers
-                seen_factors[touched, f] += pull**2
-                machine.factors[touched, f] -= (settings.rate * pull / np.sqrt(seen_factors[touched, f])).astype(np.float32)
+            errors[touched] += pull
+            if epoch < settings.toll_epochs:
+                paid[touched] += settings.toll * share[touched]
+            beyond = np.sign(errors[touched]) * np.maximum(np.abs(errors[touched]) - paid[touched], 0)
+            machine.linear[touched] = -settings.rate * beyond / np.sqrt(seen_linear[touched])
+            pull = np.add.reduceat((error / np.maximum(size, 1))[own, None] * (sums[own] - vectors[order]), starts)
+            pull += settings.decay * len(batch) * machine.factors[touched]
+            seen_factors[touched] += pull**2
+            machine.factors[touched] -= settings.factor_rate * pull / np.sqrt(seen_factors[touched])
     return machine
 
 

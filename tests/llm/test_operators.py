@@ -85,6 +85,25 @@ def test_toxicity_learns_interactions():
     assert raw[0] < 0 and raw[1] < 0 and raw[2] > 0 and machine.factors[0] @ machine.factors[1] > 0
 
 
+def test_toxicity_learns_pairs_of_neutral_terms_as_registered():
+    rng, kept, labels = np.random.default_rng(3), [], []
+    for _ in range(4000):
+        bins = set((1000 + rng.zipf(1.3, 60) % 3000).tolist())
+        # 1 and 2 are as often in toxic texts as any word, and toxic only together
+        together = rng.random() < 0.025
+        one = together or rng.random() < 0.2
+        two = together or (not one and rng.random() < 0.25)
+        toxic = together or (not one and not two and rng.random() < 0.15)
+        held = {1: one, 2: two, 3: toxic and not together}
+        kept.append(sorted(bins | {b for b, is_held in held.items() if is_held}))
+        labels.append(float(toxic))
+    machine = toxicity._fit(np.array([len(x) for x in kept]), np.array([b for x in kept for b in x], np.int32), np.array(labels), toxicity.Settings())
+    assert 1 in machine.bins and 2 in machine.bins
+    one, two = np.searchsorted(machine.bins, [1, 2])
+    raw = machine.parts(np.array([0, 1, 2, 2]), np.array([one, two, one, two]), 3)[0]
+    assert raw[0] < 0 and raw[1] < 0 and raw[2] > 0
+
+
 def test_quality_rules_odd_rows(odd, empty):
     rows = {(r.doc_id, r.n_words): r for r in quality_rules.judge(odd).collect()}
     assert rows[(1, 0)].base_failed and rows[(2, 0)].base_failed and rows[(7, 0)].n_dup_lines == 0
