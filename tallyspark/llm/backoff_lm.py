@@ -35,7 +35,7 @@ _ALL = np.uint64(0)
 class Settings:
     """``order`` of the longest n-gram, ``block_bytes`` of text in a block (a hash partition covers as much)."""
 
-    order: int = 2
+    order: int = 3
     backoff: float = 0.4
     block_bytes: int = 8 << 20
 

@@ -310,6 +310,13 @@ def test_backoff_odd_rows(odd, empty):
     assert backoff_lm.score(empty).count() == 0
 
 
+def test_backoff_uses_three_words_as_registered(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "x b d")], "doc_id long, text string")
+    found = {r.doc_id: r.log_score for r in backoff_lm.score(docs).collect()}
+    # a: 1 of 6 words, b after a: 1 of 1, c after a b: 1 of 1, though after b alone it is 1 of 2
+    assert math.isclose(found[1], math.log(1 / 6)) and math.isclose(found[2], math.log(1 / 6))
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1001), (5, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
