@@ -132,11 +132,52 @@ def _trees(ranks: dict[str, int]) -> dict[str, tuple[str, str] | None]:
     return trees
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a serialized message."""
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    at = 0
+    while at < len(data):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+        else:
+            size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+            yield number, data[at : at + size]
+            at += size
+
+
+def _model_type(data: bytes) -> int:
+    """1 unigram, 2 BPE, 3 words, 4 characters; a file that does not say is unigram."""
+    found = 1
+    for number, trainer in _fields(data):
+        if number == 2:
+            found = dict(_fields(trainer)).get(3, found)
+    return found
+
+
 def load(path: str) -> Model:
-    """Read a model file; the vocabulary is of fixed size, so the model can be broadcast."""
+    """Read a model file of the BPE kind; the vocabulary is of fixed size, so the model can be broadcast.
+
+    Other kinds are refused: their scores are no merge ranks, and ids found by merging would be wrong.
+    """
     import sentencepiece
 
-    reader = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as file:
+        content = file.read()
+    if _model_type(content) != 2:
+        raise ValueError(f"{path} is not a BPE model")
+    reader = sentencepiece.SentencePieceProcessor(model_proto=content)
     size = reader.get_piece_size()
     names = [reader.id_to_piece(i) for i in range(size)]
     odd = [reader.is_byte(i) or reader.is_control(i) or reader.is_unknown(i) or reader.is_unused(i) for i in range(size)]

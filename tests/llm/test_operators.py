@@ -126,6 +126,21 @@ def test_pieces_equal_the_library():
     assert [b.decode() for b in pieces.decode(model, counts, ids)] == [*given, ""]
 
 
+def test_pieces_refuse_models_without_merges(tmp_path):
+    import sentencepiece
+
+    lines = ["the cat sat on the mat", "a dog ran to the end of it", "cats and dogs sat and ran"] * 20
+    for kind in ("unigram", "char", "word", "bpe"):
+        name = str(tmp_path / kind)
+        sentencepiece.SentencePieceTrainer.train(
+            sentence_iterator=iter(lines), model_prefix=name, model_type=kind, vocab_size=30, hard_vocab_limit=False, minloglevel=2)
+        if kind == "bpe":
+            assert pieces.load(f"{name}.model")
+        else:
+            with pytest.raises(ValueError, match="not a BPE model"):
+                pieces.load(f"{name}.model")
+
+
 def test_pieces_odd_rows(odd, empty):
     path = tokenizer("piece_bpe_32k.model")
     rows = pieces.digest(odd, path).collect()
