@@ -111,6 +111,13 @@ def test_quality_rules_odd_rows(odd, empty):
     assert quality_rules.keep(odd).columns == odd.columns and quality_rules.judge(empty).count() == 0
 
 
+def test_quality_rules_at_the_bound_of_words(spark):
+    clean = [w for k in range(100_000) for w in ("the", f"word{k}")]
+    docs = spark.createDataFrame([(1, " ".join(clean)), (2, " ".join([*clean, "more"]))], "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert rows[1].n_words == 200_000 and rows[1].kept and rows[2].n_words == 200_001 and not rows[2].kept
+
+
 def test_pieces_equal_the_library():
     import sentencepiece
 
