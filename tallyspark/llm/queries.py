@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import backoff_lm, language_id, near_copies, packing, pieces, pii, pivots, quality_rules, toxicity, warc
+from tallyspark.llm import backoff_lm, language_id, mixing, near_copies, packing, pieces, pii, pivots, quality_rules, toxicity, warc
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -80,11 +80,16 @@ def op10_backoff_lm(spark: SparkSession, folder: str) -> DataFrame:
     return backoff_lm.score(_table(spark, folder, "documents"))
 
 
+def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mix(_table(spark, folder, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Build] = {
     build.__name__: build
     for build in (
         op1_toxicity, op2_pivots, op3_warc, op4_quality_rules, op5_pieces, op6_pii, op7_packing, op8_near_copies, op9_language,
-        op10_backoff_lm,
+        op10_backoff_lm, op11_mixing,
     )
 }
 
@@ -142,4 +147,39 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a),
         c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
         SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN c ON c.doc_id = n.doc_id""",
+    "op11_mixing": f"""
+        WITH r AS (SELECT doc_id, source, md5(coalesce(text, '')) AS digest,
+                          len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+        c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, digest) - 1 AS copy FROM r),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS rows FROM r GROUP BY source),
+        w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
+        v AS (SELECT *, ([5, 2, 1])[(place - 1) % 3 + 1] AS weight, 3 * source_size AS most FROM w),
+        o AS (SELECT *, sum(source_size) OVER () - sum(most) OVER f + most AS left_, sum(weight) OVER () - sum(weight) OVER f + weight AS sharers FROM v
+              WINDOW f AS (ORDER BY most::DOUBLE / weight::DOUBLE, place ROWS UNBOUNDED PRECEDING)),
+        g AS (SELECT *, most * sharers < weight * left_ AS stops FROM o),
+        t AS (SELECT place, source, source_size, rows,
+                     CASE WHEN stops THEN most::DOUBLE
+                          ELSE weight::DOUBLE * (sum(source_size) OVER () - coalesce(sum(most) FILTER (stops) OVER (), 0))::DOUBLE
+                               / greatest(coalesce(sum(weight) FILTER (NOT stops) OVER (), 0), 1)::DOUBLE END AS target FROM g),
+        k AS (SELECT t.*, doc_id, size, copy, md5(concat('{mixing.SEED}:', coalesce(doc_id::VARCHAR, ''), ':', digest, ':', copy // {mixing.TOGETHER})) AS key
+              FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+        d AS (SELECT *, ('0x' || substr(key, 1, 8))::BIGINT % greatest(1, (source_size + rows + {mixing.SHARD - 1}) // {mixing.SHARD}) AS shard FROM k),
+        h AS (SELECT place, shard, sum(size)::BIGINT AS words, (sum(size)::BIGINT + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS blocks,
+                     any_value(target) / any_value(source_size)::DOUBLE AS ratio FROM d GROUP BY place, shard HAVING sum(size) > 0),
+        q AS (SELECT place, any_value(ratio) * sum(blocks)::DOUBLE AS votes, sum(blocks)::BIGINT * 3 AS most FROM h GROUP BY place),
+        a AS (SELECT place, i, row_number() OVER (ORDER BY votes / (2 * i + 1)::DOUBLE DESC, place, i) AS r FROM (SELECT *, unnest(range(most)) AS i FROM q)),
+        b AS (SELECT place, count(*) AS house FROM a WHERE r <= (SELECT floor(sum(votes::DECIMAL(38, 9)) + 0.5) FROM q) GROUP BY place),
+        e AS (SELECT place, shard, i, row_number() OVER (PARTITION BY place ORDER BY ratio * blocks::DOUBLE / (2 * i + 1)::DOUBLE DESC, shard, i) AS r
+              FROM (SELECT *, unnest(range(blocks * 3)) AS i FROM h)),
+        n AS (SELECT h.*, coalesce(m.seats, 0) AS seats FROM h LEFT JOIN (
+                  SELECT place, shard, count(*) AS seats FROM e JOIN b USING (place) WHERE r <= house GROUP BY place, shard) m
+              ON h.place = m.place AND h.shard = m.shard),
+        l AS (SELECT *, seats // blocks + (row_number() OVER (PARTITION BY place, shard ORDER BY md5(concat('{mixing.SEED}:', place, ':', shard, ':', i)))
+                                           <= seats % blocks)::BIGINT AS times, i * words // blocks AS lo, (i + 1) * words // blocks AS hi
+              FROM (SELECT *, unnest(range(blocks)) AS i FROM n)),
+        p AS (SELECT *, row_number() OVER () AS id, (sum(size) OVER (PARTITION BY place, shard ORDER BY key, doc_id, size, copy ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+              FROM d),
+        x AS (SELECT id, sum((least(hi, start + size) - greatest(lo, start)) * times)::BIGINT AS taken
+              FROM p JOIN l ON p.place = l.place AND p.shard = l.shard AND lo < start + size AND hi > start GROUP BY id)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM p LEFT JOIN x USING (id)""",
 }
