@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import backoff_lm, language_id, mixing, near_copies, packing, pieces, pii, pivots, quality_rules, toxicity, warc
+from tallyspark.llm import backoff_lm, language_id, lexical, mixing, near_copies, packing, pieces, pii, pivots, quality_rules, toxicity, warc
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -85,11 +85,15 @@ def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Build] = {
     build.__name__: build
     for build in (
         op1_toxicity, op2_pivots, op3_warc, op4_quality_rules, op5_pieces, op6_pii, op7_packing, op8_near_copies, op9_language,
-        op10_backoff_lm, op11_mixing,
+        op10_backoff_lm, op11_mixing, op13_lexical,
     )
 }
 
@@ -182,4 +186,20 @@ ORACLES: dict[str, str] = {
         x AS (SELECT id, sum((least(hi, start + size) - greatest(lo, start)) * times)::BIGINT AS taken
               FROM p JOIN l ON p.place = l.place AND p.shard = l.shard AND lo < start + size AND hi > start GROUP BY id)
         SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM p LEFT JOIN x USING (id)""",
+    "op13_lexical": r"""
+        WITH d AS (SELECT row_number() OVER () AS id, doc_id, text FROM documents),
+        i AS (SELECT row_number() OVER () AS item, item_id, text FROM benchmark),
+        t AS (SELECT id, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        q AS (SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i),
+        n AS (SELECT id, any_value(doc_id) AS doc_id, count(*) AS n FROM t GROUP BY id),
+        s AS (SELECT count(*) AS c, sum(n)::BIGINT AS l FROM n),
+        m AS (SELECT id, doc_id, 75 + (25 * n * c) // l AS m FROM n, s),
+        f AS (SELECT id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY id, term),
+        w AS (SELECT term, floor(1000 * ln((2 * c + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY term, c),
+        r AS (SELECT item, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+              FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (id) GROUP BY item, item_id, id, doc_id),
+        p AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM p WHERE rank <= 20""",
 }
