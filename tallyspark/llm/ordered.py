@@ -27,12 +27,12 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
     return moved.select(*df.columns, *((F.col(f"_{name}") + F.col(f"_{name}_before")).alias(name) for name in sums))
 
 
-def spread_join(rows: DataFrame, few: DataFrame, key: str, salt: Column) -> DataFrame:
+def spread_join(rows: DataFrame, few: DataFrame, key: str, salt: Column, how: str = "inner") -> DataFrame:
     """Join each of ``rows`` with the one row of ``few`` with the same ``key`` (null equals null). The rows of a key are
     dealt by ``salt`` into parts, and the row of ``few`` is repeated for each part."""
     left = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
     right = few.withColumnRenamed(key, "_key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = left.join(right, (F.col("_salt") == F.col("_part")) & F.col(key).eqNullSafe(F.col("_key")))
+    joined = left.join(right, (F.col("_salt") == F.col("_part")) & F.col(key).eqNullSafe(F.col("_key")), how)
     return joined.drop("_salt", "_part", "_key")
 
 

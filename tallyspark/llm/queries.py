@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import backoff_lm, language_id, lexical, mixing, near_copies, packing, pieces, pii, pivots, quality_rules, toxicity, warc
+from tallyspark.llm import backoff_lm, language_id, lexical, mixing, near_copies, packing, pieces, pii, pivots, quality_rules, spelling, toxicity, warc
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +85,11 @@ def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.count_words(_table(spark, folder, "documents"), shortest=6, least=5, noise=199)
+    return spelling.variants(words, ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -93,7 +98,7 @@ QUERIES: dict[str, Build] = {
     build.__name__: build
     for build in (
         op1_toxicity, op2_pivots, op3_warc, op4_quality_rules, op5_pieces, op6_pii, op7_packing, op8_near_copies, op9_language,
-        op10_backoff_lm, op11_mixing, op13_lexical,
+        op10_backoff_lm, op11_mixing, op12_spelling, op13_lexical,
     )
 }
 
