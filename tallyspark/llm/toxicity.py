@@ -4,7 +4,7 @@ Each text is the set of its lower-case letter runs and of their beginnings (infl
 bins. The machine adds to the linear weight of every
 bin the inner products of the factor vectors of all pairs, so that an insult next to a group mention can weigh more
 than both alone; their sum is divided by the number of bins, or the many pairs of a long text would outweigh all else. It
-is fitted on a bounded sample of labelled rows; scoring is one pass without a shuffle.
+is fitted in one task, on a bounded sample of labelled rows; scoring is one pass without a shuffle.
 
 No bin is left out for what it tells alone. Against learning rare words by heart, a linear weight stays at zero until the
 errors it is to mend add up to more than chance, and the toll for that ends after the first epochs; factors start small
@@ -25,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.ordered import running
+from tallyspark.llm.shared import settled
 from tallyspark.llm.textops import Hashes, chunks, letters, lower, ranges
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled rows that are fitted, taken by the hash of the id. A bin is used if at
+    """``sample_rows`` bounds the labelled rows that are fitted, taken by the hash of the id, and ``sample_pairs`` the pairs of
+    row and bin they have together (rows after that are left out), so that the fit holds a bounded number of bytes. A bin is used if at
     least ``min_documents`` texts of the sample hold it; ``min_deviation`` over 0 would also leave out bins whose share of
     toxic texts lies fewer standard deviations from the share of all. ``toll`` is what the errors of a bin must exceed in
     each of the first ``toll_epochs`` to move its linear weight, in standard deviations. ``rate`` and ``factor_rate`` are
@@ -40,6 +43,7 @@ class Settings:
     bits: int = 20
     factors: int = 8
     sample_rows: int = 20_000
+    sample_pairs: int = 1 << 24
     beginnings: tuple[int, ...] = (4, 5)
     min_documents: int = 4
     min_deviation: float = 0.0
@@ -107,11 +111,19 @@ def _batches(order: np.ndarray, sizes: np.ndarray, settings: Settings) -> Iterat
         yield from np.split(rows, np.flatnonzero(np.diff(full)) + 1)
 
 
+def _counts(bins: np.ndarray, size: int) -> np.ndarray:
+    """How often each bin occurs; in slices, as counting widens what it counts."""
+    counts = np.zeros(size, np.int64)
+    for start in range(0, len(bins), 1 << 20):
+        counts += np.bincount(bins[start : start + (1 << 20)], minlength=size)
+    return counts
+
+
 def _fit(lengths: np.ndarray, bins: np.ndarray, labels: np.ndarray, settings: Settings) -> Machine:
     rate = labels.mean() if len(labels) else 0.0
-    # counts by bin, not by sorting: the pairs are the largest array of the driver
-    counts = np.bincount(bins, minlength=1 << settings.bits)
-    toxic = np.bincount(bins[np.repeat(labels > 0, lengths)], minlength=1 << settings.bits)
+    # counts by bin, not by sorting: the pairs are the largest array of the task
+    counts = _counts(bins, 1 << settings.bits)
+    toxic = _counts(bins[np.repeat(labels > 0, lengths)], 1 << settings.bits)
     deviation = np.abs(toxic - counts * rate) / np.sqrt(np.maximum(counts * rate * (1 - rate), 1e-12))
     used = np.flatnonzero((counts >= settings.min_documents) & (deviation >= settings.min_deviation)).astype(np.int32)
     machine = Machine(settings, used)
@@ -163,7 +175,7 @@ def _fit(lengths: np.ndarray, bins: np.ndarray, labels: np.ndarray, settings: Se
 def train(documents: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> Machine:
     """Fit on the labelled documents for whose ``doc_id`` the condition ``learn`` holds.
 
-    What reaches the driver is the hashed terms of at most ``sample_rows`` texts.
+    The hashed terms of the sample go to one task, which fits the machine; the driver gets the machine alone.
     """
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = (
@@ -171,6 +183,7 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, settings: Sett
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
         .orderBy(*order).limit(settings.sample_rows)
     )
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows, row, bins in terms(batch.column("text"), settings.bits, settings.beginnings):
@@ -179,15 +192,36 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, settings: Sett
                 part = batch.slice(first, rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), lists], ["doc_id", "label", "bins"])
 
-    rows = (
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths, bins, labels_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0)]
+        for batch in batches:
+            lengths.append(np.asarray(batch.column(1).value_lengths().fill_null(0), np.int64))
+            bins.append(np.array(batch.column(1).flatten(), np.int32))
+            labels_.append(np.asarray(batch.column(0), np.float64))
+        whole = np.concatenate(bins)
+        bins.clear()
+        machine = _fit(np.concatenate(lengths), whole, np.concatenate(labels_), settings)
+        yield pa.RecordBatch.from_pylist(
+            [{"bias": machine.bias, "bins": machine.bins.tobytes(), "linear": machine.linear.tobytes(), "factors": machine.factors.tobytes()}]
+        )
+
+    found = (
         documents.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
         .mapInArrow(features, "doc_id long, label int, bins array<int>")
-        .orderBy(*order, "bins").limit(settings.sample_rows)
-    ).toArrow()
-    lists = rows.column("bins").combine_chunks()
-    lengths = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-    return _fit(lengths, np.asarray(lists.flatten(), np.int32), rows.column("label").to_numpy().astype(float), settings)
+    )
+    found = settled(found.select("*", F.coalesce(F.size("bins"), F.lit(0)).alias("size"), F.xxhash64("bins").alias("digest")))
+    # the places of the rows in the order, their bins left aside; documents may repeat an id
+    keyed = running(found.select("doc_id", "size", "digest"), [*order, F.col("digest")], {"row": F.lit(1), "pairs": F.col("size")})
+    fits = keyed.where((F.col("row") <= settings.sample_rows) & (F.col("pairs") <= settings.sample_pairs)).agg(F.max("row")).first()[0] or 0
+    # no more rows than were counted to fit
+    taken = found.orderBy(*order, "digest").limit(fits).select("label", "bins")
+    row = taken.coalesce(1).mapInArrow(fit, "bias double, bins binary, linear binary, factors binary").first()
+    machine = Machine(settings, np.frombuffer(row.bins, np.int32) if row else np.zeros(0, np.int32))
+    if row:
+        machine.bias, machine.linear = row.bias, np.frombuffer(row.linear, np.float32)
+        machine.factors = np.frombuffer(row.factors, np.float32).reshape(-1, settings.factors)
+    return machine
 
 
 def score(text: Column, machine: Machine, documents: DataFrame) -> Column:
