@@ -91,7 +91,10 @@ def strip(text: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """Text as the formats expect it: trimmed, with single blanks inside."""
-    return F.regexp_replace(strip(text), r"\s+", " ")
+    loose = text.startswith(" ") | text.endswith(" ") | text.contains("  ")
+    for white in "\t\n\v\f\r":
+        loose = loose | text.contains(white)  # most texts are as they should be, which a search tells sooner than a pattern
+    return F.when(loose, F.regexp_replace(strip(text), r"\s+", " ")).otherwise(text)
 
 
 def parse_tidy(text: Column, fmt: str) -> Column:
@@ -107,6 +110,29 @@ def parse_tidy(text: Column, fmt: str) -> Column:
     return parsed
 
 
+# Dates as they may stand alone, and numbers before a clock time: wider shapes than those of the formats, cheap to match.
+_NUMBERS = r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
+_DAY = rf"^(?:{_NUMBERS}|\d{{6,8}}|[A-Za-z]{{3,9}} \d{{1,2}}, \d{{4}}|\d{{1,2}} [A-Za-z]{{3,9}} \d{{4}})$"
+_TIMED = rf"^{_NUMBERS}[ T](?:[01]?\d|2[0-3]):[0-5]?\d:[0-5]?\dZ?$"
+_LONGEST = 20
+
+
+def day_and_clock(text: Column) -> tuple[Column, Column]:
+    """The day in a tidy text with the shape of a date, NULL in all others, and what stands around its clock time: nothing
+    when it has none, else a blank or ``T``, with ``Z`` if that ends it."""
+    short, timed, by_t = F.length(text) <= _LONGEST, text.contains(":"), text.contains("T")
+    before = F.when(by_t, F.substring_index(text, "T", 1)).otherwise(F.substring_index(text, " ", 1))
+    day = F.when(timed, F.when(short & text.rlike(_TIMED), before)).otherwise(F.when(short & text.rlike(_DAY), text))
+    around = F.concat(F.when(by_t, "T").otherwise(" "), F.when(text.endswith("Z"), "Z").otherwise(""))
+    return day, F.when(timed & day.isNotNull(), around).otherwise("")
+
+
+def split_format(fmt: str) -> tuple[str, str]:
+    """A format's part for the day, and what stands around its clock time, as :func:`day_and_clock` tells it."""
+    day, clock, rest = fmt.partition("%H:%M:%S")
+    return (day[:-1], day[-1] + rest) if clock else (day, "")
+
+
 def parse_timestamp(text: Column, fmt: str) -> Column:
     """Read text with one of the known formats; NULL when it does not match."""
     return parse_tidy(tidy(text), fmt)

@@ -1,7 +1,8 @@
 """Which date format a text column is written in, and casts built from the answer.
 
-Formats are decided over all rows. Every answer is an aggregate of counts and dates per column, so a task passes on one
-row per column, and no text is moved.
+Formats are decided over all rows, in one scan. A text that has the shape of a date is cut into its day and its kind of clock
+time, whose digits the shape has checked; all other texts are only counted. Equal days are counted in every task, so the formats are tried once
+for each day that occurs in a column, and neither a text nor a row for each value is moved.
 """
 
 from __future__ import annotations
@@ -11,16 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tallyspark.functions.dates import (
-    DATE_FORMATS,
-    STRICT_FORMATS,
-    parse_by_format_column,
-    parse_date,
-    parse_tidy,
-    tidy,
-)
+from tallyspark.functions.dates import DATE_FORMATS, STRICT_FORMATS, day_and_clock, parse_date, parse_tidy, split_format, tidy
 from tallyspark.functions.safe import as_date, column, rounded
-from tallyspark.operators.long_format import long_format
+from tallyspark.operators.long_format import Read, long_format
 from tallyspark.operators.profile import TableProfile
 
 # How many dates a report shows, and the share of a column that must parse.
@@ -34,31 +28,74 @@ def _text_fields(columns: list[str]) -> list[T.StructField]:
     return [T.StructField(name, T.StringType()) for name in columns]
 
 
-def _text_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, value, tidy) of every non-null text; ``tidy`` is the form texts are read in."""
-    long = long_format(df, _text_fields(columns), lambda value, _: value.cast("string"), "value")
-    return long.withColumn("tidy", tidy(F.col("value")))
+def _as_it_is(value: Column, dtype: T.DataType) -> Column:
+    return value.cast("string")
 
 
-def _score(values: DataFrame, formats: list[str]) -> DataFrame:
-    """(column_name, tested, position, date_format, parsed) for every format."""
-    parsed = [F.count(parse_tidy(F.col("tidy"), f)).alias(f"_f{i}") for i, f in enumerate(formats)]
-    scored = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("tested"), *parsed)
-    rows = F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), F.lit(f).alias("date_format"), F.col(f"_f{i}").alias("parsed"))
-            for i, f in enumerate(formats)
-        ]
+def day_counts(df: DataFrame, columns: list[str], read: Read = _as_it_is, **more: Column) -> DataFrame:
+    """(column_name, day, clock, blank, n) over all non-null texts: how many have that day and kind of clock time.
+
+    Texts without the shape of a date have a NULL day; ``blank`` tells which of them hold nothing. ``more`` counts the rows
+    where an expression over ``value`` is not NULL, under the given names.
+    """
+    long = long_format(df, _text_fields(columns), read, "value")
+    day, clock = day_and_clock(F.col("tidy"))
+    parts = long.withColumn("tidy", tidy(F.col("value"))).select(
+        "column_name", day.alias("day"), clock.alias("clock"), (F.col("tidy") == "").alias("blank"),
+        *(c.alias(name) for name, c in more.items()),
+    )
+    counts = [F.count(F.lit(1)).alias("n"), *(F.count(name).alias(name) for name in more)]
+    return parts.groupBy("column_name", "day", "clock", "blank").agg(*counts)
+
+
+def read_day(fmt: str) -> Column:
+    """The day and clock of :func:`day_counts` read by a format."""
+    of_day, of_clock = split_format(fmt)
+    return F.when(F.col("clock") == of_clock, parse_tidy(F.col("day"), of_day)).cast("date")
+
+
+def _facts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, total, tested, position, date_format, parsed, min_date, max_date, shown) for every format that reads
+    any row; ``tested`` leaves blank texts out. A column that none reads has one row without a format."""
+    formats = [f for f, _ in DATE_FORMATS]
+    tried = [F.struct(F.lit(i).alias("position"), read_day(f).alias("date")) for i, f in enumerate(formats)]
+    every = F.struct(F.lit(-1).alias("position"), F.lit(None).cast("date").alias("date"))
+    read = F.filter(F.array(*tried), lambda t: t["date"].isNotNull())
+    rows = day_counts(df, columns).select("column_name", "day", "blank", "n", F.inline(F.concat(F.array(every), read)))
+    of_class = [F.min(F.when(F.pmod(F.xxhash64("day"), F.lit(CLASSES)) == k, F.col("date"))) for k in range(CLASSES)]
+    sums = rows.groupBy("column_name", "position").agg(
+        F.sum("n").alias("parsed"),
+        F.sum(F.when(F.col("blank"), 0).otherwise(F.col("n"))).alias("filled"),
+        F.min("date").alias("min_date"),
+        F.max("date").alias("max_date"),
+        F.slice(F.array_sort(F.array_compact(F.array(*of_class))), 1, SHOWN).alias("shown"),
     )
-    return scored.select("column_name", "tested", F.inline(rows))
+    # at most one row per known format, and one with the totals, reaches this window
+    whole = W.partitionBy("column_name")
+    total, tested = (F.max(F.when(F.col("position") == -1, F.col(c))).over(whole) for c in ("parsed", "filled"))
+    found = sums.select("*", total.alias("total"), tested.alias("tested"), F.count(F.lit(1)).over(whole).alias("_rows"))
+    names = F.array(*[F.lit(f) for f in formats])
+    return found.where((F.col("position") >= 0) | (F.col("_rows") == 1)).select(
+        "column_name", "total", "tested", "position", F.get(names, F.col("position")).alias("date_format"),
+        F.when(F.col("position") >= 0, F.col("parsed")).otherwise(0).alias("parsed"), "min_date", "max_date", "shown",
+    )
+
+
+def _most() -> Column:
+    """The format reads most of the texts that are not blank."""
+    return (F.col("tested") > 0) & (F.col("parsed") >= MIN_SUCCESS * F.col("tested"))
+
+
+def _every() -> Column:
+    """The format is one of the fallback and reads every text."""
+    return F.col("date_format").isin(*STRICT_FORMATS) & (F.col("parsed") == F.col("total"))
 
 
-def _best(scores: DataFrame, enough: Column) -> DataFrame:
+def _best(facts: DataFrame, enough: Column, tested: str) -> DataFrame:
     """The passing format with the highest rate; the earlier format wins a tie."""
-    # At most one row per known format and column reaches this window.
     order = W.partitionBy("column_name").orderBy(F.desc("parsed"), "position")
-    best = scores.filter(enough).withColumn("_r", F.row_number().over(order)).filter("_r = 1")
-    return best.withColumn("success_rate", F.col("parsed") / F.col("tested")).drop("parsed", "tested", "position", "_r")
+    best = facts.where(F.col("date_format").isNotNull() & enough).withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    return best.select("column_name", "date_format", (F.col("parsed") / F.col(tested)).alias("success_rate"))
 
 
 def detect_formats(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -66,32 +103,27 @@ def detect_formats(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Columns whose best format reads less than 80 % of these rows get no row.
     """
-    scores = _score(_text_values(df, columns).filter("tidy != ''"), [f for f, _ in DATE_FORMATS])
-    return _best(scores, F.col("parsed") >= MIN_SUCCESS * F.col("tested"))
+    return _best(_facts(df, columns), _most(), "tested")
 
 
 def detect_formats_strict(df: DataFrame, columns: list[str]) -> DataFrame:
     """The first fallback format that reads every non-null row of a column."""
-    scores = _score(_text_values(df, columns), STRICT_FORMATS)
-    return _best(scores, F.col("parsed") == F.col("tested"))
+    return _best(_facts(df, columns), _every(), "total")
 
 
-def chosen_formats(df: DataFrame, columns: list[str]) -> dict[str, Row]:
-    """Column to its format (one row each): detection, then the strict pass where that is undecided.
-
-    The strict pass reads only the undecided columns, usually none.
-    """
-    chosen = {r["column_name"]: r for r in detect_formats(df, columns).collect()}
-    undecided = [c for c in columns if c not in chosen]
-    if undecided:
-        chosen |= {r["column_name"]: r for r in detect_formats_strict(df, undecided).collect()}
-    return chosen
+def _chosen(facts: DataFrame) -> DataFrame:
+    """One row of each column: that of its format by detection, else by the strict pass, else one without a format."""
+    order = W.partitionBy("column_name").orderBy(F.when(_most(), 0).when(_every(), 1).otherwise(2), F.desc("parsed"), "position")
+    first = facts.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    fits = F.coalesce(_most(), F.lit(False)) | F.coalesce(_every(), F.lit(False))
+    rate = F.when(_most(), F.col("parsed") / F.col("tested")).otherwise(F.col("parsed") / F.col("total"))
+    return first.select("*", fits.alias("fits"), rate.alias("success_rate"))
 
 
-def _literal_map(values: dict[str, str]) -> Column:
-    if not values:
-        return F.lit(None).cast("string")
-    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("column_name"))
+def chosen_formats(df: DataFrame, columns: list[str]) -> dict[str, Row]:
+    """Column to its format (one row each): detection, then the strict pass where that is undecided; one scan for both."""
+    found = _chosen(_facts(df, columns)).where("fits").select("column_name", "date_format", "success_rate")
+    return {r["column_name"]: r for r in found.collect()}
 
 
 def format_report(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -99,30 +131,19 @@ def format_report(df: DataFrame, columns: list[str]) -> DataFrame:
 
     ``sample_parsed_dates`` shows up to five of the dates. Undecided columns carry an error text.
     """
-    chosen = chosen_formats(df, columns)
-    formats = sorted({r["date_format"] for r in chosen.values()})
-    used = _literal_map({c: r["date_format"] for c, r in chosen.items()})
-    stamped = _text_values(df, columns).withColumn("date_format", used)
-    stamped = stamped.withColumn("_t", parse_by_format_column(F.col("tidy"), F.col("date_format"), formats))
-    of_class = [F.when(F.pmod(F.xxhash64("tidy"), F.lit(CLASSES)) == k, F.col("_t")) for k in range(CLASSES)]
-    totals = stamped.groupBy("column_name", "date_format").agg(
-        F.min("_t").cast("date").alias("min_date"),
-        F.max("_t").cast("date").alias("max_date"),
-        F.count("_t").alias("successful_parse_count"),
-        F.count(F.lit(1)).alias("total_count"),
-        F.array_compact(F.array(*[F.min(t) for t in of_class])).alias("_shown"),
-    )
-    dates = F.slice(F.array_sort("_shown"), 1, SHOWN).cast("array<string>")
-    return totals.select(
+    found = _chosen(_facts(df, columns))
+    fits = F.col("fits")
+    parsed = F.when(fits, F.col("parsed")).otherwise(F.lit(0).cast("long"))
+    return found.select(
         "column_name",
-        "date_format",
-        rounded(F.try_divide("successful_parse_count", "total_count"), 6).alias("success_rate"),
-        "successful_parse_count",
-        "total_count",
-        "min_date",
-        "max_date",
-        dates.alias("sample_parsed_dates"),
-        F.when(F.col("date_format").isNull(), "No suitable date format found").alias("error"),
+        F.when(fits, F.col("date_format")).alias("date_format"),
+        rounded(F.try_divide(parsed, F.col("total")), 6).alias("success_rate"),
+        parsed.alias("successful_parse_count"),
+        F.col("total").alias("total_count"),
+        F.when(fits, F.col("min_date")).alias("min_date"),
+        F.when(fits, F.col("max_date")).alias("max_date"),
+        F.when(fits, F.col("shown")).otherwise(F.array().cast("array<date>")).cast("array<string>").alias("sample_parsed_dates"),
+        F.when(~fits, "No suitable date format found").alias("error"),
     )
 
 

@@ -7,14 +7,16 @@ datetime; one aggregate over all rows tells, and no text is moved.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tallyspark.functions.dates import DATE_FORMATS, parse_tidy, tidy
+from tallyspark.functions.dates import DATE_FORMATS
 from tallyspark.functions.safe import DATE_TYPES, as_date, as_number, as_text, column, ratio, rounded
+from tallyspark.operators.date_formats import day_counts, read_day
 from tallyspark.operators.long_format import long_format
 from tallyspark.operators.profile import COUNTS, MOMENTS, TableProfile
 from tallyspark.operators.quantiles import exact_percentiles
@@ -62,21 +64,22 @@ class TablePreview:
         declared = self._declared()
         if not self._text_fields:
             return declared
-        value, text = F.col("value"), F.col("tidy")
-        tested = F.count(F.lit(1))
-        dates = [
-            F.count(parse_tidy(text, f)) == F.count(F.lit(1)) for f, _ in DATE_FORMATS
-        ] + [F.count(as_date(value, T.StringType())) == F.count(F.lit(1))]
-        one_format = dates[0]
-        for other in dates[1:]:
-            one_format = one_format | other
+        value = F.col("value")
+        names = [f.name for f in self._text_fields]
+        counts = day_counts(
+            self.df, names, as_text, numbers=as_number(value, T.StringType()), iso_days=as_date(value, T.StringType())
+        )
+        n = F.sum("n")
+        dates = [F.sum(F.when(read_day(f).isNotNull(), F.col("n")).otherwise(0)) == n for f, _ in DATE_FORMATS]
+        one_format = F.sum("iso_days") == n
+        for date in dates:
+            one_format = one_format | date
         verdict = (
-            F.when(F.count(as_number(value, T.StringType())) == tested, "numeric (inferred from object)")
+            F.when(F.sum("numbers") == n, "numeric (inferred from object)")
             .when(one_format, "datetime (inferred from object)")
             .otherwise("categorical/string (inferred from object)")
         )
-        texts = long_format(self.df, self._text_fields, as_text, "value").withColumn("tidy", tidy(value))
-        decided = texts.groupBy("column_name").agg(verdict.alias("verdict"))  # one row per column
+        decided = counts.groupBy("column_name").agg(verdict.alias("verdict"))  # one row per column
         return declared.join(F.broadcast(decided), "column_name", "left").select(
             "column_name", "original_dtype", F.coalesce("verdict", "inferred_best_dtype").alias("inferred_best_dtype")
         )
@@ -103,13 +106,13 @@ class TablePreview:
         )
         return self.df.agg(F.count(F.lit(1)).alias("_rows")).select(F.inline(rows))
 
-    def _of_kind(self, kind: str) -> DataFrame:
-        return self.types().filter(F.col("inferred_best_dtype").startswith(kind)).select("column_name")
+    @cached_property
+    def _kinds(self) -> dict[str, str]:
+        """Column to its inferred type; found once for all methods."""
+        return {r["column_name"]: r["inferred_best_dtype"] for r in self.types().collect()}
 
     def _fields_of_kind(self, kind: str) -> list[T.StructField]:
-        """Columns inferred to be of a kind; typed columns need no look at the data."""
-        names = {r["column_name"] for r in self._of_kind(kind).collect()}
-        return [f for f in self.df.schema.fields if f.name in names]
+        return [f for f in self.df.schema.fields if self._kinds[f.name].startswith(kind)]
 
     def numeric(self) -> DataFrame:
         """Mean, deviation, extremes and quartiles of numeric columns; unreadable values are left out."""
@@ -135,10 +138,8 @@ class TablePreview:
 
     def datetime(self) -> DataFrame:
         """First and last day of datetime columns (ISO texts and date types)."""
-        fields = [f for f in self.df.schema.fields if isinstance(f.dataType, (*DATE_TYPES, T.StringType))]
-        days = long_format(self.df, fields, as_date, "day")
-        ranges = days.groupBy("column_name").agg(F.min("day").alias("min_date"), F.max("day").alias("max_date"))
-        return ranges.join(F.broadcast(self._of_kind("datetime")), "column_name", "left_semi")
+        days = long_format(self.df, self._fields_of_kind("datetime"), as_date, "day")
+        return days.groupBy("column_name").agg(F.min("day").alias("min_date"), F.max("day").alias("max_date"))
 
     def boolean(self) -> DataFrame:
         """Counts of true and false per boolean column."""

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.functions.dates import DATE_FORMATS, parse_timestamp, period_calendar, resolve_date_references
+from tallyspark.functions.dates import parse_date, DATE_FORMATS, parse_timestamp, period_calendar, resolve_date_references
 from tallyspark.operators import date_formats
 from tallyspark.operators.profile import TableProfile
 
@@ -105,6 +105,24 @@ def test_formats_are_decided_over_all_rows(spark):
     assert df.select(date_formats.date_cast(df, "v").alias("d")).filter("d IS NULL").count() == 0
 
 
+@pytest.mark.parametrize("fmt", [f for f, _ in DATE_FORMATS])
+def test_days_and_clocks_read_like_whole_texts(spark, fmt):
+    """Cut into day and clock time, every text is read by the same formats as in one piece."""
+    odd = ["2023-01-05 10:00:00Z", "2023-01-05T10:00:00", "2023-01-05T10:00:00Z", "\t2023-01-05  24:00:00", "2023-1-5 23:59:60", " 2023-01-05 ", "Sep\u00a05, 2023",
+           "2023-01/05", "1/2/2023 1:2:3", "T:", ":", "5 Tue 2023", "30 September 2023", " September  30,\n2023 ", "x" * 500, "2023-01-05T1:2", "20230105 10:00:00", "2023-02-30", ""]
+    df = spark.createDataFrame([(s,) for s in [*SAMPLES, *odd]], "v string")
+    whole = df.select(parse_date(F.col("v"), fmt).alias("d")).filter("d IS NOT NULL").groupBy("d").count()
+    parts = date_formats.day_counts(df, ["v"]).select(date_formats.read_day(fmt).alias("d"), "n").filter("d IS NOT NULL").groupBy("d").agg(F.sum("n"))
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+    assert date_formats.day_counts(df, ["v"]).agg(F.sum("n")).first()[0] == df.filter("v IS NOT NULL").count()
+
+
+def test_equal_days_are_parsed_once_and_texts_stay(spark):
+    df = spark.range(20_000).selectExpr("date_format(date_add(date'2023-01-01', int(id % 40)), 'dd/MM/yyyy') AS v", "concat('some long text ', id) AS t")
+    counts = date_formats.day_counts(df, ["v", "t"]).collect()
+    assert len(counts) == 41 and sum(r["n"] for r in counts) == 40_000
+
+
 def test_date_cast(spark):
     df = spark.createDataFrame([("15.01.2023", "x"), ("16.01.2023", "2023-01-05")], "d string, j string")
     casted = df.select(date_formats.date_cast(df, "d"), date_formats.date_cast(df, "j")).collect()
