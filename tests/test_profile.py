@@ -5,6 +5,7 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.functions import safe
 from tallyspark.operators import quantiles
@@ -42,13 +43,58 @@ def test_percentiles_of_few_rows(spark, n):
     ],
     ids=["normal", "heavy tail", "hot value", "discrete", "constant", "outliers"],
 )
-def test_percentiles_beyond_the_keep_all_limit(spark, values):
+@pytest.mark.parametrize("slice_rows", [quantiles.SLICE_ROWS, 3])
+def test_percentiles_of_many_rows(spark, values, slice_rows, monkeypatch):
+    monkeypatch.setattr(quantiles, "SLICE_ROWS", slice_rows)
     values = [float(v) for v in values]
-    assert len(values) > quantiles.KEEP_ALL_ROWS
     found = _percentiles(spark, values)
     assert np.allclose(found[1], np.quantile(values, PROBS), rtol=1e-13, atol=1e-12)
 
 
+def test_slices_hold_equal_shares_of_a_long_tail(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SLICE_ROWS", 20)
+    monkeypatch.setattr(quantiles, "WIDTHS", (0.04,))
+    values = [float(v) for v in np.random.default_rng(2).pareto(0.2, size=30_000)]
+    seen, pick = [], quantiles._pick
+    monkeypatch.setattr(quantiles, "_pick", lambda kept, *rest: seen.append(kept) or pick(kept, *rest))
+    found = _percentiles(spark, values, [0.5, 0.99])
+    assert np.allclose(found[1], np.quantile(values, [0.5, 0.99]), rtol=1e-13)
+    sizes = seen[0].groupBy("pos", "j", "slice").agg(F.sum("count").alias("n")).collect()
+    for j, most in ((0, 2400), (1, 1500)):
+        own = [r["n"] for r in sizes if r["j"] == j]
+        assert sum(own) <= most + 20 and len(own) >= 60 and max(own) <= 4 * sum(own) / len(own)
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    """Edges off by far more than the sketch may be: every bracket misses, up to the last, which holds all."""
+    seen, values = [], [float(v) for v in np.random.default_rng(4).normal(size=30_000)]
+    sketched, counts = quantiles._sketched, quantiles._counts
+
+    def wrong(*args):
+        found = sketched(*args)
+        for value in found:
+            value.choices = [[*[(low + 9.0, high + 9.0) for low, high in c[:-1]], c[-1]] for c in value.choices]
+        return found
+
+    monkeypatch.setattr(quantiles, "_sketched", wrong)
+    monkeypatch.setattr(quantiles, "_counts", lambda *args: seen.append(1) or counts(*args))
+    found = _percentiles(spark, values)
+    assert len(seen) == len(quantiles.WIDTHS) + 1 and np.allclose(found[1], np.quantile(values, PROBS), rtol=1e-13, atol=1e-12)
+
+
+def test_one_scan_of_a_block_for_its_sketches(spark, small):
+    seen, union = [], quantiles._union
+    quantiles._union = lambda frames: seen.append(frames) or union(frames)
+    try:
+        lines = spark.read.parquet(f"{small}/lineitem.parquet")
+        names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey", "l_partkey"]
+        quantiles.exact_percentiles(lines, {n: column(n).cast("double") for n in names}, [0.5]).collect()
+    finally:
+        quantiles._union = union
+    assert [len(frames) for frames in seen] == [2, 2, 2]
+    assert seen[0][0]._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_percentiles_with_nan_and_infinity(spark):
     n, found = _percentiles(spark, [1.0, 2.0, float("inf"), float("nan")], [0.0, 1 / 3, 2 / 3, 1.0])
     assert n == 4 and found[:3] == [1.0, 2.0, float("inf")] and np.isnan(found[3])
