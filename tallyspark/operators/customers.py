@@ -83,17 +83,17 @@ def active_by_period(statuses: Statuses, span: Period, granularity: str = "month
     return counts.select(starts.alias("period_start"), "active_end", "active_during")
 
 
-def arpu_active(statuses: Statuses, ledger: Ledger, period: Period, segment: str) -> DataFrame:
-    """Average revenue per customer active during a period, by segment.
+def arpu_active(statuses: Statuses, ledger: Ledger, period: Period, segments: DataFrame) -> DataFrame:
+    """Average revenue per customer active during a period, by segment (``customer``, ``segment``: one row a customer).
 
-    Customers without revenue count in the denominator. Both inputs shrink to one row per customer
-    before they meet, so a customer holding a large share of all transactions does not skew the join.
+    Customers without revenue count in the denominator, those without a segment are left out. All inputs shrink to one
+    row per customer before they meet, so a customer holding a large share of all records does not skew a join.
     """
-    active = active_during(statuses, period, segment)
+    active = active_during(statuses, period).join(segments.select("customer", "segment"), "customer")
     revenue = ledger.revenue_by_customer(period)
     joined = active.join(revenue, "customer", "left")
     total = F.coalesce(F.sum("revenue"), F.lit(0))
-    return joined.groupBy(F.col(segment).alias("segment")).agg(
+    return joined.groupBy("segment").agg(
         F.count(F.lit(1)).alias("customer_count"),
         total.alias("revenue"),
         ratio(total, F.count(F.lit(1))).alias("arpu"),
@@ -122,18 +122,21 @@ def active_without_revenue(statuses: Statuses, ledger: Ledger, period: Period) -
     return active_during(statuses, period).join(paying, "customer", "left_anti")
 
 
-def churn_simple(statuses: Statuses, period: Period, *by: str) -> DataFrame:
+def churn_simple(statuses: Statuses, period: Period, *by: str, segments: DataFrame | None = None) -> DataFrame:
     """Customers of the opening cohort with any record ending in the period, over that cohort.
 
-    A customer who was not active at the period start never counts. One row of flags per customer, no join.
+    A customer who was not active at the period start never counts. One row of flags per customer; these are joined with
+    ``segments`` (``customer``, ``segment``), if given, and counted by segment.
     """
     end = F.col(statuses.end)
     opening = statuses.active_as_of(period.first)
     # Without groups only these records matter; with groups one without a cohort keeps its row.
-    records = statuses.df if by else statuses.df.filter(opening | period.holds(end))
+    records = statuses.df if by or segments is not None else statuses.df.filter(opening | period.holds(end))
     flags = records.groupBy(F.col(statuses.customer).alias("customer"), *by).agg(
         F.bool_or(opening).alias("opening"), F.bool_or(period.holds(end)).alias("ended")
     )
+    if segments is not None:
+        flags, by = flags.join(segments.select("customer", "segment"), "customer"), (*by, "segment")
     cohort = F.count_if(F.col("opening"))
     churned = F.count_if(F.col("opening") & F.col("ended"))
     return flags.groupBy(*by).agg(
@@ -216,8 +219,8 @@ def acquisition_cost(
     )
 
 
-def predicted_lifetime_value(statuses: Statuses, ledger: Ledger, period: Period, segment: str) -> DataFrame:
-    """ARPU of customers active in the period over their churn rate in it, by segment."""
-    arpu = arpu_active(statuses, ledger, period, segment).select("segment", "arpu")
-    churn = churn_simple(statuses, period, segment).select(F.col(segment).alias("segment"), "churn_rate")
+def predicted_lifetime_value(statuses: Statuses, ledger: Ledger, period: Period, segments: DataFrame) -> DataFrame:
+    """ARPU of customers active in the period over their churn rate in it, by segment (``customer``, ``segment``)."""
+    arpu = arpu_active(statuses, ledger, period, segments).select("segment", "arpu")
+    churn = churn_simple(statuses, period, segments=segments).select("segment", "churn_rate")
     return arpu.join(churn, "segment").withColumn("ltv", ratio(F.col("arpu"), F.col("churn_rate")))

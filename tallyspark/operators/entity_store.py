@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyspark.functions.safe import rounded
+from tallyspark.operators.hot_keys import keep_known
 from tallyspark.sources.versioned import VersionedDataset
 
 # Size classes by tokens, and tokens per JSON character.
@@ -57,7 +58,7 @@ class EntityStore:
         )
 
     def _drop_observations(self, names: DataFrame) -> DataFrame:
-        return self.observations.join(names, self.observations["entity"] == names["name"], "left_anti")
+        return keep_known(self.observations, "entity", names, "left_anti")
 
     def _unknown(self, names: DataFrame) -> DataFrame:
         """Distinct names that are no entity. A name used by very many rows is one row from here on."""
@@ -71,7 +72,7 @@ class EntityStore:
         ends = F.explode(F.array_distinct(F.array("src", "dst"))).alias("missing_endpoint")
         sides = batch.select(*TRIPLE).distinct().select(*TRIPLE, ends)
         missing = self._unknown_endpoints(batch).withColumnRenamed("name", "missing_endpoint")
-        return sides.join(missing, "missing_endpoint", "left_semi").select(*TRIPLE, "missing_endpoint")
+        return keep_known(sides, "missing_endpoint", missing, name="missing_endpoint")
 
     def add_relations(self, batch: DataFrame) -> EntityStore:
         """Add relations, each triple once; a missing endpoint rejects the whole batch."""
@@ -98,11 +99,11 @@ class EntityStore:
     def delete_entities(self, names: DataFrame) -> EntityStore:
         """Drop entities with their observations and every relation touching them."""
         gone = names.select("name").distinct()
-        left = self.relations.join(gone, self.relations["src"] == gone["name"], "left_anti")
+        left = keep_known(self.relations, "src", gone, "left_anti")
         return EntityStore(
             self.entities.join(gone, "name", "left_anti"),
             self._drop_observations(gone),
-            left.join(gone, left["dst"] == gone["name"], "left_anti"),
+            keep_known(left, "dst", gone, "left_anti"),
         )
 
     def delete_relations(self, batch: DataFrame) -> EntityStore:
@@ -148,12 +149,14 @@ class EntityStore:
         return self.induced(names.select("name").distinct())
 
     def induced(self, names: DataFrame) -> EntityStore:
-        """Entities among ``names`` with their observations, and relations with both ends among them."""
-        left = self.relations.join(names, self.relations["src"] == names["name"], "left_semi")
+        """Entities among ``names`` (distinct) with their observations, and relations with both ends among them.
+
+        An end that holds a large share of all relations is dealt to many tasks.
+        """
         return EntityStore(
             self.entities.join(names, "name", "left_semi"),
-            self.observations.join(names, self.observations["entity"] == names["name"], "left_semi"),
-            left.join(names, left["dst"] == names["name"], "left_semi"),
+            keep_known(self.observations, "entity", names),
+            keep_known(keep_known(self.relations, "src", names), "dst", names),
         )
 
     def stats(self) -> DataFrame:

@@ -19,7 +19,7 @@ from tallyspark.plans.roles import (
     YEAR_1998,
     ledger,
     order_sales,
-    segmented_statuses,
+    segments,
     statuses,
     table,
 )
@@ -95,7 +95,7 @@ _ARPU = f"""
         SELECT segment, customer_count, ROUND(revenue, 2) AS revenue, ROUND(arpu, 2) AS arpu FROM arpu"""
 )
 def arpu_active_by_segment(spark: SparkSession, folder: str) -> DataFrame:
-    found = customers.arpu_active(segmented_statuses(spark, folder), ledger(spark, folder), JANUARY_1998, "segment")
+    found = customers.arpu_active(statuses(spark, folder), ledger(spark, folder), JANUARY_1998, segments(spark, folder))
     return found.withColumn("revenue", money("revenue")).withColumn("arpu", money("arpu"))
 
 
@@ -283,7 +283,7 @@ def ltv_subscription(spark: SparkSession, folder: str) -> DataFrame:
 )
 def ltv_predicted(spark: SparkSession, folder: str) -> DataFrame:
     found = customers.predicted_lifetime_value(
-        segmented_statuses(spark, folder), ledger(spark, folder), JANUARY_1998, "segment"
+        statuses(spark, folder), ledger(spark, folder), JANUARY_1998, segments(spark, folder)
     )
     return found.select(
         "segment",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators.entity_store import EntityStore
+from tallyspark.operators.hot_keys import spread
 from tallyspark.operators.roles import Ledger, Period, Statuses
 
 
@@ -47,12 +48,16 @@ def contracts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The market segment of each customer."""
+    return table(spark, folder, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_mktsegment").alias("segment"))
+
+
 def segmented_contracts(spark: SparkSession, folder: str) -> DataFrame:
-    """Contracts with the market segment of their customer."""
-    customers = table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment")
-    )
-    return contracts(spark, folder).join(customers, "customer_id")
+    """Contracts with the market segment of their customer; the rows of a customer with very many are dealt apart."""
+    found, one = spread(contracts(spark, folder), "customer_id", segments(spark, folder), "customer")
+    same = (found["customer_id"] == one["customer"]) & (found["_hot_salt"] == one["_hot_salt"])
+    return found.join(one, same).select(*contracts(spark, folder).columns, "segment")
 
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,10 +73,6 @@ def statuses(spark: SparkSession, folder: str) -> Statuses:
     return Statuses(contracts(spark, folder))
 
 
-def segmented_statuses(spark: SparkSession, folder: str) -> Statuses:
-    return Statuses(segmented_contracts(spark, folder))
-
-
 def ledger(spark: SparkSession, folder: str) -> Ledger:
     return Ledger(transactions(spark, folder))
 

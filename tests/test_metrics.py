@@ -76,8 +76,13 @@ def test_recurring_revenue_is_revenue_of_the_active(bounds, ledger):
 
 
 def test_arpu_counts_customers_without_revenue(spark, bounds, ledger):
-    statuses = Statuses(bounds.df.withColumn("segment", F.when(F.col("customer_id") < 3, "a").otherwise("b")))
-    assert rows(customers.arpu_active(statuses, ledger, MARCH, "segment")) == [("a", 2, 35.0, 17.5), ("b", 3, 0.0, 0.0)]
+    segment = F.when(F.col("customer_id") < 3, "a").otherwise("b").alias("segment")
+    segments = bounds.df.select(F.col("customer_id").alias("customer"), segment).distinct()
+    assert rows(customers.arpu_active(bounds, ledger, MARCH, segments)) == [("a", 2, 35.0, 17.5), ("b", 3, 0.0, 0.0)]
+    known = segments.filter("customer <> 2")
+    assert rows(customers.arpu_active(bounds, ledger, MARCH, known)) == [("a", 1, 30.0, 30.0), ("b", 3, 0.0, 0.0)]
+    churn = {r["segment"]: tuple(r)[1:3] for r in customers.churn_simple(bounds, MARCH, segments=segments).collect()}
+    assert churn == {"a": (1, 0), "b": (2, 1)}
 
 
 def test_active_without_revenue(bounds, ledger):
