@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 
 from tallyspark.functions.safe import rounded
 from tallyspark.operators.hot_keys import keep_known
+from tallyspark.operators.text_index import containing, postings
+from tallyspark.sources import files
 from tallyspark.sources.versioned import VersionedDataset
 
 # Size classes by tokens, and tokens per JSON character.
@@ -34,6 +36,8 @@ class EntityStore:
     entities: DataFrame
     observations: DataFrame
     relations: DataFrame
+    #: Index of all texts, where the store was saved with one; changes of texts leave it behind.
+    postings: DataFrame | None = None
 
     @staticmethod
     def empty(spark: SparkSession) -> EntityStore:
@@ -55,6 +59,7 @@ class EntityStore:
             self,
             entities=self.entities.join(names, "name", "left_anti").unionByName(final.select("name", "entity_type")),
             observations=self._drop_observations(names).unionByName(added),
+            postings=None,
         )
 
     def _drop_observations(self, names: DataFrame) -> DataFrame:
@@ -86,15 +91,14 @@ class EntityStore:
         unknown = self._unknown(batch.select(F.col("entity").alias("name"))).head(1)
         if unknown:
             raise ValueError(f"Entity {unknown[0]['name']} not found in graph")
-        return replace(
-            self, observations=self.observations.unionByName(batch.select("entity", "observation")).distinct()
-        )
+        added = self.observations.unionByName(batch.select("entity", "observation")).distinct()
+        return replace(self, observations=added, postings=None)
 
     def overwrite_observations(self, batch: DataFrame) -> EntityStore:
         """Replace all observations of the entities in (entity, observation) rows."""
         names = batch.select(F.col("entity").alias("name")).distinct()
         kept = self._drop_observations(names)
-        return replace(self, observations=kept.unionByName(batch.select("entity", "observation").distinct()))
+        return replace(self, observations=kept.unionByName(batch.select("entity", "observation").distinct()), postings=None)
 
     def delete_entities(self, names: DataFrame) -> EntityStore:
         """Drop entities with their observations and every relation touching them."""
@@ -123,11 +127,17 @@ class EntityStore:
 
         ``any_token``: some word of the query in some text; ``all_tokens``: every word, each in
         some text; ``exact_phrase``: the whole query within one text. A blank query finds nothing.
+        A store with an index reads postings, others all texts, once.
         """
-        tokens = query.lower().split()
+        tokens = list(dict.fromkeys(query.lower().split()))
         text = F.col("text")
         if not tokens:
             return self.entities.select("name").limit(0)
+        if self.postings is not None and mode in ("any_token", "all_tokens", "exact_phrase"):
+            found = containing(self.postings, tokens if mode != "exact_phrase" else [query.strip().lower()])
+            if mode != "all_tokens":
+                return found.select("name").distinct()
+            return found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(tokens)).select("name")
         if mode == "exact_phrase":
             return self._texts().filter(text.contains(query.strip().lower())).select("name").distinct()
         found = [text.contains(t) for t in tokens]
@@ -253,12 +263,11 @@ class EntityStore:
 
     # -- storage ---------------------------------------------------------------------------
 
-    def save(self, path: str) -> str:
-        """Write a new version of the store under ``path``; earlier versions stay readable."""
+    def save(self, path: str, index: bool = False) -> str:
+        """Write a new version of the store under ``path``, with an index of its texts if wanted; earlier versions stay readable."""
         dataset = VersionedDataset(self.entities.sparkSession, path)
-        return dataset.write(
-            {"entities": self.entities, "observations": self.observations, "relations": self.relations}
-        )
+        parts = {"entities": self.entities, "observations": self.observations, "relations": self.relations}
+        return dataset.write(parts | ({"postings": postings(self._texts())} if index else {}))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> EntityStore:
@@ -270,4 +279,6 @@ class EntityStore:
         version = dataset.latest()
         if version is None:
             return EntityStore.empty(spark)
-        return EntityStore(*[dataset.read(version, part) for part in ("entities", "observations", "relations")])
+        parts = ["entities", "observations", "relations"]
+        parts += ["postings"] if files.exists(spark, f"{path}/{version}/postings") else []
+        return EntityStore(*[dataset.read(version, part) for part in parts])

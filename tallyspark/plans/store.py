@@ -192,6 +192,36 @@ def kg_search_phrase(spark: SparkSession, folder: str) -> DataFrame:
     return documents_store(spark, folder).search("On the", "exact_phrase").entities
 
 
+def _indexed(spark: SparkSession, folder: str) -> EntityStore:
+    path = work_dir(spark, "indexed-store")
+    documents_store(spark, folder).save(path, index=True)
+    return EntityStore.load(spark, path)
+
+
+@query(
+    f"""{_TEXTS} SELECT name, entity_type FROM kinds WHERE name IN (
+          SELECT name FROM fields WHERE CONTAINS(t, 'economy') OR CONTAINS(t, 'license') OR CONTAINS(t, 'ó'))"""
+)
+def kg_index_search_any(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of the texts, asked for two words and a single letter."""
+    return _indexed(spark, folder).search("economy LICENSE ó", "any_token").entities
+
+
+@query(
+    f"""{_TEXTS} SELECT name, entity_type FROM kinds WHERE name IN (
+          SELECT name FROM fields GROUP BY name HAVING BOOL_OR(CONTAINS(t, 'economy')) AND BOOL_OR(CONTAINS(t, 'supplier')))"""
+)
+def kg_index_search_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _indexed(spark, folder).search("economy Supplier", "all_tokens").entities
+
+
+@query(
+    f"""{_TEXTS} SELECT name, entity_type FROM kinds WHERE name IN (SELECT name FROM fields WHERE CONTAINS(t, 'on the'))"""
+)
+def kg_index_search_phrase(spark: SparkSession, folder: str) -> DataFrame:
+    return _indexed(spark, folder).search("On the", "exact_phrase").entities
+
+
 @query(
     f"""{_STORE}, hits AS (
           SELECT name FROM entities WHERE CONTAINS(LOWER(name), 'supplier') OR CONTAINS(LOWER(entity_type), 'supplier')

@@ -185,3 +185,25 @@ def test_a_broken_version_is_not_an_empty_store(spark, store):
     part.write.mode("overwrite").format("json").save(f"{path}/{version}/relations")
     with pytest.raises(Exception):
         EntityStore.load(spark, path).relations.collect()
+
+
+def test_indexed_search_equals_the_scan(spark, tmp_path):
+    texts = ["banana bandana", "ana", "an", "a", "", "Straße 12", "ÉTÉ été", "x" * 5000 + "yz", "a\0b", "ban ana", "漢字 ban"]
+    store = EntityStore(
+        spark.createDataFrame([(f"e{i}", f"kind {i % 3}") for i in range(len(texts))], "name string, entity_type string"),
+        spark.createDataFrame([(f"e{i}", t) for i, t in enumerate(texts)] + [("e1", "banana"), ("e1", "ana")], "entity string, observation string"),
+        spark.createDataFrame([("e0", "e1", "r")], "src string, dst string, relation_type string"),
+    )
+    store.save(str(tmp_path / "store"), index=True)
+    indexed = EntityStore.load(spark, str(tmp_path / "store"))
+    for query in ["ana", "an", "a", "nan", "banana", "ana kind", "an na zz", "été", "straße 2", "xxx yz", "字", "kind 1", "e1 ana ana", "nab", "n b", " "]:
+        for mode in ("any_token", "all_tokens", "exact_phrase"):
+            want = sorted(r["name"] for r in store.matching_names(query, mode).collect())
+            assert sorted(r["name"] for r in indexed.matching_names(query, mode).collect()) == want, (query, mode)
+    plan = indexed.matching_names("ana kind", "all_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "In(trigram" in plan
+    prefix = indexed.matching_names("an", "any_token")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(trigram,an)" in prefix
+    changed = indexed.add_observations(spark.createDataFrame([("e2", "zebra")], "entity string, observation string"))
+    assert changed.postings is None and [r["name"] for r in changed.matching_names("zebra").collect()] == ["e2"]
+    assert indexed.search("banana").relations.count() == 1
