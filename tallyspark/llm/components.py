@@ -25,10 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
         while moved:
             for _ in range(2):
                 onward = points.select(F.col("node").alias("label"), F.col("label").alias("next"))
-                points = points.join(onward, "label").select("node", F.col("next").alias("label"))
+                points = points.join(onward, "label").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved"))
+            # a second step that moved nothing has found the ends; what it found is looked at, not computed again
             points = settled(points)
-            onward = points.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            moved = not points.join(onward, "label").where("next != label").isEmpty()
+            moved = not points.where("moved").isEmpty()
+            points = points.select("node", "label")
         steps.append(points)
         left = points.select(F.col("node").alias("a"), F.col("label").alias("la"))
         right = points.select(F.col("node").alias("b"), F.col("label").alias("lb"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.meetings import connect
 from tallyspark.llm.runs import runs, stars
-from tallyspark.llm.shared import settled
+from tallyspark.llm.shared import lean, settled
 from tallyspark.llm.textops import Hashes, chunks, mix, ranges
 
 
@@ -154,7 +154,7 @@ def _candidates(nodes: DataFrame, settings: Settings) -> DataFrame:
 
     def compare(lists: DataFrame, few: bool) -> DataFrame:
         members = (F.broadcast(lists) if few else lists).join(nodes.select("node", "n_shingles", "sketch"), "node")
-        return members.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(likely, "a long, b long")
+        return members.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(lean(likely), "a long, b long")
 
     return connect(listed, "value", settings.list_block, compare).select("node", F.col("component").alias("grp"))
 
@@ -170,7 +170,7 @@ def _values(sketch: Column, count: int) -> Column:
 def find(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id``, ``text_key``, ``n_shingles``, ``node`` and ``component_id`` of every row."""
     keyed = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    rows = settled(keyed.mapInArrow(_sketches(settings), "doc_id long, text_key long, n_shingles long, node long, sketch binary"))
+    rows = settled(keyed.mapInArrow(lean(_sketches(settings)), "doc_id long, text_key long, n_shingles long, node long, sketch binary"))
     nodes = settled(
         rows.where("n_shingles > 0").groupBy("node", "n_shingles", "sketch")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
@@ -189,7 +189,7 @@ def find(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
         wanted = F.broadcast(wanted) if few else wanted  # one row for each of the members
         same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key"))
         texts = keyed.alias("t").join(wanted.alias("w"), same).select("node", "grp", "i", "j", "text")
-        return texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(exact, "a long, b long")
+        return texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(lean(exact), "a long, b long")
 
     linked = connect(groups, "grp", settings.group_block, verify)
     placed = rows.select("doc_id", "text_key", "n_shingles", "node").join(linked, "node", "left")

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tallyspark.llm.shared import lean
 from tallyspark.llm.textops import Chunk, Hashes, chunks, find, lower, ranges
 
 END = 1
@@ -267,4 +268,4 @@ def pack(documents: DataFrame, tokenizer_path: str, settings: Settings = Setting
         if ids:
             yield flush()
 
-    return documents.select("doc_id", "text").mapInArrow(packed, SCHEMA)
+    return documents.select("doc_id", "text").mapInArrow(lean(packed), SCHEMA)

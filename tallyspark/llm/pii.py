@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import settled
+from tallyspark.llm.shared import lean, settled
 
 KINDS = ["email", "ip", "card", "phone"]
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -164,7 +164,7 @@ def _patterns(scanned: DataFrame, settings: Settings) -> DataFrame:
 
 def scan(documents: DataFrame) -> DataFrame:
     """Base finds and candidates of every row, without the texts; settled, as all later steps read it."""
-    return settled(documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_scan, _RESULT))
+    return settled(documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(lean(_scan), _RESULT))
 
 
 def find(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:

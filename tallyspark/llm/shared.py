@@ -1,7 +1,11 @@
-"""Results that are kept in the folder all executors share."""
+"""Results that are kept in the folder all executors share, and memory that tasks give back."""
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tallyspark.session import work_dir
@@ -13,3 +17,26 @@ def settled(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(work_dir(df.sparkSession, "checkpoints"))
     return df.checkpoint()
+
+
+def give_back() -> None:
+    """Return memory that is free again to the system: a worker lives on after its task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(task: Task) -> Task:
+    """The task, giving back its memory at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.ordered import running
-from tallyspark.llm.shared import settled
+from tallyspark.llm.shared import give_back, lean, settled
 from tallyspark.llm.textops import Hashes, chunks, letters, lower, ranges
 
 
@@ -208,7 +208,7 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, settings: Sett
     found = (
         documents.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
-        .mapInArrow(features, "doc_id long, label int, bins array<int>")
+        .mapInArrow(lean(features), "doc_id long, label int, bins array<int>")
     )
     found = settled(found.select("*", F.coalesce(F.size("bins"), F.lit(0)).alias("size"), F.xxhash64("bins").alias("digest")))
     # the places of the rows in the order, their bins left aside; documents may repeat an id
@@ -216,7 +216,7 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, settings: Sett
     fits = keyed.where((F.col("row") <= settings.sample_rows) & (F.col("pairs") <= settings.sample_pairs)).agg(F.max("row")).first()[0] or 0
     # no more rows than were counted to fit
     taken = found.orderBy(*order, "digest").limit(fits).select("label", "bins")
-    row = taken.coalesce(1).mapInArrow(fit, "bias double, bins binary, linear binary, factors binary").first()
+    row = taken.coalesce(1).mapInArrow(lean(fit), "bias double, bins binary, linear binary, factors binary").first()
     machine = Machine(settings, np.frombuffer(row.bins, np.int32) if row else np.zeros(0, np.int32))
     if row:
         machine.bias, machine.linear = row.bias, np.frombuffer(row.linear, np.float32)
@@ -230,7 +230,9 @@ def score(text: Column, machine: Machine, documents: DataFrame) -> Column:
 
     @F.arrow_udf("double")
     def toxicity(texts: pa.Array) -> pa.Array:
-        return pa.array(held.value.score(texts))
+        scores = pa.array(held.value.score(texts))
+        give_back()
+        return scores
 
     return toxicity(text)
 
