@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.safe import money, rounded
-from tallyspark.operators import cohorts, commerce, customers, series
+from tallyspark.operators import calendar, cohorts, commerce, customers, series, workload
 from tallyspark.operators.roles import Ledger, Period
 from tallyspark.plans import roles
 from tallyspark.plans.registry import query
@@ -537,3 +537,77 @@ def profitability_by_part(spark: SparkSession, folder: str) -> DataFrame:
 def utilization(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("user_id", F.col("ts").cast("date").alias("day"))
     return commerce.utilization(events, "user_id", "day").withColumn("utilization", rounded("utilization", 6))
+
+
+_STARTS = {"month": "1 MONTH", "quarter": "3 MONTH", "year": "12 MONTH"}
+CALENDAR = Period("1996-11-15", "1999-02-10")
+
+
+def _calendar_sql(unit: str) -> str:
+    start, end = f"DATE '{CALENDAR.start}'", f"DATE '{CALENDAR.end}'"
+    return f"""WITH {CONTRACTS}, {TRANSACTIONS},
+        spine AS (SELECT CAST(s AS DATE) AS period_start, CAST(s + INTERVAL {_STARTS[unit]} - INTERVAL 1 DAY AS DATE) AS period_end
+                  FROM GENERATE_SERIES(DATE_TRUNC('{unit}', {start}), DATE_TRUNC('{unit}', {end}), INTERVAL {_STARTS[unit]}) AS g(s)),
+        paid AS (SELECT CAST(DATE_TRUNC('{unit}', txn_date) AS DATE) AS p, SUM(amount) AS revenue, COUNT(*) AS transactions
+                 FROM transactions WHERE txn_date BETWEEN {start} AND {end} GROUP BY 1),
+        active AS (SELECT period_start AS p,
+                     COUNT(DISTINCT CASE WHEN start_date <= period_end AND (end_date IS NULL OR end_date > period_end) THEN customer_id END) AS active_end,
+                     COUNT(DISTINCT CASE WHEN start_date <= period_end AND (end_date IS NULL OR end_date >= period_start) THEN customer_id END) AS active_during
+                   FROM spine, contracts GROUP BY period_start)
+        SELECT period_start, period_end, ROUND(COALESCE(revenue, 0), 2) AS revenue, COALESCE(transactions, 0) AS transactions,
+               COALESCE(active_end, 0) AS active_end, COALESCE(active_during, 0) AS active_during
+        FROM spine LEFT JOIN paid ON paid.p = period_start LEFT JOIN active ON active.p = period_start"""
+
+
+def _calendar(spark: SparkSession, folder: str, unit: str) -> DataFrame:
+    found = calendar.period_metrics(statuses(spark, folder), ledger(spark, folder), CALENDAR, unit)
+    return found.withColumn("revenue", money("revenue"))
+
+
+@query(_calendar_sql("month"))
+def calendar_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Revenue and active customers of each month of a calendar, months without orders included."""
+    return _calendar(spark, folder, "month")
+
+
+@query(_calendar_sql("quarter"))
+def calendar_quarters(spark: SparkSession, folder: str) -> DataFrame:
+    return _calendar(spark, folder, "quarter")
+
+
+@query(_calendar_sql("year"))
+def calendar_years(spark: SparkSession, folder: str) -> DataFrame:
+    return _calendar(spark, folder, "year")
+
+
+JANUARY_2024 = Period("2024-01-01", "2024-01-31")
+
+
+@query(
+    """WITH sessions AS (SELECT user_id, event_type, EPOCH(DATE_TRUNC('second', ts))::BIGINT AS a,
+                                EPOCH(DATE_TRUNC('second', ts))::BIGINT + CAST(ROUND(value * 360) AS BIGINT) AS b FROM events),
+       both_ AS (SELECT user_id, FALSE AS billable, a, b FROM sessions WHERE b > a
+                 UNION ALL SELECT user_id, TRUE, a, b FROM sessions WHERE b > a AND event_type <> 'view'),
+       marked AS (SELECT *, CASE WHEN a <= MAX(b) OVER (PARTITION BY user_id, billable ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                                 THEN 0 ELSE 1 END AS opens FROM both_),
+       islands AS (SELECT user_id, billable, SUM(opens) OVER (PARTITION BY user_id, billable ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island, a, b FROM marked),
+       merged AS (SELECT user_id, billable, MIN(a) AS a, MAX(b) AS b FROM islands GROUP BY user_id, billable, island),
+       month_ AS (SELECT EPOCH(TIMESTAMP '2024-01-01')::BIGINT AS lo, EPOCH(TIMESTAMP '2024-02-01')::BIGINT AS hi),
+       hours AS (SELECT user_id, SUM(LEAST(b, hi) - GREATEST(a, lo)) FILTER (NOT billable) / 3600 AS worked_hours,
+                        COALESCE(SUM(LEAST(b, hi) - GREATEST(a, lo)) FILTER (billable), 0) / 3600 AS billable_hours
+                 FROM merged, month_ WHERE a < hi AND b > lo GROUP BY user_id),
+       capacity AS (SELECT 8.0 * COUNT(*) AS h FROM GENERATE_SERIES(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY) AS g(d) WHERE ISODOW(d) <= 5)
+       SELECT user_id, ROUND(worked_hours, 4) AS worked_hours, ROUND(billable_hours, 4) AS billable_hours, h::DOUBLE AS capacity_hours,
+              ROUND(billable_hours / h, 6) AS utilization, ROUND(billable_hours / worked_hours, 6) AS realization
+       FROM hours, capacity"""
+)
+def utilization_hours(spark: SparkSession, folder: str) -> DataFrame:
+    """Hours of sessions that overlap, merged for each user, against the working hours of January; views are not billable."""
+    start = F.col("ts")
+    end = F.col("ts") + F.make_dt_interval(secs=F.round(F.col("value") * 360))
+    sessions = table(spark, folder, "events").select("user_id", "event_type", start.alias("a"), end.alias("b"))
+    found = workload.utilization_hours(sessions, "user_id", "a", "b", JANUARY_2024, F.col("event_type") != "view")
+    return found.select(
+        F.col("worker").alias("user_id"), rounded("worked_hours", 4).alias("worked_hours"), rounded("billable_hours", 4).alias("billable_hours"),
+        "capacity_hours", rounded("utilization", 6).alias("utilization"), rounded("realization", 6).alias("realization"),
+    )
