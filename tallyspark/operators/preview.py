@@ -21,6 +21,9 @@ from tallyspark.operators.long_format import long_format
 from tallyspark.operators.profile import COUNTS, MOMENTS, TableProfile
 from tallyspark.operators.quantiles import exact_percentiles
 
+# Result texts.
+MOSTLY_UNIQUE = "High cardinality or mostly unique string values. Not showing top N."
+ALL_EMPTY = "Column is entirely empty (all NaN)."
 # Preview limits.
 TOP_VALUES = 5
 MAX_UNIQUE_SHARE = 0.8
@@ -184,11 +187,11 @@ class TablePreview:
         counts = self._cardinality()
         unique_texts = counts.filter(F.col("unique_count") > F.col("total_rows") * MAX_UNIQUE_SHARE).select(
             "column_name",
-            F.lit("High cardinality or mostly unique string values. Not showing top N.").alias("note"),
+            F.lit(MOSTLY_UNIQUE).alias("note"),
         )
         empty = (
             self._profile.per_column(COUNTS)
             .filter("non_null_count = 0 AND total_count > 0")
-            .select("column_name", F.lit("Column is entirely empty (all NaN).").alias("note"))
+            .select("column_name", F.lit(ALL_EMPTY).alias("note"))
         )
         return unique_texts.unionByName(empty)

@@ -30,6 +30,8 @@ from tallyspark.functions.safe import (
 from tallyspark.operators.long_format import Fields, Read, long_format
 from tallyspark.operators.quantiles import exact_percentiles
 
+# Result text around the number of distinct values.
+TOO_MANY_VALUES = ("High cardinality (", " unique values) - analysis skipped")
 # Thresholds of the profile.
 TOP_VALUES = 50
 TOP_VALUES_MAX_UNIQUE = 100
@@ -103,6 +105,10 @@ class TableProfile:
     df: DataFrame
     name: str = "table"
     approximate_distinct: bool = False
+    #: How many values the top list shows, up to how many distinct ones it is made, and beyond how many a column is highly cardinal.
+    top: int = TOP_VALUES
+    list_up_to: int = TOP_VALUES_MAX_UNIQUE
+    high_cardinality: int = HIGH_CARDINALITY
 
     # -- columns ---------------------------------------------------------------------------
 
@@ -365,13 +371,13 @@ class TableProfile:
     @cached_property
     def _few_valued(self) -> dict[str, int]:
         """Non-null counts of the categorical columns with few enough distinct values to list."""
-        few = self._categorical_counts().filter(F.col("unique_count").between(1, TOP_VALUES_MAX_UNIQUE))
+        few = self._categorical_counts().filter(F.col("unique_count").between(1, self.list_up_to))
         return {r["column_name"]: r["non_null_count"] for r in few.collect()}
 
     def top_values(self) -> DataFrame:
-        """Up to fifty most frequent values of categorical columns with at most 100 distinct ones.
+        """The ``top`` most frequent values of categorical columns with at most ``list_up_to`` distinct ones.
 
-        Only those columns are grouped by value, so at most 100 rows per column and task move.
+        Only those columns are grouped by value, so at most ``list_up_to`` rows per column and task move.
         """
         few = self._few_valued
         if not few:
@@ -381,7 +387,7 @@ class TableProfile:
         ranked = frequencies.selectExpr(
             "*", "bigint(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value)) AS rank"
         )
-        return ranked.filter(F.col("rank") <= TOP_VALUES).select(
+        return ranked.filter(F.col("rank") <= self.top).select(
             "column_name",
             "value",
             F.col("n").alias("count"),
@@ -391,7 +397,7 @@ class TableProfile:
 
     def top_values_json(self) -> DataFrame:
         """The top values of each column as one JSON object, most frequent first."""
-        entries = F.sort_array(F.collect_list(F.struct("rank", "value", "count")))  # at most 50 entries
+        entries = F.sort_array(F.collect_list(F.struct("rank", "value", "count")))  # at most ``top`` entries
         pairs = F.transform(entries, lambda e: F.struct(e["value"], e["count"]))
         return (
             self.top_values()
@@ -403,12 +409,12 @@ class TableProfile:
         """Cardinality verdict per categorical column."""
         counts = self._categorical_counts()
         unique = F.col("unique_count")
-        skipped = (unique > TOP_VALUES_MAX_UNIQUE) | (unique == 0)
-        note = F.concat(F.lit("High cardinality ("), unique.cast("string"), F.lit(" unique values) - analysis skipped"))
+        skipped = (unique > self.list_up_to) | (unique == 0)
+        note = F.concat(F.lit(TOO_MANY_VALUES[0]), unique.cast("string"), F.lit(TOO_MANY_VALUES[1]))
         return counts.select(
             "column_name",
             unique.alias("unique_values"),
-            (skipped | (unique > HIGH_CARDINALITY)).alias("is_high_cardinality"),
+            (skipped | (unique > self.high_cardinality)).alias("is_high_cardinality"),
             F.when(skipped, note).alias("note"),
         )
 

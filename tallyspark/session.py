@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -31,13 +32,16 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a bare local test) gets a temporary folder of its own,
-    and the setting is then filled in so that later calls agree on it.
+    Only a bare local session without that setting gets a temporary folder, the same one for all calls.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="tallyspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/tallyspark/{purpose}-{uuid.uuid4().hex}"
+
+
+@cache
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"tallyspark-{application}-")

@@ -283,3 +283,13 @@ def test_histogram_counts_what_is_not_finite(spark):
     by_bucket = {b: n for _, b, n in found}
     assert sum(by_bucket.values()) == len(values)
     assert (by_bucket[0], by_bucket[12], by_bucket[13], by_bucket[1], by_bucket[11]) == (1, 1, 1, 20, 1)
+
+
+def test_limits_of_top_values_are_arguments(spark):
+    df = spark.range(300).selectExpr("concat('v', id % 30) AS few", "concat('w', id % 150) AS many")
+    usual = {r["column_name"]: tuple(r)[1:] for r in TableProfile(df).categorical_notes().collect()}
+    assert usual["few"] == (30, False, None) and usual["many"][:2] == (150, True) and usual["many"][2]
+    other = TableProfile(df, top=3, list_up_to=200, high_cardinality=20)
+    notes = {r["column_name"]: tuple(r)[1:] for r in other.categorical_notes().collect()}
+    assert notes == {"few": (30, True, None), "many": (150, True, None)}
+    assert sorted(r["column_name"] for r in other.top_values().collect()) == ["few"] * 3 + ["many"] * 3
