@@ -51,23 +51,28 @@ def read_csv(
     name: files sharing a header are scanned together, also within a directory, and columns missing from a file are NULL.
     Where files with different headers disagree on a type, numbers become doubles and anything else text.
 
-    A line that does not fit fails the query; ``read_csv_as_text`` keeps such lines for a look. Quoted fields may hold line
+    A line that does not fit fails the query; ``quarantine.load_csv`` goes on with the others and keeps such lines apart. Quoted fields may hold line
     breaks, for which each file is read by one task; ``line_breaks=False`` lets large files be split. An empty field is
     NULL; with ``empty_texts`` only one without quotes is, and ``""`` an empty text.
     """
     options = reader_options(line_breaks, "FAILFAST") | ({"nullValue": NO_TEXT} if empty_texts else {})
     paths = [paths] if isinstance(paths, str) else list(paths)
     check_sources(spark, paths)
-    groups = _by_header(spark, paths)
-    if schema is not None or len(groups) == 1:
-        return _union([_scan(spark, group, schema, options) for group in groups])
-    inferred = [_scan(spark, group, None, options).schema for group in groups]
+    groups = by_header(spark, paths)
+    schemas = [schema] * len(groups) if schema is not None else inferred_schemas(spark, groups, line_breaks, options)
+    return union([_scan(spark, group, s, options) for group, s in zip(groups, schemas)])
+
+
+def inferred_schemas(spark: SparkSession, groups: list[list[str]], line_breaks: bool, options: dict[str, str] | None = None) -> list[T.StructType]:
+    """A schema for each group of files, in which columns of one name have one type."""
+    # a line that does not fit is met when the rows are read, not while types are inferred
+    options = (options or reader_options(line_breaks, "FAILFAST")) | {"mode": "PERMISSIVE"}
+    inferred = [spark.read.options(**options).option("inferSchema", True).csv(group).schema for group in groups]
     common = _common_types(inferred)
-    schemas = [T.StructType([T.StructField(f.name, common[f.name]) for f in found]) for found in inferred]
-    return _union([_scan(spark, group, s, options) for group, s in zip(groups, schemas)])
+    return [T.StructType([T.StructField(f.name, common[f.name]) for f in found]) for found in inferred]
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
+def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -86,7 +91,7 @@ def _common_types(schemas: list[T.StructType]) -> dict[str, T.DataType]:
     return {name: common(types) for name, types in kinds.items()}
 
 
-def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+def by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
     """Paths grouped by header line; a directory is taken apart only if its files differ. Empty files have no rows."""
 
     def members(path: str) -> list[str]:
@@ -110,12 +115,8 @@ def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
     return list(groups.values())
 
 
-def _scan(spark: SparkSession, paths: list[str], schema: T.StructType | None, options: dict[str, str]) -> DataFrame:
-    reader = spark.read.options(**options)
-    if schema is None:
-        # a line that does not fit is met when the rows are read, not while types are inferred
-        schema = spark.read.options(**options | {"mode": "PERMISSIVE"}).option("inferSchema", True).csv(paths).schema
-    return reader.option("enforceSchema", False).schema(schema).csv(paths)
+def _scan(spark: SparkSession, paths: list[str], schema: T.StructType, options: dict[str, str]) -> DataFrame:
+    return spark.read.options(**options).option("enforceSchema", False).schema(schema).csv(paths)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -138,7 +139,7 @@ def read_csv_as_text(
         names = [*(columns or reader.csv(group).columns), CORRUPT]
         return reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(group)
 
-    return _union([scan(group) for group in (_by_header(spark, paths) if columns is None else [paths])])
+    return union([scan(group) for group in (by_header(spark, paths) if columns is None else [paths])])
 
 
 def malformed_lines(text_table: DataFrame) -> DataFrame:

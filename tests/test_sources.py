@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import types as T
 
 from tallyspark.session import work_dir
+from tallyspark.sources.quarantine import load_csv
 from tallyspark.sources import files, results, tables
 from tallyspark.sources.versioned import VersionedDataset
 from tallyspark.streaming.landing import ingest_landing
@@ -179,3 +180,28 @@ def test_landing_reads_quotes_and_keeps_what_does_not_fit(spark):
     files.write_text(spark, f"{base}/in/1.csv", 'id,name\n1,"a ""b""\nc"\n2,x,extra\n')
     found = ingest_landing(spark, f"{base}/in", f"{base}/table", f"{base}/checkpoint", schema)
     assert [tuple(r) for r in found.orderBy("id").collect()] == [(1, 'a "b"\nc', None), (2, "x", "2,x,extra")]
+
+
+def test_lines_that_do_not_fit_are_kept_apart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text('id,name\n1,x\n2,y,extra\n3,"two\nlines"\n4\n')
+    (tmp_path / "in" / "b.csv").write_text("id,name\n5,z\n")
+    (tmp_path / "in" / "c.csv").write_text("name,amount\nq,1.5\nr\n")
+    loaded = load_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert sorted(map(tuple, loaded.rows.collect()), key=str) == sorted([(1, "x", None), (3, "two\nlines", None), (5, "z", None), (None, "q", 1.5)], key=str)
+    assert dict(loaded.rows.dtypes) == {"id": "int", "name": "string", "amount": "double"}
+    bad = sorted((r["file"].rsplit("/", 1)[1], r["line"].strip()) for r in loaded.bad.collect())
+    assert bad == [("a.csv", "2,y,extra"), ("a.csv", "4"), ("c.csv", "r")] and (loaded.n_rows, loaded.n_bad) == (4, 3)
+    assert loaded.profile("t").first()["malformed_rows"] == 3
+
+
+def test_all_lines_good_or_all_bad(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("id,name\n1,x\n")
+    (tmp_path / "bad.csv").write_text("id,name\nx\n,,\n")
+    good = load_csv(spark, str(tmp_path / "good.csv"), str(tmp_path / "g"))
+    assert good.rows.count() == 1 and good.bad.count() == 0 and good.bad.columns == ["file", "line"]
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("name", T.StringType())])
+    bad = load_csv(spark, str(tmp_path / "bad.csv"), str(tmp_path / "b"), schema)
+    assert bad.rows.count() == 0 and bad.n_bad == 2 and bad.rows.schema == schema
+    typed = load_csv(spark, str(tmp_path / "good.csv"), str(tmp_path / "t"), T.StructType([T.StructField("id", T.IntegerType()), T.StructField("name", T.DateType())]))
+    assert typed.n_bad == 1 and typed.bad.first()["line"] == "1,x"
