@@ -1,9 +1,9 @@
 """Stupid-backoff language-model scores of documents, against counts over the whole corpus.
 
-The n-grams of blocks of documents are counted once per block and dealt by hash; each hash partition adds up the counts
-of all blocks (the n-gram count table) and joins them back to the blocks that asked; the scores of the n-grams are then
-summed for each document. Blocks and partitions exchange packed arrays of hashes and counts instead of a row for each
-n-gram, so the texts move once and an n-gram moves once for each block that holds it: a frequent one is no hot key.
+Relationally: the n-grams of all documents are rows, one for each distinct n-gram of a block of documents; the count table, a
+sum by the n-gram's hash, is joined to them; what comes back to a block gives the scores of the words, which are summed for each
+document. N-grams that one document alone holds are left out of the count table: for that document they are unseen. Blocks only
+keep rows few (an n-gram is one row for each block that holds it); their number changes nothing else.
 
 A word that follows others scores count(n-gram) / count(history) for the longest n-gram that other documents hold, times
 ``backoff`` for each word of history given up; one that no other document holds scores as if seen half a time. The
@@ -16,7 +16,6 @@ count for each other; rows equal in id and text share a block. Other columns are
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,35 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.textops import Hashes, chunks, mix
-
-_BITS = 56
-_ALL = np.uint64(0)
+from tallyspark.llm.runs import every_run
+from tallyspark.llm.shared import give_back
+from tallyspark.llm.textops import Hashes, chunks, find, mix
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``order`` of the longest n-gram, ``block_bytes`` of text in a block (a hash partition covers as much)."""
+    """``order`` of the longest n-gram, ``block_bytes`` of text in a block, about."""
 
     order: int = 3
     backoff: float = 0.4
     block_bytes: int = 8 << 20
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Numbers as their lowest bytes, as few as the largest needs."""
-    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
-    return bytes([width]) + numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
-    return out.view("<u8").ravel()
-
-
 @dataclass
 class Grams:
     """Hashes of the n-grams of a block: for each order the document and the hash at every word, in word order. ``fits``
@@ -80,21 +64,30 @@ def grams(texts: pa.Array | pa.ChunkedArray, order: int) -> Grams:
         for k in range(n):
             value[n - 1 :] = mix(value[n - 1 :] + word[k : len(word) - n + 1 + k], k + 1)
         fits.append(fit)
-        hashes.append(np.maximum(mix(value, 40 + n) >> np.uint64(64 - _BITS), np.uint64(1)))
+        hashes.append(mix(value, 40 + n))
     return Grams(row, fits, hashes)
 
 
-def _distinct(found: Grams) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Sorted distinct hashes, their counts, and the place of each word's n-gram; the first stands for all words."""
-    parts = [h[f] for f, h in zip(found.fits, found.hashes)]
-    keys, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+def _distinct(found: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sorted distinct hashes, how often and in how many documents they occur, and for each order the place of the n-gram
+    at every word, from 1; 0 stands for none."""
+    values = np.concatenate([h[f] for f, h in zip(found.fits, found.hashes)])
+    rows = np.concatenate([found.rows[f] for f in found.fits])
+    keys, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
+    own = np.unique(inverse * (int(rows.max()) + 1 if len(rows) else 1) + rows)
+    documents = np.bincount(own // (int(rows.max()) + 1 if len(rows) else 1), minlength=len(keys))
     places, at = [], 0
-    for fit, part in zip(found.fits, parts):
+    for fit in found.fits:
         place = np.zeros(len(fit), np.int64)
-        place[fit] = inverse[at : at + len(part)] + 1
-        at += len(part)
+        size = int(fit.sum())
+        place[fit] = inverse[at : at + size] + 1
+        at += size
         places.append(place)
-    return np.append(_ALL, keys), np.append(len(found.rows), counts), places
+    return keys, counts, documents, places
+
+
+_COUNTED = "block int, gram long, times long, documents long"
+_SCORES = "doc_id long, n_words long, log_score double, mean_log_score double"
 
 
 def score(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -102,54 +95,39 @@ def score(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // settings.block_bytes))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    dealt = documents.select("doc_id", "text", block.alias("block")).groupBy("block")
-    # partition k has the hashes from cuts[k] on
-    cuts = np.array([(k << _BITS) // blocks for k in range(blocks)], np.uint64)
-
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        keys, counts, _ = _distinct(grams(table.column("text"), settings.order))
-        bounds = np.append(np.searchsorted(keys, cuts), len(keys))
-        rows = [
-            (k, _packed(np.diff(keys[a:b], prepend=np.uint64(0))), zlib.compress(_packed(counts[a:b].astype(np.uint64)), 1))
-            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
-            if b > a
-        ]
-        parts, hashes, times = zip(*rows)
-        return pa.table({"part": pa.array(parts, pa.int32()), "asking": pa.array([key[0].as_py()] * len(rows), pa.int32()),
-                         "hashes": pa.array(hashes, pa.binary()), "times": pa.array(times, pa.binary())})
-
-    def answer(key: tuple, table: pa.Table) -> pa.Table:
-        lists = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
-        times = np.concatenate([_unpacked(zlib.decompress(x)) for x in table.column("times").to_pylist()])
-        _, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-        counts = np.bincount(inverse, times).astype(np.uint64)[inverse]
-        parts = np.split(counts, np.cumsum([len(x) for x in lists])[:-1])
-        answers = [zlib.compress(_packed(x), 1) for x in parts]
-        return pa.table({"block": table.column("asking"), "part": table.column("part"), "counts": pa.array(answers, pa.binary())})
+    dealt = documents.select("doc_id", "text", block.alias("block"))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in every_run(batches, ["block"]):
+            keys, counts, holding, _ = _distinct(grams(table.column("text"), settings.order))
+            number = np.full(len(keys), table.column("block")[0].as_py(), np.int32)
+            for start in range(0, len(keys), 1 << 16):
+                part = slice(start, start + (1 << 16))
+                columns = (number[part], keys[part].view(np.int64), counts[part], holding[part])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "gram", "times", "documents"])
+        give_back()
 
     def add_up(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, types)})
         found = grams(texts.column("text"), settings.order)
-        keys, _, places = _distinct(found)
-        answers = answers.sort_by("part")
-        counts = np.concatenate([_unpacked(zlib.decompress(x)) for x in answers.column("counts").to_pylist()]).astype(np.float64)
-        if len(counts) != len(keys):
-            raise ValueError("the counts that came back are not those of the block")
-        logs = _logs(found, places, counts, settings)
+        keys, _, _, places = _distinct(found)
+        counts = np.zeros(len(keys) + 1)
+        counts[0] = words
+        counts[find(keys, np.asarray(answers.column("gram")).view(np.uint64)) + 1] = np.asarray(answers.column("times"))
         n = np.bincount(found.rows, minlength=texts.num_rows)
-        sums = np.bincount(found.rows, logs, texts.num_rows)
+        sums = np.bincount(found.rows, _logs(found, places, counts, settings), texts.num_rows)
         mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(sums), "mean_log_score": mean})
 
-    names, types = ["doc_id", "n_words", "log_score", "mean_log_score"], [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    asked = dealt.applyInArrow(ask, "part int, asking int, hashes binary, times binary")
-    answered = asked.groupBy("part").applyInArrow(answer, "block int, part int, counts binary")
-    return dealt.cogroup(answered.groupBy("block")).applyInArrow(add_up, "doc_id long, n_words long, log_score double, mean_log_score double")
+    words = documents.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
+    # a partition has about a block, and its rows come block by block
+    exploded = dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(explode, _COUNTED)
+    table = exploded.groupBy("gram").agg(F.sum("times").alias("times"), F.sum("documents").alias("documents")).where("documents > 1")
+    answers = exploded.select("block", "gram").join(table.select("gram", "times"), "gram")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, _SCORES)
 
 
 def _logs(found: Grams, places: list[np.ndarray], counts: np.ndarray, settings: Settings) -> np.ndarray:
-    """The logarithm of the score of every word."""
+    """The logarithm of the score of every word; ``counts`` of all words stand at 0, those of n-grams at their places."""
     rest, fits = [], []
     for fit, place in zip(found.fits, places):
         own = np.zeros(len(place))

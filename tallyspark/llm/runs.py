@@ -9,7 +9,12 @@ import pyarrow as pa
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Neighbouring rows with equal keys, for runs of two rows or more. The rows must come sorted by the keys; only the
+    """Those of :func:`every_run` that have two rows or more."""
+    return every_run(batches, keys, 2)
+
+
+def every_run(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
+    """Neighbouring rows with equal keys, for runs of at least ``least`` rows. The rows must come sorted by the keys; only the
     run at hand is held."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -26,16 +31,16 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             held.append(batch)
             continue
         head = batch.slice(0, int(starts[0]))
-        yield from _whole([*held, head] if head.num_rows else held)
+        yield from _whole([*held, head] if head.num_rows else held, least)
         for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            if end - start > 1:
+            if end - start >= least:
                 yield pa.Table.from_batches([batch.slice(start, end - start)])
         held = [batch.slice(int(starts[-1]))]
-    yield from _whole(held)
+    yield from _whole(held, least)
 
 
-def _whole(parts: list[pa.RecordBatch]) -> Iterator[pa.Table]:
-    if sum(p.num_rows for p in parts) > 1:
+def _whole(parts: list[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    if sum(p.num_rows for p in parts) >= least:
         yield pa.Table.from_batches(parts)
 
 
