@@ -2,7 +2,8 @@
 
 Words are the longest stretches without space, tab, line feed, vertical tab, form feed and carriage return. A null
 text has no words; texts without words fail the base rules. Every row is judged by its own text alone: repeated rows
-are judged alike, other columns are not looked at, an empty table gives an empty result.
+are judged alike, other columns are not looked at, an empty table gives an empty result. A text is never
+rejected for being long; a very long one is held whole by its task.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ class Rule:
 
 
 RULES = [
-    Rule("words", "n_words", low=50, high=200_000),
+    Rule("words", "n_words", low=50),
     Rule("word_length", "word_chars", "n_words", low=2.0, high=14.0),
     Rule("symbols", "n_symbols", "n_words", high=0.1),
     Rule("stop_words", "n_stop_words", "n_words", low=0.04),

@@ -141,7 +141,7 @@ ORACLES: dict[str, str] = {
                      len(list_filter(w, lambda x: ends_with(x, '!!')))::BIGINT AS n_marked_words
               FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
         b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-        SELECT *, NOT base_failed AND n_words <= 200000 AND word_chars / n_words BETWEEN 2 AND 14 AND n_symbols / n_words <= 0.1
+        SELECT *, NOT base_failed AND word_chars / n_words BETWEEN 2 AND 14 AND n_symbols / n_words <= 0.1
                   AND n_stop_words / n_words >= 0.04 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND n_marked_words / n_words <= 0.3 AS kept
         FROM b""",
     "op8_near_copies": f"""
