@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.textops import Chunk, Hashes, chunks, find, letters, lower
@@ -26,7 +26,9 @@ WORD, LONGEST = 0, 4
 @dataclass(frozen=True)
 class Settings:
     """``sample_rows`` bounds the rows that are learned from, taken by the hash of the id; ``max_terms`` bounds the
-    words and n-grams of the model, the most frequent first; terms seen less than ``min_count`` times are left out."""
+    words and n-grams of the model. Every language has an equal share of it for words and for n-grams of each length, the most
+    frequent of its own first, so that a language with few rows keeps as many as one with most. Terms seen less than
+    ``min_count`` times are left out."""
 
     sample_rows: int = 20_000
     max_terms: int = 1 << 19
@@ -106,7 +108,7 @@ class Model:
 
 def train(documents: DataFrame, learn: Column, settings: Settings = Settings()) -> Model:
     """Learn from rows with a language for which ``learn`` holds. Words and n-grams are counted on the executors; the
-    driver gets at most ``max_terms`` words and as many n-grams."""
+    driver gets at most ``max_terms`` words and n-grams together."""
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
     order = F.xxhash64("doc_id")
     cut = usable.select(order.alias("h")).orderBy("h").limit(settings.sample_rows).agg(F.max("h")).first()[0]
@@ -137,15 +139,19 @@ def train(documents: DataFrame, learn: Column, settings: Settings = Settings())
                             ["lang", "n", "key", "times"],
                         )
 
+    sample = usable.where(order <= cut)
+    share = max(1, settings.max_terms // ((LONGEST + 1) * sample.select("lang").distinct().count()))
+    of_language = Window.partitionBy("lang", "n").orderBy(F.desc("times"), "key")  # terms of the sample
     table = (
-        usable.where(order <= cut).select("lang", "text")
+        sample.select("lang", "text")
         .mapInArrow(count, "lang string, n int, key long, times long")
         .groupBy("lang", "n", "key").agg(F.sum("times").alias("times"))
+        .withColumn("place", F.row_number().over(of_language))
         .groupBy("n", "key").agg(
-            F.sum("times").alias("all"), F.collect_list("lang").alias("l"), F.collect_list("times").alias("t")
+            F.sum("times").alias("all"), F.min("place").alias("place"), F.collect_list("lang").alias("l"), F.collect_list("times").alias("t")
         )  # one entry for each language
-        .where(F.col("all") >= settings.min_count)
-        .orderBy(F.desc("all"), "n", "key").limit(settings.max_terms)
+        .where((F.col("all") >= settings.min_count) & (F.col("place") <= share))
+        .orderBy("n", "key")
     ).toArrow()
     ns, hashes = table.column("n").to_numpy(), table.column("key").to_numpy().view(np.uint64)
     langs, times = table.column("l").combine_chunks(), np.asarray(table.column("t").combine_chunks().flatten(), float)
@@ -170,7 +176,7 @@ def train(documents: DataFrame, learn: Column, settings: Settings = Settings())
 
 def predict(text: Column, model: Model, documents: DataFrame) -> Column:
     """A struct of ``lang_pred`` and ``score``."""
-    held = documents.sparkSession.sparkContext.broadcast(model)  # at most 2 * max_terms rows of numbers
+    held = documents.sparkSession.sparkContext.broadcast(model)  # at most max_terms rows of numbers
 
     @F.arrow_udf("lang_pred string, score double")
     def language(texts: pa.Array) -> pa.Array:

@@ -111,11 +111,26 @@ def test_quality_rules_odd_rows(odd, empty):
     assert quality_rules.keep(odd).columns == odd.columns and quality_rules.judge(empty).count() == 0
 
 
-def test_quality_rules_at_the_bound_of_words(spark):
-    clean = [w for k in range(100_000) for w in ("the", f"word{k}")]
-    docs = spark.createDataFrame([(1, " ".join(clean)), (2, " ".join([*clean, "more"]))], "doc_id long, text string")
-    rows = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
-    assert rows[1].n_words == 200_000 and rows[1].kept and rows[2].n_words == 200_001 and not rows[2].kept
+def test_quality_rules_keep_long_texts(spark):
+    clean = " ".join(w for k in range(130_000) for w in ("the", f"word{k}"))
+    row = quality_rules.judge(spark.createDataFrame([(1, clean)], "doc_id long, text string")).first()
+    assert row.n_words == 260_000 and row.kept
+
+
+def test_language_with_few_rows_keeps_its_terms(spark):
+    rng = random.Random(8)
+    large = [(i, "big", " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(300))) for i in range(300)]
+    small = [(1000 + i, "small", "zuzu zaza zuza wywy wawy zuzu") for i in range(4)]
+    docs = spark.createDataFrame(large + small, "doc_id long, lang string, text string")
+    model = language_id.train(docs, F.lit(True), language_id.Settings(max_terms=1000))
+    assert sum(len(k) for k in model.keys) <= 1000
+    places = [(i, w) for i, w in enumerate(["zuzu", "wywy", "zuza wawy"])]
+    asked = spark.createDataFrame(places, "doc_id long, text string")
+    found = [r.p.lang_pred for r in asked.select(language_id.predict(F.col("text"), model, asked).alias("p")).collect()]
+    assert found == ["small"] * 3
+    column = model.languages.index("small")
+    words = np.exp(model.logs[language_id.WORD][:, column])
+    assert (words > words.min() * 5).sum() >= 5  # its own five words are known as words
 
 
 def test_pieces_equal_the_library():
