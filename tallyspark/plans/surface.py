@@ -12,7 +12,7 @@ from tallyspark.plans import roles
 from tallyspark.plans.registry import query
 from tallyspark.plans.roles import CONTRACTS, SEGMENTED, TRANSACTIONS, ledger, table, transactions
 from tallyspark.session import work_dir
-from tallyspark.sources import files, quarantine, results, tables
+from tallyspark.sources import files, quarantine, results, summaries, tables
 from tallyspark.streaming.landing import ingest_landing
 
 # -- sources and sinks -------------------------------------------------------------------------
@@ -544,3 +544,27 @@ def crosscheck_revenue(spark: SparkSession, folder: str) -> DataFrame:
         "ok",
         series.within_range(share, 0.0, 1.0).alias("share_in_range"),
     )
+
+
+# The numeric columns of the given tables.
+_NUMBERS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
+    "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"], "events": ["event_id", "user_id", "value"], "orders": ["o_orderkey", "o_custkey"],
+    "documents": ["doc_id", "n_chars"], "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"],
+    "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn"],
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, 1::BIGINT AS files, COUNT(*) AS rows, COUNT(*) - COUNT({c}) AS missing, COUNT({c}) AS numbers, "
+        f"ROUND(MIN({c})::DOUBLE, 3) AS low, ROUND(MAX({c})::DOUBLE, 3) AS high, ROUND(AVG({c}), 3) AS mean, ROUND(STDDEV_SAMP({c}), 3) AS std_dev FROM {t}"
+        for t, columns in _NUMBERS.items()
+        for c in columns
+    )
+)
+def catalogue_of_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of the columns of a folder's tables, merged from summaries of each file."""
+    found = summaries.catalogue_statistics(summaries.refresh(spark, folder, work_dir(spark, "summaries")))
+    named = F.concat_ws(".", "table_name", "column_name").isin([f"{t}.{c}" for t, columns in _NUMBERS.items() for c in columns])
+    return found.filter(named).select("table_name", "column_name", "files", "rows", "missing", "numbers", "low", "high", "mean", "std_dev")

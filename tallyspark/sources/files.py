@@ -28,6 +28,18 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in _fs(spark, path).listStatus(_path(spark, path)))
 
 
+def data_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, size, time of change) of a file, or of every data file under a directory."""
+    status = _fs(spark, path).getFileStatus(_path(spark, path))
+    if not status.isDirectory():
+        return [(status.getPath().toString(), status.getLen(), status.getModificationTime())]
+    found = []
+    for child in _fs(spark, path).listStatus(_path(spark, path)):
+        if not child.getPath().getName().startswith(("_", ".")):
+            found += data_files(spark, child.getPath().toString())
+    return found
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Create a small text file; fails when it is already there."""
     out = _fs(spark, path).create(_path(spark, path), False)
