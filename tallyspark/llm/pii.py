@@ -1,7 +1,7 @@
 """Personal data: four base kinds by pattern, and more by contexts that the base finds teach.
 
-Bootstrapping: the finds of the base kinds are seeds. The words around every identifier-like word (one with a digit)
-are a lexical pattern. Patterns and instances form a graph: a pattern is trusted by the share of its instances that
+Bootstrapping: the finds of the base kinds are seeds. The words around every identifier-like word (one with a digit; words
+without are no candidates, as any word of a text would be one) are a lexical pattern. Patterns and instances form a graph: a pattern is trusted by the share of its instances that
 are trusted for its kind, an instance by the trust of its patterns; Spark repeats both steps. Patterns that stay above
 the threshold with enough different instances name the kind of identifiers the base patterns do not match.
 
@@ -31,7 +31,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _IDENTIFIER = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+")
 _EDGES = "\"'()[]{}<>,;:.!?"
-_NEAR = 80
+_SPACES = frozenset("\x20\t\n\v\f\r")
 
 
 @dataclass(frozen=True)
@@ -78,16 +78,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _word(text: str, place: int, step: int) -> str:
+    """The next word from ``place`` on in the direction of ``step``, however far and long; only this stretch is looked at."""
+    ends = len(text) if step > 0 else -1
+    first = place
+    while first != ends and text[first] in _SPACES:
+        first += step
+    last = first
+    while last != ends and text[last] not in _SPACES:
+        last += step
+    return (text[first:last] if step > 0 else text[last + 1 : first + 1]).lower()
+
+
 def _context(text: str, start: int, end: int) -> tuple[str, str]:
-    """The word before and the word after, lower-case; words are sought within a short distance."""
-    before = text[max(0, start - _NEAR) : start].split()
-    after = text[end : end + _NEAR].split(None, 1)
-    return (before[-1].lower() if before else ""), (after[0].lower() if after else "")
+    """The word before and the word after, lower-case."""
+    return _word(text, start - 1, -1), _word(text, end, 1)
 
 
 def _candidates(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, str, str, int, int]]:
     """Kind ('' if unknown), pattern, instance, start and end of every identifier in its context. A pattern is the word
-    before it, or the word before and the one after it."""
+    before it, the word after it, or both."""
     items = [*spans]
     taken = sorted((s, e) for _, s, e in spans)
     k = 0
@@ -104,6 +114,9 @@ def _candidates(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[
             before, after = _context(text, start, end)
             if before:
                 yield kind, f"{before} *", text[start:end], start, end
+            if after:
+                yield kind, f"* {after}", text[start:end], start, end
+            if before and after:
                 yield kind, f"{before} * {after}", text[start:end], start, end
 
 

@@ -382,3 +382,21 @@ def test_connect_loses_no_link_and_spares_what_is_connected(spark):
     # all pairs of 20 blocks would deal each of the 200 members 19 times
     assert dealt[0] == 200 + 4 * 19 + 2 and sum(dealt) < 200 * 19
     assert connect_members(members.limit(0), "key", 10, compare).count() == 0
+
+
+def test_pii_contexts_are_whole_words_on_either_side():
+    far = " " * 500
+    word = "w" * 300
+    assert pii._context(f"{word}{far}id7{far}{word} x", 800, 803) == (word, word)
+    assert pii._context("id7 after", 0, 3) == ("", "after") and pii._context("before id7", 7, 10) == ("before", "")
+    assert [p for _, p, *_ in pii._candidates("id7 after", [])] == ["* after"]
+    assert [p for _, p, *_ in pii._candidates("a id7 z", [])] == ["a *", "* z", "a * z"]
+
+
+def test_pii_learns_from_the_word_after(spark):
+    rng = random.Random(2)
+    seeds = [(i, f"{rng.choice('abcdefgh')}{i} u{i}@mail.com verified filler") for i in range(40)]
+    unseen = [(100 + i, f"{rng.choice('abcdefgh')}{i} user{i}77 verified filler") for i in range(3)]
+    docs = spark.createDataFrame(seeds + unseen, "doc_id long, text string")
+    found = {r.doc_id: {s.kind for s in r.spans} for r in pii.find(docs).collect()}
+    assert all(len(found[100 + i]) >= 1 for i in range(3))
