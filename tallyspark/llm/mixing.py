@@ -32,7 +32,7 @@ SHARD = 1 << 18
 TOGETHER = 64
 BLOCK = 64
 SEED = 11
-#: Half the widest gap between a share and its seats that the divisor can open, beyond what the number of parties explains.
+#: Seats that compete on either side beyond those that the number of parties explains: halves, roundings and full parties.
 _SLACK = 2
 
 
