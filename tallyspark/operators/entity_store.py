@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from tallyspark.functions.safe import rounded
 from tallyspark.operators.hot_keys import keep_known
-from tallyspark.operators.text_index import containing, postings
+from tallyspark.operators.text_index import WRITTEN, containing, postings
 from tallyspark.sources import files
 from tallyspark.sources.versioned import VersionedDataset
 
@@ -267,7 +267,14 @@ class EntityStore:
         """Write a new version of the store under ``path``, with an index of its texts if wanted; earlier versions stay readable."""
         dataset = VersionedDataset(self.entities.sparkSession, path)
         parts = {"entities": self.entities, "observations": self.observations, "relations": self.relations}
-        return dataset.write(parts | ({"postings": postings(self._texts())} if index else {}))
+        if not index:
+            return dataset.write(parts)
+
+        def indexed(version: str) -> DataFrame:
+            """The texts just written, so that the store is not computed again."""
+            return postings(EntityStore(*[dataset.read(version, part) for part in parts])._texts())
+
+        return dataset.write(parts | {"postings": indexed}, options={p: {"compression": "zstd"} for p in parts} | {"postings": WRITTEN})
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> EntityStore:

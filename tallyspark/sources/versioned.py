@@ -31,15 +31,23 @@ class VersionedDataset:
                 return version
         return None
 
-    def write(self, parts: dict[str, DataFrame], check: Callable[[str], None] | None = None) -> str:
+    def write(
+        self,
+        parts: dict[str, DataFrame | Callable[[str], DataFrame]],
+        check: Callable[[str], None] | None = None,
+        options: dict[str, dict[str, str]] | None = None,
+    ) -> str:
         """Write all parts as the next version. Two writers racing for one version: the second fails.
 
-        ``check`` looks at the version before it comes into force; if it raises, the old version stays.
+        A part may be a function of the version, which reads parts written before it; ``options`` are those of the
+        writer, by part. ``check`` looks at the version before it comes into force; if it raises, the old version stays.
         """
         taken = self.versions()
         version = f"v{(int(taken[-1][1:]) if taken else 0) + 1:08d}"
-        for part, df in parts.items():
-            df.write.mode("errorifexists").parquet(f"{self.path}/{version}/{part}")
+        for part, made in parts.items():
+            df = made(version) if callable(made) else made
+            writer = df.write.mode("errorifexists").options(**(options or {}).get(part, {}))
+            writer.parquet(f"{self.path}/{version}/{part}")
         if check is not None:
             check(version)
         files.write_text(self.spark, f"{self.path}/{version}/{COMPLETE}", "")

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators.entity_store import EntityStore
+from tallyspark.operators.text_index import containing, postings
 from tallyspark.session import work_dir
 from tests.conftest import rows
 
@@ -207,3 +209,34 @@ def test_indexed_search_equals_the_scan(spark, tmp_path):
     changed = indexed.add_observations(spark.createDataFrame([("e2", "zebra")], "entity string, observation string"))
     assert changed.postings is None and [r["name"] for r in changed.matching_names("zebra").collect()] == ["e2"]
     assert indexed.search("banana").relations.count() == 1
+
+
+def test_an_index_has_a_row_for_a_trigram_not_for_a_place(spark, tmp_path):
+    """A store of 480,000 characters of few kinds; its index needs no shuffle and about two bytes a character."""
+    rng = random.Random(5)
+    notes = [(f"e{i % 40}", "".join(rng.choices("abcdefgh ", k=2000))) for i in range(240)]
+    store = make(spark, [(f"e{i}", "kind") for i in range(40)], notes, [])
+    index = postings(store._texts())
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    assert index.count() < 40_000
+    version = store.save(str(tmp_path / "store"), index=True)
+    written = sum(p.stat().st_size for p in (tmp_path / "store" / version / "postings").glob("*.parquet"))
+    assert written < 2.5 * 480_000
+    for phrase in ("abc", "h", " a", "bcdefa", notes[7][1][990:1010]):
+        found = EntityStore.load(spark, str(tmp_path / "store")).matching_names(phrase, "exact_phrase").collect()
+        assert {r["name"] for r in found} == {e for e, t in notes if phrase.strip() in t}, phrase
+
+
+def test_texts_longer_than_what_is_sorted_together(spark):
+    """Cuts inside texts lose no phrase; more kinds of characters than fit one number with the place; ends of texts match nothing."""
+    wide = "".join(map(chr, [*range(0x4E00, 0xA000), *range(0xAC00, 0xD7A4), *range(0x20000, 0x2A6E0)]))
+    texts = [("long", "0123456789" * 30 + "end"), ("short", "9"), ("short", "end\0"), ("wide", wide), (None, "nobody"), ("end", "end"), ("none", None)]
+    frame = spark.createDataFrame(texts, "name string, text string").coalesce(1)
+    phrases = ["8901234567890123", "9e", "9end", "end\0", "end\0\0", "d", "9", "90", "nobody", wide[40_000:40_010], "\0", "zz"]
+    want = sorted({(str(name), k) for name, t in texts for k, p in enumerate(phrases) if t is not None and p in t})
+    for chunk in (7, 1000, 1 << 23):
+        if chunk == 7:
+            some = frame.filter("name IS NULL OR name != 'wide'")
+            assert sorted((str(r["name"]), r["phrase"]) for r in containing(postings(some, chunk), phrases).collect()) == [w for w in want if w[0] != "wide"]
+        else:
+            assert sorted((str(r["name"]), r["phrase"]) for r in containing(postings(frame, chunk), phrases).collect()) == want, chunk
