@@ -1,9 +1,10 @@
 """Stupid-backoff language-model scores of documents, against counts over the whole corpus.
 
 Relationally: the n-grams of all documents are rows, one for each distinct n-gram of a block of documents; the count table, a
-sum by the n-gram's hash, is joined to them; what comes back to a block gives the scores of the words, which are summed for each
-document. N-grams that one document alone holds are left out of the count table: for that document they are unseen. Blocks only
-keep rows few (an n-gram is one row for each block that holds it); their number changes nothing else.
+sum by the n-gram's hash, is joined to them as a window over the hash, so that they are moved once for both; what comes back to a
+block gives the scores of the words, which are summed for each document. N-grams that one document alone holds are left out of the
+count table: for that document they are unseen. Blocks only keep rows few (an n-gram is one row for each block that holds it); their
+number changes nothing else.
 
 A word that follows others scores count(n-gram) / count(history) for the longest n-gram that other documents hold, times
 ``backoff`` for each word of history given up; one that no other document holds scores as if seen half a time. The
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tallyspark.llm.runs import every_run
 from tallyspark.llm.shared import give_back
@@ -74,8 +76,9 @@ def _distinct(found: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np
     values = np.concatenate([h[f] for f, h in zip(found.fits, found.hashes)])
     rows = np.concatenate([found.rows[f] for f in found.fits])
     keys, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
-    own = np.unique(inverse * (int(rows.max()) + 1 if len(rows) else 1) + rows)
-    documents = np.bincount(own // (int(rows.max()) + 1 if len(rows) else 1), minlength=len(keys))
+    n = int(rows.max()) + 1 if len(rows) else 1
+    own = np.sort(inverse * n + rows)  # np.unique would hash them, which takes many times as long
+    documents = np.bincount(own[np.diff(own, prepend=-1) > 0] // n, minlength=len(keys))
     places, at = [], 0
     for fit in found.fits:
         place = np.zeros(len(fit), np.int64)
@@ -95,7 +98,8 @@ def score(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // settings.block_bytes))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    dealt = documents.select("doc_id", "text", block.alias("block"))
+    # a partition has about a block; both reads of the texts are of one exchange
+    dealt = documents.select("doc_id", "text", block.alias("block")).repartition(blocks, "block")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in every_run(batches, ["block"]):
@@ -119,10 +123,10 @@ def score(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(sums), "mean_log_score": mean})
 
     words = documents.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
-    # a partition has about a block, and its rows come block by block
-    exploded = dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(explode, _COUNTED)
-    table = exploded.groupBy("gram").agg(F.sum("times").alias("times"), F.sum("documents").alias("documents")).where("documents > 1")
-    answers = exploded.select("block", "gram").join(table.select("gram", "times"), "gram")
+    exploded = dealt.sortWithinPartitions("block").mapInArrow(explode, _COUNTED)
+    every = W.partitionBy("gram")
+    counted = exploded.select("block", "gram", F.sum("times").over(every).alias("times"), F.sum("documents").over(every).alias("documents"))
+    answers = counted.where("documents > 1").select("block", "gram", "times")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, _SCORES)
 
 

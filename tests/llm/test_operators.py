@@ -354,6 +354,16 @@ def test_backoff_uses_three_words_as_registered(spark):
     assert math.isclose(found[1], math.log(1 / 6)) and math.isclose(found[2], math.log(1 / 6))
 
 
+def test_backoff_moves_texts_and_ngrams_once(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "x b d")], "doc_id long, text string")
+    scored = backoff_lm.score(docs, backoff_lm.Settings(block_bytes=8))
+    scored.collect()
+    plan = scored._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [line for line in plan.splitlines() if re.search(r"- Exchange |ReusedExchange", line)]
+    # texts, read twice; n-grams, for the count table and its join together; answers
+    assert sum("ReusedExchange" in line for line in moved) == 1 and len(moved) == 4, plan
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1001), (5, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
