@@ -1,34 +1,46 @@
 """Stupid-backoff language-model scores of documents, against counts over the whole corpus.
 
-Relationally: the n-grams of all documents are rows, one for each distinct n-gram of a block of documents; the count table, a
-sum by the n-gram's hash, is joined to them as a window over the hash, so that they are moved once for both; what comes back to a
-block gives the scores of the words, which are summed for each document. N-grams that one document alone holds are left out of the
-count table: for that document they are unseen. Blocks only keep rows few (an n-gram is one row for each block that holds it); their
+The distinct n-grams of a block of documents go, with how often they occur there, to the slice of hashes they belong to. A slice sums
+them to its part of the count table and joins that to them; for each n-gram of a block that several documents hold, a row of block,
+place among the block's sorted hashes and count comes back. N-grams that one document alone holds are left out: for that document they
+are unseen. The block gives the scores of its words, which are summed for each document. Blocks are neighbouring documents; their
 number changes nothing else.
 
+Between tasks n-grams travel together: those of a block in one of ``_SLICES`` slices as ascending differences, with the counts above one
+beside them, and answers as differences of places and counts. Spark deals and sorts slices and blocks; only the sums over a slice are
+numpy. A block sends as many messages as there are slices, however many blocks there are.
+
 A word that follows others scores count(n-gram) / count(history) for the longest n-gram that other documents hold, times
 ``backoff`` for each word of history given up; one that no other document holds scores as if seen half a time. The
 document's own counts are left out, so that a text is scored by the rest of the corpus.
 
 Words are the longest stretches without space or control from tab to carriage return, A-Z lowered. Defined cases: a text
 that is null or without words has no n-grams, 0 as sum, and null as mean. Repeated rows are documents of their own and
-count for each other; rows equal in id and text share a block. Other columns are not read.
+count for each other. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tallyspark.llm.runs import every_run
+from tallyspark.llm.runs import whole_runs
 from tallyspark.llm.shared import give_back
-from tallyspark.llm.textops import Hashes, chunks, find, mix
+from tallyspark.llm.textops import Hashes, chunks, mix
+
+#: Bits of a hash: a long that is not negative.
+_BITS = 63
+#: Slices of the hashes, a power of two; the rows of one are sorted together.
+_SLICES = 4096
+_SLICE_BITS = np.uint64(_BITS - _SLICES.bit_length() + 1)
 
 
 @dataclass(frozen=True)
@@ -66,19 +78,27 @@ def grams(texts: pa.Array | pa.ChunkedArray, order: int) -> Grams:
         for k in range(n):
             value[n - 1 :] = mix(value[n - 1 :] + word[k : len(word) - n + 1 + k], k + 1)
         fits.append(fit)
-        hashes.append(mix(value, 40 + n))
+        hashes.append(mix(value, 40 + n) >> np.uint64(64 - _BITS))
     return Grams(row, fits, hashes)
 
 
-def _distinct(found: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Sorted distinct hashes, how often and in how many documents they occur, and for each order the place of the n-gram
-    at every word, from 1; 0 stands for none."""
+def _distinct(found: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, how often they occur, and whether in several documents."""
     values = np.concatenate([h[f] for f, h in zip(found.fits, found.hashes)])
-    rows = np.concatenate([found.rows[f] for f in found.fits])
-    keys, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
-    n = int(rows.max()) + 1 if len(rows) else 1
-    own = np.sort(inverse * n + rows)  # np.unique would hash them, which takes many times as long
-    documents = np.bincount(own[np.diff(own, prepend=-1) > 0] // n, minlength=len(keys))
+    rows = np.concatenate([found.rows[f].astype(np.int32) for f in found.fits])
+    if not len(values):
+        return values, np.zeros(0, np.int64), np.zeros(0, bool)
+    order = np.argsort(values)
+    values, rows = values[order], rows[order]
+    del order
+    firsts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    several = np.minimum.reduceat(rows, firsts) != np.maximum.reduceat(rows, firsts)
+    return values[firsts], np.diff(np.append(firsts, len(values))), several
+
+
+def _places(found: Grams) -> tuple[int, list[np.ndarray]]:
+    """Number of distinct hashes, and for each order the place of the n-gram at every word among them sorted, from 1; 0 stands for none."""
+    keys, inverse = np.unique(np.concatenate([h[f] for f, h in zip(found.fits, found.hashes)]), return_inverse=True)
     places, at = [], 0
     for fit in found.fits:
         place = np.zeros(len(fit), np.int64)
@@ -86,47 +106,204 @@ def _distinct(found: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np
         place[fit] = inverse[at : at + size] + 1
         at += size
         places.append(place)
-    return keys, counts, documents, places
+    return len(keys), places
+
+
+def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values in seven bits a byte, the lowest first, and where each begins; the last is the end."""
+    values = values.astype(np.uint64)
+    sizes = np.ones(len(values), np.int64)
+    for bits in range(7, 63, 7):
+        sizes += values >= np.uint64(1 << bits)
+    starts = np.append(0, np.cumsum(sizes))
+    out = np.zeros(int(starts[-1]), np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        some = sizes > k
+        part = (values[some] >> np.uint64(7 * k)) & np.uint64(127)
+        out[starts[:-1][some] + k] = part + np.uint64(128) * (sizes[some] > k + 1)
+    return out, starts
+
 
+def _from_varints(data: np.ndarray) -> np.ndarray:
+    last = np.flatnonzero(data < 128)
+    starts = np.append(0, last[:-1] + 1)[: len(last)]
+    values, sizes = np.zeros(len(last), np.uint64), last - starts + 1
+    for k in range(int(sizes.max(initial=0))):
+        some = sizes > k
+        values[some] |= (data[starts[some] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
+    return values.astype(np.int64)
 
-_COUNTED = "block int, gram long, times long, documents long"
+
+def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The stretches between the bounds as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+
+
+_BLOCKS = "block long, texts binary"
+_MESSAGES = "slice int, block long, first int, width int, low binary, top binary, more binary"
+_COUNTED = "block long, place int, times long"
+_ANSWERS = "block long, answers binary"
 _SCORES = "doc_id long, n_words long, log_score double, mean_log_score double"
 
 
+def _block(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as stream:
+        stream.write_table(pa.Table.from_batches(held).combine_chunks())
+    texts = sink.getvalue().to_pybytes()
+    # named by what it holds, too: if a lost block came back with other rows, answers would find no block of their name
+    name = hashlib.blake2b(texts, digest_size=8, salt=f"{TaskContext.get().partitionId()}:{number}".encode())
+    return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(name.digest(), "big", signed=True)], pa.int64()), pa.array([texts], pa.binary())], ["block", "texts"])
+
+
+def _texts(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
+def _messages(block: int, keys: np.ndarray, counts: np.ndarray, several: np.ndarray) -> pa.RecordBatch:
+    """The distinct n-grams of a block, a row for each slice that has some."""
+    slices = keys >> _SLICE_BITS
+    firsts = np.flatnonzero(np.concatenate([[True], slices[1:] != slices[:-1]]))
+    gaps = np.diff(keys, prepend=keys[:1])
+    gaps[firsts] = keys[firsts] - (slices[firsts] << _SLICE_BITS)
+    more = counts > 1
+    values = gaps << np.uint64(1) | more
+    width = max(2, -(-int(values.max()).bit_length() // 8))
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    bounds = np.append(firsts, len(keys))
+    tops = np.ascontiguousarray(planes[:, width - 1])
+    packed = [pa.compress(tops[a:b], "zstd", asbytes=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    others, starts = _varints(2 * counts[more] + several[more])
+    n = len(firsts)
+    columns = [
+        pa.array(slices[firsts].astype(np.int32)), pa.array(np.full(n, block, np.int64)), pa.array(firsts.astype(np.int32)), pa.array(np.full(n, width, np.int32)),
+        _binary(np.ascontiguousarray(planes[:, : width - 1]), bounds * (width - 1)), pa.array(packed, pa.binary()), _binary(others, starts[np.append(0, np.cumsum(more))[bounds]]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["slice", "block", "first", "width", "low", "top", "more"])
+
+
+def _unpacked(slices: pa.Array, blocks: pa.Array, firsts: pa.Array, widths: pa.Array, lows: pa.Array, tops: pa.Array, more: pa.Array) -> tuple[np.ndarray, ...]:
+    """The n-grams of messages: hash, block, place there, how often and in how many documents there (2 stands for more)."""
+    wide = np.asarray(widths).astype(np.int64)
+    sizes = np.asarray(pc.binary_length(lows)).astype(np.int64) // np.maximum(wide - 1, 1)
+    bounds = np.append(0, np.cumsum(sizes))
+    planes = np.zeros((int(bounds[-1]), 8), np.uint8)
+    for a, size, width, low, top in zip(bounds.tolist(), sizes.tolist(), wide.tolist(), lows, tops):
+        planes[a : a + size, : width - 1] = np.frombuffer(low.as_buffer(), np.uint8).reshape(size, width - 1)
+        planes[a : a + size, width - 1] = np.frombuffer(pa.decompress(top.as_buffer(), size, "zstd"), np.uint8)
+    values = planes.view("<u8").ravel()
+    several = (values & np.uint64(1)).astype(bool)
+    gaps = values >> np.uint64(1)
+    grams = np.cumsum(gaps, dtype=np.uint64)
+    heads = bounds[:-1]
+    grams += np.repeat((np.asarray(slices).astype(np.uint64) << _SLICE_BITS) - grams[heads] + gaps[heads], sizes)
+    others = _from_varints(np.frombuffer(b"".join(more.to_pylist()), np.uint8))
+    times, documents = np.ones(len(grams), np.int32), np.ones(len(grams), np.int32)
+    times[several], documents[several] = others >> 1, 1 + (others & 1)
+    places = (np.arange(len(grams)) - np.repeat(heads - np.asarray(firsts), sizes)).astype(np.int32)
+    return grams, np.repeat(np.asarray(blocks), sizes), places, times, documents
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages, sorted by slice, as (block, place, times in all blocks) of the n-grams that several documents hold."""
+    for table in whole_runs(batches, "slice"):
+        gram, block, place, times, documents = _unpacked(*(c.combine_chunks() for c in table.columns))
+        order = np.argsort(gram)
+        gram = gram[order]
+        firsts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        known = np.add.reduceat(documents[order], firsts) > 1
+        sizes = np.diff(np.append(firsts, len(gram)))
+        some = order[np.repeat(known, sizes)]
+        everywhere = np.repeat(np.add.reduceat(times[order].astype(np.int64), firsts)[known], sizes[known])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (block[some], place[some], everywhere)], ["block", "place", "times"])
+    give_back()
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and bytes of the texts of a task."""
+    words = size = 0
+    space = np.isin(np.arange(256), [32, *range(9, 14)])
+    for batch in batches:
+        texts = pc.fill_null(batch.column("text"), "").cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        inside = ~space[np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        starts = bounds[:-1][bounds[:-1] < bounds[-1]] - bounds[0]
+        begins[starts] = inside[starts]
+        words += int(begins.sum())
+        size += len(inside)
+    yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([size], pa.int64())], ["words", "bytes"])
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, place, times), sorted, as a row for each block of a batch: differences of places and counts in turn."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, place, times = (np.asarray(batch.column(k)).astype(np.int64) for k in range(3))
+        firsts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        gaps = np.diff(place, prepend=0)
+        gaps[firsts] = place[firsts]
+        data, starts = _varints(np.stack([gaps, times], axis=1).ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(block[firsts]), _binary(data, starts[2 * np.append(firsts, len(block))])], ["block", "answers"])
+
+
 def score(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id``, ``n_words``, ``log_score`` (sum of natural logarithms) and ``mean_log_score`` of every document."""
-    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // settings.block_bytes))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    # a partition has about a block; both reads of the texts are of one exchange
-    dealt = documents.select("doc_id", "text", block.alias("block")).repartition(blocks, "block")
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in every_run(batches, ["block"]):
-            keys, counts, holding, _ = _distinct(grams(table.column("text"), settings.order))
-            number = np.full(len(keys), table.column("block")[0].as_py(), np.int32)
-            for start in range(0, len(keys), 1 << 16):
-                part = slice(start, start + (1 << 16))
-                columns = (number[part], keys[part].view(np.int64), counts[part], holding[part])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "gram", "times", "documents"])
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = number = 0
+        for batch in batches:
+            ends = np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64)))
+            start = 0
+            while start < batch.num_rows:
+                stop = int(np.searchsorted(ends, ends[start] + settings.block_bytes - size))
+                stop = min(max(stop, start + 1), batch.num_rows)
+                held.append(batch.slice(start, stop - start))
+                size += int(ends[stop] - ends[start])
+                start = stop
+                if size >= settings.block_bytes:
+                    yield _block(held, number)
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield _block(held, number)
         give_back()
 
-    def add_up(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts")):
+                keys, counts, several = _distinct(grams(_texts(texts.as_buffer()).column("text"), settings.order))
+                if len(keys):
+                    yield _messages(block, keys, counts, several)
+                    give_back()
+
+    def add_up(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
+        if block.num_rows != 1:
+            raise ValueError("a block of documents was read again with other rows")
+        texts = _texts(block.column("texts")[0].as_buffer())
         found = grams(texts.column("text"), settings.order)
-        keys, _, _, places = _distinct(found)
-        counts = np.zeros(len(keys) + 1)
+        n_keys, places = _places(found)
+        counts = np.zeros(n_keys + 1)
         counts[0] = words
-        counts[find(keys, np.asarray(answers.column("gram")).view(np.uint64)) + 1] = np.asarray(answers.column("times"))
+        for answer in answers.column("answers"):
+            gaps, times = _from_varints(np.frombuffer(answer.as_buffer(), np.uint8)).reshape(-1, 2).T
+            counts[np.cumsum(gaps) + 1] = times
         n = np.bincount(found.rows, minlength=texts.num_rows)
-        sums = np.bincount(found.rows, _logs(found, places, counts, settings), texts.num_rows)
+        sums = np.bincount(found.rows, _logs(found, places, counts, settings), texts.num_rows).astype(np.float64)
         mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(sums), "mean_log_score": mean})
 
-    words = documents.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
-    exploded = dealt.sortWithinPartitions("block").mapInArrow(explode, _COUNTED)
-    every = W.partitionBy("gram")
-    counted = exploded.select("block", "gram", F.sum("times").over(every).alias("times"), F.sum("documents").over(every).alias("documents"))
-    answers = counted.where("documents > 1").select("block", "gram", "times")
+    sizes = documents.select("text").mapInArrow(_sizes, "words long, bytes long").agg(F.sum("words"), F.sum("bytes")).first()
+    words, blocks = sizes[0] or 0, max(1, -(-(sizes[1] or 0) // settings.block_bytes))
+    # both reads of the texts are of this one exchange
+    dealt = documents.select("doc_id", "text").mapInArrow(deal, _BLOCKS).repartition("block")
+    # a partition has about as many n-grams as a block; all that are equal are in one slice
+    sent = dealt.mapInArrow(explode, _MESSAGES).repartition(min(blocks, _SLICES), "slice")
+    counted = sent.sortWithinPartitions("slice").mapInArrow(_counted, _COUNTED)
+    answers = counted.sortWithinPartitions("block", "place").mapInArrow(_answers, _ANSWERS)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, _SCORES)
 
 

@@ -39,6 +39,27 @@ def every_run(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1
     yield from _whole(held, least)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of the batches, sorted by the key, cut between runs only: many runs together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.asarray(batch.column(key))
+        if held and values[0] != np.asarray(held[-1].column(key))[-1]:
+            yield pa.Table.from_batches(held)
+            held = []
+        change = np.flatnonzero(values[1:] != values[:-1])
+        if not len(change):
+            held.append(batch)
+            continue
+        last = int(change[-1]) + 1
+        yield pa.Table.from_batches([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _whole(parts: list[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
     if sum(p.num_rows for p in parts) >= least:
         yield pa.Table.from_batches(parts)

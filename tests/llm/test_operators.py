@@ -364,6 +364,20 @@ def test_backoff_moves_texts_and_ngrams_once(spark):
     assert sum("ReusedExchange" in line for line in moved) == 1 and len(moved) == 4, plan
 
 
+def test_backoff_messages_keep_every_ngram():
+    rng = np.random.default_rng(4)
+    for n, top in ((1, 1), (3, 1 << 62), (20_000, 1 << 63), (5_000, 1 << 20)):
+        keys = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+        counts = np.where(rng.random(len(keys)) < 0.8, 1, rng.integers(1, 1 << 20, len(keys)))
+        several = (counts > 1) & (rng.random(len(keys)) < 0.5)
+        sent = backoff_lm._messages(-7, keys, counts, several)
+        order = rng.permutation(sent.num_rows)
+        gram, block, place, times, documents = backoff_lm._unpacked(*sent.take(pa.array(order)).columns)
+        assert (gram == keys[place]).all() and sorted(place.tolist()) == list(range(len(keys))) and set(block.tolist()) == {-7}
+        assert (times == counts[place]).all() and (documents == 1 + several[place]).all()
+        assert sent.num_rows <= backoff_lm._SLICES and (np.asarray(sent.column("slice")) == np.unique(keys >> backoff_lm._SLICE_BITS)).all()
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1001), (5, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
