@@ -193,14 +193,16 @@ def _unpacked(slices: pa.Array, blocks: pa.Array, firsts: pa.Array, widths: pa.A
         planes[a : a + size, width - 1] = np.frombuffer(pa.decompress(top.as_buffer(), size, "zstd"), np.uint8)
     values = planes.view("<u8").ravel()
     several = (values & np.uint64(1)).astype(bool)
-    gaps = values >> np.uint64(1)
-    grams = np.cumsum(gaps, dtype=np.uint64)
+    values >>= np.uint64(1)
     heads = bounds[:-1]
-    grams += np.repeat((np.asarray(slices).astype(np.uint64) << _SLICE_BITS) - grams[heads] + gaps[heads], sizes)
+    gaps = values[heads]
+    grams = np.cumsum(values, out=values)
+    grams += np.repeat((np.asarray(slices).astype(np.uint64) << _SLICE_BITS) - grams[heads] + gaps, sizes)
     others = _from_varints(np.frombuffer(b"".join(more.to_pylist()), np.uint8))
     times, documents = np.ones(len(grams), np.int32), np.ones(len(grams), np.int32)
     times[several], documents[several] = others >> 1, 1 + (others & 1)
-    places = (np.arange(len(grams)) - np.repeat(heads - np.asarray(firsts), sizes)).astype(np.int32)
+    places = np.arange(len(grams), dtype=np.int32)
+    places -= np.repeat((heads - np.asarray(firsts)).astype(np.int32), sizes)
     return grams, np.repeat(np.asarray(blocks), sizes), places, times, documents
 
 
@@ -216,7 +218,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = order[np.repeat(known, sizes)]
         everywhere = np.repeat(np.add.reduceat(times[order].astype(np.int64), firsts)[known], sizes[known])
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (block[some], place[some], everywhere)], ["block", "place", "times"])
-    give_back()
+        del table, gram, block, place, times, documents, order, some, everywhere
+        give_back()
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,6 +297,8 @@ def score(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
         n = np.bincount(found.rows, minlength=texts.num_rows)
         sums = np.bincount(found.rows, _logs(found, places, counts, settings), texts.num_rows).astype(np.float64)
         mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
+        del found, places, counts
+        give_back()
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(sums), "mean_log_score": mean})
 
     sizes = documents.select("text").mapInArrow(_sizes, "words long, bytes long").agg(F.sum("words"), F.sum("bytes")).first()
