@@ -41,6 +41,13 @@ _BITS = 63
 #: Slices of the hashes, a power of two; the rows of one are sorted together.
 _SLICES = 4096
 _SLICE_BITS = np.uint64(_BITS - _SLICES.bit_length() + 1)
+#: Parts of the hashes, a power of two, that a block sorts one after the other; a part has whole slices.
+_PARTS = 8
+_PART_BITS = np.uint64(_BITS - _PARTS.bit_length() + 1)
+#: N-grams or words that a task works on together, about, and rows and bytes of texts: what it holds beside the block or the slice at hand.
+_TOGETHER = 1 << 18
+_ROWS = 500
+_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -63,31 +70,40 @@ class Grams:
 
 
 def grams(texts: pa.Array | pa.ChunkedArray, order: int) -> Grams:
-    rows, words = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for chunk in chunks(texts):
+    rows, words = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+    for chunk in chunks(texts, _BYTES):
         starts, ends = chunk.runs(chunk.not_space())
         p = chunk.points
         words.append(Hashes(np.where((p >= 65) & (p <= 90), p + 32, p)).of(starts, ends))
-        rows.append(chunk.first + chunk.row_of(starts))
+        rows.append((chunk.first + chunk.row_of(starts)).astype(np.int32))
     row, word = np.concatenate(rows), np.concatenate(words)
+    del rows, words
     fits, hashes = [], []
     for n in range(1, order + 1):
         fit = np.zeros(len(row), bool)
         fit[n - 1 :] = row[n - 1 :] == row[: max(len(row) - n + 1, 0)]
         value = np.zeros(len(row), np.uint64)
-        for k in range(n):
-            value[n - 1 :] = mix(value[n - 1 :] + word[k : len(word) - n + 1 + k], k + 1)
+        for a in range(n - 1, len(row), _TOGETHER):
+            b = min(a + _TOGETHER, len(row))
+            part = np.zeros(b - a, np.uint64)
+            for k in range(n):
+                part = mix(part + word[a - n + 1 + k : b - n + 1 + k], k + 1)
+            value[a:b] = mix(part, 40 + n) >> np.uint64(64 - _BITS)
         fits.append(fit)
-        hashes.append(mix(value, 40 + n) >> np.uint64(64 - _BITS))
+        hashes.append(value)
     return Grams(row, fits, hashes)
 
 
-def _distinct(found: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _parts(found: Grams) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The n-grams of a block by parts of the hashes, ascending: for each order the words at which they are, and the hashes of all orders."""
+    parts = [np.where(fit, h >> _PART_BITS, _PARTS).astype(np.uint8) for fit, h in zip(found.fits, found.hashes)]
+    for k in range(_PARTS):
+        some = [np.flatnonzero(part == k) for part in parts]
+        yield some, np.concatenate([h[s] for h, s in zip(found.hashes, some)])
+
+
+def _distinct(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct hashes, how often they occur, and whether in several documents."""
-    values = np.concatenate([h[f] for f, h in zip(found.fits, found.hashes)])
-    rows = np.concatenate([found.rows[f].astype(np.int32) for f in found.fits])
-    if not len(values):
-        return values, np.zeros(0, np.int64), np.zeros(0, bool)
     order = np.argsort(values)
     values, rows = values[order], rows[order]
     del order
@@ -98,15 +114,15 @@ def _distinct(found: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _places(found: Grams) -> tuple[int, list[np.ndarray]]:
     """Number of distinct hashes, and for each order the place of the n-gram at every word among them sorted, from 1; 0 stands for none."""
-    keys, inverse = np.unique(np.concatenate([h[f] for f, h in zip(found.fits, found.hashes)]), return_inverse=True)
-    places, at = [], 0
-    for fit in found.fits:
-        place = np.zeros(len(fit), np.int64)
-        size = int(fit.sum())
-        place[fit] = inverse[at : at + size] + 1
-        at += size
-        places.append(place)
-    return len(keys), places
+    size, places = 0, [np.zeros(len(fit), np.int32) for fit in found.fits]
+    for some, values in _parts(found):
+        keys, inverse = np.unique(values, return_inverse=True)
+        at = 0
+        for place, words in zip(places, some):
+            place[words] = inverse[at : at + len(words)] + (size + 1)
+            at += len(words)
+        size += len(keys)
+    return size, places
 
 
 def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,8 +176,8 @@ def _texts(block: bytes) -> pa.Table:
     return pa.ipc.open_stream(block).read_all()
 
 
-def _messages(block: int, keys: np.ndarray, counts: np.ndarray, several: np.ndarray) -> pa.RecordBatch:
-    """The distinct n-grams of a block, a row for each slice that has some."""
+def _messages(block: int, keys: np.ndarray, counts: np.ndarray, several: np.ndarray, before: int = 0) -> pa.RecordBatch:
+    """The distinct n-grams of a block, or of its slices from one to another after ``before`` others, a row for each slice that has some."""
     slices = keys >> _SLICE_BITS
     firsts = np.flatnonzero(np.concatenate([[True], slices[1:] != slices[:-1]]))
     gaps = np.diff(keys, prepend=keys[:1])
@@ -176,12 +192,22 @@ def _messages(block: int, keys: np.ndarray, counts: np.ndarray, several: np.ndar
     others, starts = _varints(2 * counts[more] + several[more])
     n = len(firsts)
     columns = [
-        pa.array(slices[firsts].astype(np.int32)), pa.array(np.full(n, block, np.int64)), pa.array(firsts.astype(np.int32)), pa.array(np.full(n, width, np.int32)),
+        pa.array(slices[firsts].astype(np.int32)), pa.array(np.full(n, block, np.int64)), pa.array((firsts + before).astype(np.int32)), pa.array(np.full(n, width, np.int32)),
         _binary(np.ascontiguousarray(planes[:, : width - 1]), bounds * (width - 1)), pa.array(packed, pa.binary()), _binary(others, starts[np.append(0, np.cumsum(more))[bounds]]),
     ]
     return pa.RecordBatch.from_arrays(columns, ["slice", "block", "first", "width", "low", "top", "more"])
 
 
+def _sent(block: int, found: Grams) -> Iterator[pa.RecordBatch]:
+    """The messages of a block, those of a part of the hashes together."""
+    before = 0
+    for some, values in _parts(found):
+        if len(values):
+            keys, counts, several = _distinct(values, np.concatenate([found.rows[s] for s in some]))
+            yield _messages(block, keys, counts, several, before)
+            before += len(keys)
+
+
 def _unpacked(slices: pa.Array, blocks: pa.Array, firsts: pa.Array, widths: pa.Array, lows: pa.Array, tops: pa.Array, more: pa.Array) -> tuple[np.ndarray, ...]:
     """The n-grams of messages: hash, block, place there, how often and in how many documents there (2 stands for more)."""
     wide = np.asarray(widths).astype(np.int64)
@@ -206,19 +232,34 @@ def _unpacked(slices: pa.Array, blocks: pa.Array, firsts: pa.Array, widths: pa.A
     return grams, np.repeat(np.asarray(blocks), sizes), places, times, documents
 
 
+def _portions(table: pa.Table) -> Iterator[pa.Table]:
+    """Messages, sorted by slice, cut between slices to about ``_TOGETHER`` n-grams."""
+    slices, widths = np.asarray(table.column("slice")), np.asarray(table.column("width")).astype(np.int64)
+    ends = np.append(0, np.cumsum(np.asarray(pc.binary_length(table.column("low"))).astype(np.int64) // np.maximum(widths - 1, 1)))
+    firsts = np.flatnonzero(np.concatenate([[True], slices[1:] != slices[:-1]]))
+    starts = firsts[np.diff(ends[firsts] // _TOGETHER, prepend=-1) > 0].tolist()
+    for start, end in zip(starts, [*starts[1:], table.num_rows]):
+        yield table.slice(start, end - start)
+
+
+def _summed(messages: pa.Table) -> pa.RecordBatch:
+    gram, block, place, times, documents = _unpacked(*(c.combine_chunks() for c in messages.columns))
+    order = np.argsort(gram)
+    gram = gram[order]
+    firsts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    known = np.add.reduceat(documents[order], firsts) > 1
+    sizes = np.diff(np.append(firsts, len(gram)))
+    some = order[np.repeat(known, sizes)]
+    everywhere = np.repeat(np.add.reduceat(times[order].astype(np.int64), firsts)[known], sizes[known])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (block[some], place[some], everywhere)], ["block", "place", "times"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Messages, sorted by slice, as (block, place, times in all blocks) of the n-grams that several documents hold."""
     for table in whole_runs(batches, "slice"):
-        gram, block, place, times, documents = _unpacked(*(c.combine_chunks() for c in table.columns))
-        order = np.argsort(gram)
-        gram = gram[order]
-        firsts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        known = np.add.reduceat(documents[order], firsts) > 1
-        sizes = np.diff(np.append(firsts, len(gram)))
-        some = order[np.repeat(known, sizes)]
-        everywhere = np.repeat(np.add.reduceat(times[order].astype(np.int64), firsts)[known], sizes[known])
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (block[some], place[some], everywhere)], ["block", "place", "times"])
-        del table, gram, block, place, times, documents, order, some, everywhere
+        for messages in _portions(table):
+            yield _summed(messages)
+        del table, messages
         give_back()
 
 
@@ -227,16 +268,18 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = size = 0
     space = np.isin(np.arange(256), [32, *range(9, 14)])
     for batch in batches:
-        texts = pc.fill_null(batch.column("text"), "").cast(pa.large_string())
-        _, offsets, data = texts.buffers()
-        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        inside = ~space[np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        starts = bounds[:-1][bounds[:-1] < bounds[-1]] - bounds[0]
-        begins[starts] = inside[starts]
-        words += int(begins.sum())
-        size += len(inside)
+        for first in range(0, batch.num_rows, _ROWS):
+            texts = pc.fill_null(batch.column("text").slice(first, _ROWS), "").cast(pa.large_string())
+            _, offsets, data = texts.buffers()
+            bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            inside = ~space[np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]]
+            begins = inside.copy()
+            begins[1:] &= ~inside[:-1]
+            starts = bounds[:-1][bounds[:-1] < bounds[-1]] - bounds[0]
+            begins[starts] = inside[starts]
+            words += int(begins.sum())
+            size += len(inside)
+    give_back()
     yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([size], pa.int64())], ["words", "bytes"])
 
 
@@ -278,10 +321,8 @@ def score(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts")):
-                keys, counts, several = _distinct(grams(_texts(texts.as_buffer()).column("text"), settings.order))
-                if len(keys):
-                    yield _messages(block, keys, counts, several)
-                    give_back()
+                yield from _sent(block, grams(_texts(texts.as_buffer()).column("text"), settings.order))
+                give_back()
 
     def add_up(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
         if block.num_rows != 1:
@@ -294,8 +335,9 @@ def score(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
         for answer in answers.column("answers"):
             gaps, times = _from_varints(np.frombuffer(answer.as_buffer(), np.uint8)).reshape(-1, 2).T
             counts[np.cumsum(gaps) + 1] = times
+        found.hashes.clear()
         n = np.bincount(found.rows, minlength=texts.num_rows)
-        sums = np.bincount(found.rows, _logs(found, places, counts, settings), texts.num_rows).astype(np.float64)
+        sums = _sums(found, places, counts, n, settings)
         mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
         del found, places, counts
         give_back()
@@ -312,6 +354,19 @@ def score(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, _SCORES)
 
 
+def _sums(found: Grams, places: list[np.ndarray], counts: np.ndarray, n_words: np.ndarray, settings: Settings) -> np.ndarray:
+    """The sums of the logarithms of every document, for some neighbouring documents at a time."""
+    sums, bounds = np.zeros(len(n_words)), np.append(0, np.cumsum(n_words))
+    start = 0
+    while start < len(n_words):
+        stop = max(int(np.searchsorted(bounds, bounds[start] + _TOGETHER, side="right")) - 1, start + 1)
+        part = slice(bounds[start], bounds[stop])
+        some = Grams(found.rows[part].astype(np.int64) - start, [fit[part] for fit in found.fits], [])
+        sums[start:stop] = np.bincount(some.rows, _logs(some, [place[part] for place in places], counts, settings), stop - start)
+        start = stop
+    return sums
+
+
 def _logs(found: Grams, places: list[np.ndarray], counts: np.ndarray, settings: Settings) -> np.ndarray:
     """The logarithm of the score of every word; ``counts`` of all words stand at 0, those of n-grams at their places."""
     rest, fits = [], []

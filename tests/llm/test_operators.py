@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -378,6 +379,62 @@ def test_backoff_messages_keep_every_ngram():
         assert sent.num_rows <= backoff_lm._SLICES and (np.asarray(sent.column("slice")) == np.unique(keys >> backoff_lm._SLICE_BITS)).all()
 
 
+def _peak(work) -> tuple[object, int]:
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_backoff_memory_is_that_of_a_block():
+    rng = np.random.default_rng(5)
+    names = np.array([f"w{k:x}" for k in range(60_000)])
+    texts = pa.array([" ".join(names[rng.integers(0, len(names), 300)]) for _ in range(4_000)])
+    found = backoff_lm.grams(texts, 3)
+    n_grams = sum(int(f.sum()) for f in found.fits)
+    backoff_lm._places(backoff_lm.grams(texts[:2], 3))  # modules that numpy and Arrow load at first use
+    (size, places), peak = _peak(lambda: backoff_lm._places(found))
+    assert peak < 24 * n_grams, peak / n_grams
+    keys = np.unique(np.concatenate([h[f] for f, h in zip(found.fits, found.hashes)]))
+    assert size == len(keys) and all((keys[p[f] - 1] == h[f]).all() and not p[~f].any() for f, h, p in zip(found.fits, found.hashes, places))
+    sent, peak = _peak(lambda: pa.Table.from_batches(backoff_lm._sent(3, found)))
+    assert peak < 24 * n_grams, peak / n_grams
+    gram, _, place, _, _ = backoff_lm._unpacked(*(c.combine_chunks() for c in sent.columns))
+    assert (gram == keys).all() and (place == np.arange(size)).all()
+    again = sent.set_column(1, "block", pa.array(np.full(len(sent), 4)))
+    both = pa.concat_tables([sent, again]).sort_by("slice").combine_chunks().to_batches()
+    summed, peak = _peak(lambda: sum(b.num_rows for b in backoff_lm._counted(iter(both))))
+    assert summed == 2 * size and peak < 24 * 2 * size, peak / (2 * size)
+
+
+def test_backoff_portions_and_stretches_change_nothing(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(list("abcdefgh"), n)) for n in (0, 1, 2, 700, 0, 90, 1, 0)]
+    split = [words(t) for t in texts]
+    counts = collections.Counter(tuple(w[i : i + n]) for w in split for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    results = []
+    for together, rows in ((1 << 18, 500), (1, 1), (64, 3)):
+        monkeypatch.setattr(backoff_lm, "_TOGETHER", together)
+        monkeypatch.setattr(backoff_lm, "_ROWS", rows)
+        found = backoff_lm.grams(pa.array(texts), 3)
+        messages = pa.Table.from_batches(backoff_lm._sent(9, found)).combine_chunks()
+        counted = pa.Table.from_batches(backoff_lm._counted(iter(messages.to_batches(max_chunksize=7))))
+        size, places = backoff_lm._places(found)
+        assert size == len(counts)
+        times = np.zeros(size + 1)
+        times[0] = sum(map(len, split))
+        times[np.asarray(counted["place"]) + 1] = np.asarray(counted["times"])
+        assert sorted(times[1:][times[1:] > 0]) == sorted(
+            v for g, v in counts.items() if sum(any(tuple(w[i : i + len(g)]) == g for i in range(len(w))) for w in split) > 1
+        )
+        sums = backoff_lm._sums(found, places, times, np.array([len(w) for w in split]), backoff_lm.Settings())
+        size = next(backoff_lm._sizes(iter([pa.RecordBatch.from_pydict({"text": pa.array([*texts, None])})])))
+        assert size.to_pydict() == {"words": [times[0]], "bytes": [sum(map(len, texts))]}
+        results.append(sums.tolist())
+    assert results[0] == results[1] == results[2] and np.isfinite(results[0]).all()
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1001), (5, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
